@@ -47,11 +47,23 @@ class Rule:
 _WIDE = "decimal(38,6)"
 
 
-def _rule_struct(rule: Rule) -> Column:
+def _rule_values(i: int, rule: Rule) -> list[Column]:
+    """Per-rule intermediate columns, computed once in a projection so the
+    quotient and differences are not re-evaluated inside the struct array."""
     stated = col_of(rule.stated)
     actual = col_of(rule.actual)
+    return [stated.alias(f"_s{i}"), actual.alias(f"_a{i}")]
+
+
+def _rule_derived(i: int) -> list[Column]:
+    stated, actual = F.col(f"_s{i}"), F.col(f"_a{i}")
     delta = actual - stated
-    pct = pct_change(delta, stated)
+    return [delta.alias(f"_d{i}"), pct_change(delta, stated).alias(f"_p{i}")]
+
+
+def _rule_struct(i: int, rule: Rule) -> Column:
+    stated, actual = F.col(f"_s{i}"), F.col(f"_a{i}")
+    delta, pct = F.col(f"_d{i}"), F.col(f"_p{i}")
     abs_pct = F.abs(pct)
     severity = F.lit(rule.default_severity)
     for threshold, name in reversed(rule.bands):
@@ -88,11 +100,18 @@ def reconcile(
     ``delta_overflow`` (delta did not fit DECIMAL(12,6)), ``violated``, and any
     ``keep`` columns (for grouping later, e.g. a corridor). ``detected_at`` is
     a parameter, not the clock, so reruns agree; ``violation_id`` is the MD5 of
-    ``tx_id:rule_id`` for the same reason.
+    ``tx_id:rule_id`` for the same reason. ``detected_at`` is a wall-clock
+    TIMESTAMP_NTZ, like every timestamp of the driver's data.
     """
     tx = col_of(tx_id).cast("string")
-    checks = F.array(*[_rule_struct(r) for r in rules])
-    long = df.select(tx.alias("tx_id"), *keep, F.explode(checks).alias("_r"))
+    base = df.select(
+        tx.alias("tx_id"), *keep, *[c for i, r in enumerate(rules) for c in _rule_values(i, r)]
+    )
+    derived = base.select(
+        "*", *[c for i in range(len(rules)) for c in _rule_derived(i)]
+    )
+    checks = F.array(*[_rule_struct(i, r) for i, r in enumerate(rules)])
+    long = derived.select("tx_id", *keep, F.explode(checks).alias("_r"))
     if only_violations:
         long = long.filter(F.col("_r.violated"))
     return long.select(
@@ -105,7 +124,7 @@ def reconcile(
         F.col("_r.delta").alias("delta"),
         F.col("_r.delta_pct").alias("delta_pct"),
         F.col("_r.description").alias("description"),
-        F.to_timestamp(F.lit(detected_at)).alias("detected_at"),
+        F.lit(detected_at).cast("timestamp_ntz").alias("detected_at"),
         (F.col("_r.delta").isNull() & F.col("_r.delta_full").isNotNull()).alias(
             "delta_overflow"
         ),
