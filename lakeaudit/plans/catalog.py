@@ -23,14 +23,14 @@ def list_catalogs(spark: SparkSession) -> DataFrame:
 
 
 def list_schemas(spark: SparkSession, catalog: str) -> DataFrame:
-    """M2: ``(name, catalog, owner, comment)``; an unknown catalog gives no rows."""
+    """M2: ``(name, catalog, owner, comment)``; an unknown catalog gives no rows
+    (Spark raises for it; only that error is caught)."""
     schema = "name string, catalog string, owner string, comment string"
     try:
-        dbs = spark.catalog.listDatabases(f"{catalog}.*") if catalog else spark.catalog.listDatabases()
-        rows = [(d.name, d.catalog or catalog, None, d.description) for d in dbs]
-        rows = [r for r in rows if not catalog or r[1] == catalog]
+        shown = spark.sql("SHOW SCHEMAS IN IDENTIFIER(:c)", args={"c": catalog}).collect()
     except AnalysisException:
-        rows = []
+        return spark.createDataFrame([], schema)
+    rows = [(r[0], catalog, None, None) for r in shown]
     return spark.createDataFrame(rows, schema)
 
 

@@ -94,12 +94,15 @@ def reload_table(
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if partition_by and spark.catalog.tableExists(table):
         cols = spark.table(table).columns
-        (
-            observed.select(*cols)
-            .repartition(*partition_by)
-            .write.option("partitionOverwriteMode", "dynamic")
-            .insertInto(table, overwrite=True)
-        )
+        # insertInto does not take writer options, so the mode is set on the
+        # session for this statement and put back afterwards.
+        key = "spark.sql.sources.partitionOverwriteMode"
+        previous = spark.conf.get(key, "static")
+        spark.conf.set(key, "dynamic")
+        try:
+            observed.select(*cols).repartition(*partition_by).write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(key, previous)
         rows = int(obs.get["rows"])
         if check:
             check(rows)
