@@ -172,34 +172,26 @@ def funnel(
 
     Step 1 is a user's first event of ``steps[0]``; step k is reached at the
     user's first ``steps[k-1]`` event at or after step k−1's time. Each step is
-    one aggregate per user (map-side combined) joined 1:1 on the user to the
-    previous step's times; the per-user tables shrink step by step.
+    one aggregate per user (map-side combined, so a very active user collapses
+    before the shuffle) over that step's events inner-joined to the previous
+    step's per-user times (AQE can split a hot user's partition of an inner
+    join). The final counts reference each step's time column, so each step's
+    plan appears once and its shuffle is reused rather than recomputed.
     Returns ``(step_no, step_name, users)``.
     """
     relevant = events.filter(F.col(kind).isin(list(steps))).select(user, ts, kind)
-    reached = (
-        relevant.filter(F.col(kind) == steps[0])
-        .groupBy(user)
-        .agg(F.min(ts).alias("t1"))
-    )
-    counts = [reached.agg(F.count(F.lit(1)).alias("users")).select(
-        F.lit(1).cast("int").alias("step_no"), F.lit(steps[0]).alias("step_name"), "users"
-    )]
-    prev = "t1"
-    for i, step in enumerate(steps[1:], start=2):
-        nxt = f"t{i}"
-        cand = relevant.filter(F.col(kind) == step).join(reached.select(user, prev), user)
-        reached = (
-            cand.filter(F.col(ts) >= F.col(prev)).groupBy(user).agg(F.min(ts).alias(nxt))
-        )
-        counts.append(reached.agg(F.count(F.lit(1)).alias("users")).select(
-            F.lit(i).cast("int").alias("step_no"), F.lit(step).alias("step_name"), "users"
-        ))
-        prev = nxt
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out.withColumn("users", F.col("users").cast("bigint"))
+    reached = relevant.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(ts).alias("t"))
+    per_step = [reached]
+    for step in steps[1:]:
+        prev = reached.select(user, F.col("t").alias("_prev"))
+        cand = relevant.filter(F.col(kind) == step).join(prev, user)
+        reached = cand.filter(F.col(ts) >= F.col("_prev")).groupBy(user).agg(F.min(ts).alias("t"))
+        per_step.append(reached)
+    tagged = None
+    for i, (step, r) in enumerate(zip(steps, per_step), start=1):
+        part = r.select(F.lit(i).cast("int").alias("step_no"), F.lit(step).alias("step_name"), "t")
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return tagged.groupBy("step_no", "step_name").agg(F.count("t").cast("bigint").alias("users"))
 
 
 # --------------------------------------------------------------------------- G8

@@ -66,24 +66,82 @@ def _order_cols(order) -> list[Column]:
     return [col_of(c) for c in _names(order)]
 
 
+def ordered_blocked(
+    df: DataFrame,
+    keys,
+    order,
+    block: Column,
+    row_number: str | None = None,
+    running: dict[str, Column] | None = None,
+    lag_cols: Sequence[str] = (),
+    lag_prefix: str = "prev_",
+) -> DataFrame:
+    """One block-split pass computing, per key along ``order``, any of:
+
+    * ``row_number`` — 1, 2, … (``order`` must be total within a key);
+    * ``running`` — ``{out: value}`` running sums, rows frame, current row
+      included;
+    * ``lag_cols`` — the previous row's values (NULL on a key's first row).
+
+    Cost: one partial aggregate per (key, block), one window over that small
+    table, one join on (key, block) and one window partitioned by (key, block)
+    sharing the join's partitioning — whatever mix of outputs is requested.
+    """
+    keys = _names(keys)
+    order_names = _names(order)
+    running = dict(running or {})
+    lag_cols = list(lag_cols)
+    tagged = df.withColumn(_BLK, block)
+    for i, (name, value) in enumerate(running.items()):
+        tagged = tagged.withColumn(f"_la_v{i}", value)
+    aggs = []
+    if row_number:
+        aggs.append(F.count(F.lit(1)).alias("_la_n"))
+    for i in range(len(running)):
+        aggs.append(F.sum(f"_la_v{i}").alias(f"_la_s{i}"))
+    carried = list(dict.fromkeys(order_names + lag_cols))
+    packed = F.struct(*[F.col(c) for c in carried])
+    if lag_cols:
+        aggs.append(F.max(packed).alias("_la_last"))
+    per_block = tagged.groupBy(*keys, _BLK).agg(*aggs)
+    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry_cols = []
+    if row_number:
+        carry_cols.append(F.coalesce(F.sum("_la_n").over(before), F.lit(0)).alias("_la_off"))
+    for i in range(len(running)):
+        carry_cols.append(F.sum(f"_la_s{i}").over(before).alias(f"_la_c{i}"))
+    if lag_cols:
+        carry_cols.append(F.lag("_la_last").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_la_carry"))
+    carry = per_block.select(*keys, _BLK, *carry_cols)
+
+    ordered = Window.partitionBy(*keys, _BLK).orderBy(*_order_cols(order_names))
+    frame = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = tagged.join(carry, [*keys, _BLK])
+    outs = []
+    if row_number:
+        outs.append((F.col("_la_off") + F.row_number().over(ordered)).cast("bigint").alias(row_number))
+    for i, name in enumerate(running):
+        run = F.sum(f"_la_v{i}").over(frame)
+        outs.append(
+            F.when(F.col(f"_la_c{i}").isNull(), run).otherwise(F.col(f"_la_c{i}") + run).alias(name)
+        )
+    if lag_cols:
+        outs.append(F.coalesce(F.lag(packed).over(ordered), F.col("_la_carry")).alias("_la_prev"))
+    out = joined.select(*df.columns, *outs)
+    if lag_cols:
+        out = out.select(
+            *[c for c in out.columns if c != "_la_prev"],
+            *[F.col(f"_la_prev.{c}").alias(lag_prefix + c) for c in lag_cols],
+        )
+    return out
+
+
 def row_number_blocked(
     df: DataFrame, keys, order, block: Column, out: str = "rn"
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` computed per
     (key, block). ``order`` must be total within a key for a repeatable answer."""
-    keys = _names(keys)
-    tagged = df.withColumn(_BLK, block)
-    counts = tagged.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("_la_n"))
-    carry_w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select(
-        *keys, _BLK, F.coalesce(F.sum("_la_n").over(carry_w), F.lit(0)).alias("_la_off")
-    )
-    inner = Window.partitionBy(*keys, _BLK).orderBy(*_order_cols(order))
-    return (
-        tagged.join(carry, [*keys, _BLK])
-        .withColumn(out, (F.col("_la_off") + F.row_number().over(inner)).cast("bigint"))
-        .drop(_BLK, "_la_off")
-    )
+    return ordered_blocked(df, keys, order, block, row_number=out)
 
 
 def running_sum_blocked(
@@ -91,23 +149,7 @@ def running_sum_blocked(
 ) -> DataFrame:
     """Running ``sum(value)`` per key along ``order`` (rows frame, current row
     included), computed per (key, block). Use a DECIMAL value for exact money."""
-    keys = _names(keys)
-    tagged = df.withColumn(_BLK, block).withColumn("_la_v", col_of(value))
-    sums = tagged.groupBy(*keys, _BLK).agg(F.sum("_la_v").alias("_la_s"))
-    carry_w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, _BLK, F.sum("_la_s").over(carry_w).alias("_la_off"))
-    inner = (
-        Window.partitionBy(*keys, _BLK)
-        .orderBy(*_order_cols(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = F.sum("_la_v").over(inner)
-    total = F.when(F.col("_la_off").isNull(), running).otherwise(F.col("_la_off") + running)
-    return (
-        tagged.join(carry, [*keys, _BLK])
-        .withColumn(out, total)
-        .drop(_BLK, "_la_off", "_la_v")
-    )
+    return ordered_blocked(df, keys, order, block, running={out: col_of(value)})
 
 
 def lag_blocked(
@@ -116,18 +158,4 @@ def lag_blocked(
     """Previous row's ``cols`` per key along ``order`` (NULL on a key's first
     row), computed per (key, block). The first row of a block takes the last
     row of the key's previous non-empty block."""
-    keys = _names(keys)
-    order_names = _names(order)
-    cols = _names(cols)
-    carried = list(dict.fromkeys(order_names + cols))
-    tagged = df.withColumn(_BLK, block)
-    packed = F.struct(*[F.col(c) for c in carried])
-    last = tagged.groupBy(*keys, _BLK).agg(F.max(packed).alias("_la_last"))
-    carry_w = Window.partitionBy(*keys).orderBy(_BLK)
-    carry = last.select(*keys, _BLK, F.lag("_la_last").over(carry_w).alias("_la_carry"))
-    inner = Window.partitionBy(*keys, _BLK).orderBy(*[F.col(c) for c in order_names])
-    prev = F.coalesce(F.lag(packed).over(inner), F.col("_la_carry"))
-    joined = tagged.join(carry, [*keys, _BLK]).withColumn("_la_prev", prev)
-    return joined.select(
-        *df.columns, *[F.col(f"_la_prev.{c}").alias(prefix + c) for c in cols]
-    )
+    return ordered_blocked(df, keys, order, block, lag_cols=_names(cols), lag_prefix=prefix)

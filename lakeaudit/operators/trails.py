@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.operators.segmented import lag_blocked, row_number_blocked, seq_block
+from lakeaudit.operators.segmented import lag_blocked, ordered_blocked, row_number_blocked, seq_block
 
 
 def trail_steps(
@@ -71,6 +71,32 @@ def trail_summary(
     return s.withColumn("is_clean", clean)
 
 
+def numbered_trail_summary(
+    df: DataFrame,
+    trail: str,
+    order: Sequence[str],
+    block,
+    clock: str,
+    seq: str = "sequence_num",
+) -> DataFrame:
+    """C6 for trails that carry no sequence column: the sequence number is the
+    rank along ``order`` (e.g. an event id). Numbering and the predecessor's
+    clock come from one block-split pass; by construction the numbers have no
+    gaps or duplicates, so the checks that remain are the clock and the count.
+    ``order`` must be total within a trail."""
+    steps = ordered_blocked(df, trail, list(order), block, row_number=seq, lag_cols=[clock])
+    s = steps.groupBy(trail).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_events"),
+        F.min(seq).cast("bigint").alias("first_seq"),
+        F.max(seq).cast("bigint").alias("last_seq"),
+        F.lit(0).cast("bigint").alias("n_gaps"),
+        F.lit(0).cast("bigint").alias("n_duplicates"),
+        F.count(F.when(F.col(clock) < F.col(f"prev_{clock}"), 1)).cast("bigint").alias("n_backwards"),
+    )
+    clean = (F.col("first_seq") == 1) & (F.col("n_backwards") == 0)
+    return s.withColumn("is_clean", clean)
+
+
 def numbered_trail(
     df: DataFrame,
     trail: str,

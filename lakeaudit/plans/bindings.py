@@ -535,8 +535,7 @@ def c6_trail_events(spark, sf_dir):
     event id within the user (numbered per id block, so a very active user is
     split across tasks), the clock is ``ts``."""
     e = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    numbered = trails.numbered_trail(e, "user_id", ["event_id"], seq_block(F.col("event_id")))
-    return trails.trail_summary(numbered, "user_id", "sequence_num", "ts", tie=["event_id"])
+    return trails.numbered_trail_summary(e, "user_id", ["event_id"], seq_block(F.col("event_id")), clock="ts")
 
 
 # ======================================================================== C7
