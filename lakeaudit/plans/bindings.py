@@ -862,3 +862,75 @@ def p3_top_orders(spark, sf_dir):
         .orderBy(F.desc("o_totalprice"), F.asc("o_orderkey"))
         .limit(25)
     )
+
+
+# ============================================================ Q1 statement kinds
+# Statements of other kinds routed through the bounded-SQL path (SURVEY §2.7:
+# set operations, range joins, outer joins pass through Q1 unchanged). Each
+# reads whole tables and reduces them to a few rows, so the row cap never cuts
+# the answer; ``truncated`` stays false.
+def _bounded_binding(name: str, statement: str, tables: tuple[str, ...]):
+    def run(spark, sf_dir):
+        res = bounded_sql.execute_sql(
+            spark, statement, max_rows=bounded_sql.MAX_ROWS_CAP,
+            views={t: table_path(sf_dir, t) for t in tables},
+        )
+        if res.truncated:
+            raise RuntimeError(f"{name}: result exceeded {bounded_sql.MAX_ROWS_CAP} rows")
+        return spark.createDataFrame([tuple(r) for r in res.rows], res.schema)
+
+    run.__name__ = name
+    binding(name, statement)(run)
+    return run
+
+
+Q1_SET_OPS_SQL = """
+SELECT 'union' AS op, CAST(COUNT(*) AS BIGINT) AS n FROM (
+  SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer) u
+UNION ALL
+SELECT 'intersect', CAST(COUNT(*) AS BIGINT) FROM (
+  SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) i
+UNION ALL
+SELECT 'customers_without_orders', CAST(COUNT(*) AS BIGINT) FROM (
+  SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) e
+UNION ALL
+SELECT 'union_all', CAST(COUNT(*) AS BIGINT) FROM (
+  SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) a
+"""
+_bounded_binding("q1_set_ops", Q1_SET_OPS_SQL, ("orders", "customer"))
+
+Q1_RANGE_JOIN_SQL = """
+SELECT o_orderpriority AS channel,
+       CAST(COUNT(*) AS BIGINT) AS lines_within_30_days,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS amount
+FROM lineitem JOIN orders
+  ON l_orderkey = o_orderkey
+ AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY
+GROUP BY o_orderpriority
+"""
+_bounded_binding("q1_range_join", Q1_RANGE_JOIN_SQL, ("lineitem", "orders"))
+
+Q1_FULL_OUTER_SQL = """
+SELECT CASE WHEN c.c_custkey IS NULL THEN 'order_only'
+            WHEN o.o_custkey IS NULL THEN 'customer_only' ELSE 'both' END AS side,
+       CAST(COUNT(*) AS BIGINT) AS n
+FROM customer c FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.c_custkey = o.o_custkey
+GROUP BY 1
+"""
+_bounded_binding("q1_full_outer", Q1_FULL_OUTER_SQL, ("customer", "orders"))
+
+
+# ======================================================================== Q3
+Q3_SQL = """
+SELECT o_orderkey,
+       to_json(struct_pack(o_orderkey := o_orderkey, o_orderstatus := o_orderstatus,
+                           o_totalprice := o_totalprice, o_orderpriority := o_orderpriority)) AS json
+FROM orders
+"""
+
+
+@binding("q3_json_rows", Q3_SQL)
+def q3_json_rows(spark, sf_dir):
+    """Result rows rendered as JSON objects on the executors."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return bounded_sql.result_json_rows(o, keep=["o_orderkey"])

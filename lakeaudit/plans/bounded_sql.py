@@ -19,6 +19,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from lakeaudit.functions.json import row_json
 
@@ -34,6 +35,7 @@ class SqlResult:
     row_count: int
     truncated: bool
     statement: str = ""
+    schema: T.StructType | None = None
     extra: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
@@ -105,9 +107,10 @@ def execute_sql(
     fetched = df.limit(n + 1).collect()
     truncated = len(fetched) > n
     rows = [list(r) for r in fetched[:n]]
-    return SqlResult(df.columns, rows, len(rows), truncated, statement)
+    return SqlResult(df.columns, rows, len(rows), truncated, statement, df.schema)
 
 
-def result_json_rows(df: DataFrame) -> DataFrame:
-    """Q3 on the executors: one JSON object per row."""
-    return df.select(row_json().alias("json"))
+def result_json_rows(df: DataFrame, keep=()) -> DataFrame:
+    """Q3 on the executors: one JSON object per row (all columns), next to any
+    ``keep`` columns."""
+    return df.select(*keep, row_json(*df.columns).alias("json"))
