@@ -66,6 +66,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FALLBACK_ROOT: str | None = None
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -79,12 +82,18 @@ def staging_root(spark: SparkSession) -> str:
         except Exception:  # Spark Connect has no SparkContext
             root = None
     if not root:
-        root = tempfile.mkdtemp(prefix="lakeaudit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            pass
+        global _FALLBACK_ROOT
+        if _FALLBACK_ROOT is None:
+            _FALLBACK_ROOT = tempfile.mkdtemp(prefix="lakeaudit-ckpt-")
+        root = _FALLBACK_ROOT
+        for setter in (
+            lambda: spark.conf.set("spark.checkpoint.dir", root),
+            lambda: spark.sparkContext.setCheckpointDir(root),
+        ):
+            try:  # a session may refuse core settings at runtime
+                setter()
+            except Exception:
+                pass
     return root.rstrip("/")
 
 
