@@ -47,6 +47,18 @@ def silver_orders(
     return deduped.filter(ok), deduped.filter(~ok | F.col(status).isNull())
 
 
+def write_silver(good: DataFrame, path: str, partition_by: Sequence[str] = ("order_date",)) -> None:
+    """Write silver rows partitioned by the contract's partition columns;
+    a rerun replaces only the partitions present in ``good``."""
+    (
+        good.repartition(*partition_by)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+
+
 # --------------------------------------------------------------------------- G4
 def line_totals(
     lines: DataFrame,
@@ -204,8 +216,9 @@ def user_features(
     ts: str = "ts",
 ) -> DataFrame:
     """Per-user feature row: count and Σ value (DECIMAL) per event kind from a
-    fixed list (so the schema never depends on the data), total count, last
-    seen time. One aggregate, map-side combined."""
+    fixed list (so the schema never depends on the data), total count, first
+    and last seen time, mean gap between consecutive events. One aggregate,
+    map-side combined (the conditional aggregates are the fixed-value pivot)."""
     aggs = []
     for k in kinds:
         hit = F.col(kind) == F.lit(k)
@@ -216,5 +229,16 @@ def user_features(
             .alias(f"value_{k}")
         )
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("n_events"))
+    aggs.append(F.min(ts).alias("first_seen"))
     aggs.append(F.max(ts).alias("last_seen"))
-    return events.groupBy(user).agg(*aggs)
+    out = events.groupBy(user).agg(*aggs)
+    # The mean gap between a user's consecutive events (a lag feature) needs
+    # no window: the gaps telescope, so their sum is last − first.
+    span_us = F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(
+        F.col("first_seen").cast("timestamp")
+    )
+    mean_gap = F.when(
+        F.col("n_events") > 1,
+        span_us.cast("double") / F.lit(1e6) / (F.col("n_events") - 1).cast("double"),
+    )
+    return out.withColumn("mean_gap_seconds", mean_gap.cast("double"))

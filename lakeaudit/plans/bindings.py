@@ -257,7 +257,10 @@ def _g8_sql() -> str:
         )
     return (
         "SELECT user_id, " + ", ".join(cols)
-        + ", CAST(COUNT(*) AS BIGINT) AS n_events, MAX(ts) AS last_seen FROM events GROUP BY user_id"
+        + ", CAST(COUNT(*) AS BIGINT) AS n_events, MIN(ts) AS first_seen, MAX(ts) AS last_seen, "
+        "CASE WHEN COUNT(*) > 1 THEN CAST(epoch_us(MAX(ts)) - epoch_us(MIN(ts)) AS DOUBLE) "
+        "/ CAST(1000000 AS DOUBLE) / CAST(COUNT(*) - 1 AS DOUBLE) END "
+        "AS mean_gap_seconds FROM events GROUP BY user_id"
     )
 
 

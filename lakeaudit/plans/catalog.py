@@ -57,14 +57,20 @@ def list_tables(spark: SparkSession, catalog: str, schema: str) -> DataFrame:
 
 
 def table_stats(df: DataFrame) -> DataFrame:
-    """Row count, file count and bytes of a file-based frame in one scan:
-    ``_metadata.file_path``/``file_size`` are read per file, not per byte."""
-    meta = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
-    per_file = meta.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"))
+    """Row count, file count, bytes and last modification of a file-based
+    frame in one scan: the ``_metadata`` file columns are constant per file, so
+    only row counts are read from the data."""
+    meta = df.select(
+        F.col("_metadata.file_path").alias("f"),
+        F.col("_metadata.file_size").alias("s"),
+        F.col("_metadata.file_modification_time").alias("m"),
+    )
+    per_file = meta.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"), F.max("m").alias("m"))
     return per_file.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).cast("bigint").alias("num_files"),
         F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.max("m").alias("updated_at"),
     )
 
 
@@ -96,6 +102,7 @@ def describe_table(spark: SparkSession, table: str, with_profile: bool = True) -
         "row_count": stats["row_count"],
         "num_files": stats["num_files"],
         "size_bytes": stats["size_bytes"],
+        "updated_at": stats["updated_at"],
     }
     if with_profile:
         out["profile"] = [r.asDict() for r in profile(df).collect()]

@@ -5,8 +5,9 @@ contents are pruned from the scan (``ReadSchema`` has no ``content``); the
 listing itself is distributed by Spark's file index.
 
 ``list_files(root)`` returns the direct children of ``root``: files directly in
-it, and one row per sub-directory that contains files (with its file count and
-total bytes, computed by a group-by on the child name). Directories that hold
+it, and one row per sub-directory that contains files. Directory rows have
+``file_size`` 0 (as in the reference's listing) and carry the file count and
+total bytes beneath them, computed by a group-by on the child name. Directories that hold
 no files at any depth are invisible to this source; that is a documented limit.
 A missing root gives an empty frame, as the reference's listing does.
 """
@@ -52,6 +53,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         .agg(
             F.sum(F.when(~is_dir, F.col("length")).otherwise(F.lit(0))).cast("bigint").alias("file_size"),
             F.count(F.lit(1)).cast("bigint").alias("n_files"),
+            F.sum("length").cast("bigint").alias("total_bytes"),
             F.max("modified_at").alias("modified_at"),
         )
         .select(
@@ -60,6 +62,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
             "is_dir",
             F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("file_size")).cast("bigint").alias("file_size"),
             "n_files",
+            "total_bytes",
             "modified_at",
         )
     )

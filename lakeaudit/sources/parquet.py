@@ -33,6 +33,11 @@ def write_parquet(
     w.parquet(path)
 
 
+def write_contract_parquet(df: DataFrame, path: str, contract: Contract, mode: str = "overwrite") -> None:
+    """S6 with the contract's column order and partition columns."""
+    write_parquet(df.select(*contract.column_names), path, contract.partition_by, mode)
+
+
 def create_table_from_parquet(spark: SparkSession, table: str, path: str, replace: bool = False) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS t AS SELECT * FROM parquet.`path```
     (schema inferred from the files). ``replace`` drops the table first, as the

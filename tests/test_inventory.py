@@ -27,6 +27,7 @@ def test_catalog_listings(spark, scratch):
     assert catalog.list_tables(spark, "spark_catalog", "no_such_schema").count() == 0
     detail = catalog.describe_table(spark, f"{schema}.orders")
     assert detail["row_count"] == 3 and detail["num_files"] >= 1 and detail["size_bytes"] > 0
+    assert detail["updated_at"] is not None
     assert [c["name"] for c in detail["columns"]] == ["id"]
     assert detail["profile"][0]["distinct_count"] == 3
     with pytest.raises(ValueError, match="not found"):
@@ -46,6 +47,8 @@ def test_list_files(spark, scratch):
     _tree(root)
     got = {r["path"]: (r["is_dir"], r["file_size"], r["n_files"]) for r in files.list_files(spark, root).collect()}
     assert got == {f"{root}/a.txt": (False, 5, 1), f"{root}/sub": (True, 0, 2)}
+    totals = {r["path"]: r["total_bytes"] for r in files.list_files(spark, root).collect()}
+    assert totals == {f"{root}/a.txt": 5, f"{root}/sub": 18}
     # trailing slash ignored
     assert files.list_files(spark, root + "/").count() == 2
     nested = {r["path"] for r in files.list_files(spark, f"{root}/sub").collect()}

@@ -132,3 +132,28 @@ def test_gated_load_counts(spark, scratch):
     bad = spark.read.parquet(res.rejected_path)
     assert bad.count() == 2
     assert {tuple(r["reasons"]) for r in bad.collect()} == {("null:risk_level",)}
+
+
+def test_partitioned_writers(spark, scratch):
+    from lakeaudit.operators import medallion
+
+    df = spark.createDataFrame(
+        [(1, 1, 1, "2025-01-01", "Shipped ", 1.0, "2025-01-01 00:00:00"),
+         (1, 1, 1, "2025-01-01", "delivered", 1.0, "2025-01-02 00:00:00"),
+         (2, 1, 1, "2025-01-02", "lost", 2.0, "2025-01-02 00:00:00")],
+        "order_id bigint, user_id bigint, product_id bigint, order_date string, status string, "
+        "amount double, updated_at string",
+    ).select("order_id", "user_id", "product_id", F.to_date("order_date").alias("order_date"), "status",
+             "amount", F.to_timestamp("updated_at").alias("updated_at"))
+    good, bad = medallion.silver_orders(df)
+    assert [(r["order_id"], r["status"]) for r in good.collect()] == [(1, "delivered")]
+    assert [r["order_id"] for r in bad.collect()] == [2]
+    out = os.path.join(scratch, "silver")
+    medallion.write_silver(good, out)
+    medallion.write_silver(good, out)
+    assert spark.read.parquet(out).count() == 1
+    assert os.path.isdir(os.path.join(out, "order_date=2025-01-01"))
+    out2 = os.path.join(scratch, "contract")
+    parquet.write_contract_parquet(df, out2, SILVER_ORDERS)
+    parts = sorted(d for d in os.listdir(out2) if d.startswith("order_date="))
+    assert parts == ["order_date=2025-01-01", "order_date=2025-01-02"]
