@@ -937,3 +937,25 @@ def q3_json_rows(spark, sf_dir):
     """Result rows rendered as JSON objects on the executors."""
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     return bounded_sql.result_json_rows(o, keep=["o_orderkey"])
+
+
+# ================================================================ S5+S2+S12
+@binding("s12_csv_migration", S12_SQL)
+def s12_csv_migration(spark, sf_dir):
+    """The CSV migration end to end: export region, nation and orders to a CSV
+    folder, then load the folder into contract tables (typed read, gate,
+    staged reload, verification). Same report as ``s12_load_report``."""
+    from lakeaudit.plans import migrate
+
+    names = ("region", "nation", "orders")
+    frames = {n: _t(spark, sf_dir, n) for n in names}
+    folder = staging_path(spark, "csv-export")
+    migrate.export_csv(spark, frames, folder)
+    contracts = [
+        _orders_contract(frames[n].schema) if n == "orders" else contract_from_schema(n, frames[n].schema)
+        for n in names
+    ]
+    schema = f"la_mig_{uuid.uuid4().hex[:10]}"
+    return migrate.migrate_csv(
+        spark, folder, schema, contracts, schema_location=staging_path(spark, schema), multi_line=False
+    )
