@@ -191,7 +191,12 @@ def funnel(
     plan appears once and its shuffle is reused rather than recomputed.
     Returns ``(step_no, step_name, users)``.
     """
-    relevant = events.filter(F.col(kind).isin(list(steps))).select(user, ts, kind)
+    # Events without a user or a time cannot be followed through the steps.
+    # Filtering them here also makes every step's plan carry the same filters
+    # the joins would infer, so Spark reuses each step's shuffle in the counts.
+    relevant = events.filter(
+        F.col(kind).isin(list(steps)) & F.col(user).isNotNull() & F.col(ts).isNotNull()
+    ).select(user, ts, kind)
     reached = relevant.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(ts).alias("t"))
     per_step = [reached]
     for step in steps[1:]:

@@ -171,7 +171,8 @@ def g5_running_amount(spark, sf_dir):
 
 # ======================================================================== G6
 G6_SQL = """
-WITH t1 AS (SELECT user_id, MIN(ts) AS t1 FROM events WHERE event_type = 'view' GROUP BY user_id),
+WITH t1 AS (SELECT user_id, MIN(ts) AS t1 FROM events
+            WHERE event_type = 'view' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id),
 t2 AS (SELECT e.user_id, MIN(e.ts) AS t2 FROM events e JOIN t1 ON e.user_id = t1.user_id
        WHERE e.event_type = 'click' AND e.ts >= t1.t1 GROUP BY e.user_id),
 t3 AS (SELECT e.user_id, MIN(e.ts) AS t3 FROM events e JOIN t2 ON e.user_id = t2.user_id
