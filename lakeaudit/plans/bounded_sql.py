@@ -47,6 +47,19 @@ class SqlResult:
         )
 
 
+# Session settings holding the default namespace for bounded SQL calls.
+DEFAULT_CATALOG_KEY = "spark.lakeaudit.sql.defaultCatalog"
+DEFAULT_SCHEMA_KEY = "spark.lakeaudit.sql.defaultSchema"
+
+
+def default_namespace(spark: SparkSession, catalog: str | None, schema: str | None) -> tuple[str | None, str | None]:
+    """Q2: an empty catalog/schema falls back to the session's configured
+    default, then to None (the session's current namespace)."""
+    catalog = catalog or spark.conf.get(DEFAULT_CATALOG_KEY, None) or None
+    schema = schema or spark.conf.get(DEFAULT_SCHEMA_KEY, None) or None
+    return catalog, schema
+
+
 def effective_limit(max_rows: int) -> int:
     if max_rows is None:
         max_rows = DEFAULT_MAX_ROWS
@@ -97,6 +110,7 @@ def execute_sql(
     eagerly and return no rows. Several statements in one text raise (Spark
     parses one statement). Parameters bind as named markers, never spliced."""
     n = effective_limit(max_rows)
+    catalog, schema = default_namespace(spark, catalog, schema)
     session = scoped_session(spark, catalog, schema, views) if new_session else spark
     if not new_session:
         if catalog:

@@ -93,3 +93,18 @@ def test_ledger_runs(spark, scratch):
     jobs = ledger.list_jobs(spark, lp, limit=1).collect()
     assert [j["job_id"] for j in jobs] == [102]
     assert ledger.list_jobs(spark, lp).count() == 2
+
+
+def test_default_namespace_from_settings(spark, scratch):
+    loc = os.path.join(scratch, "db3")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS q2_default LOCATION '{loc}'")
+    spark.conf.set(bounded_sql.DEFAULT_SCHEMA_KEY, "q2_default")
+    try:
+        r = bounded_sql.execute_sql(spark, "SELECT current_database() AS db", schema="")
+        assert r.rows == [["q2_default"]]
+        r = bounded_sql.execute_sql(spark, "SELECT current_database() AS db", schema="default")
+        assert r.rows == [["default"]]
+    finally:
+        spark.conf.unset(bounded_sql.DEFAULT_SCHEMA_KEY)
+    r = bounded_sql.execute_sql(spark, "SELECT current_database() AS db")
+    assert r.rows == [[spark.catalog.currentDatabase()]]
