@@ -90,17 +90,19 @@ def reload_table(
     partition overwrite, which is atomic per partition and never empties the
     table. Loading twice gives the same rows as loading once.
     """
+    # Counts are observed in the stage that writes (never before a shuffle), so
+    # a map stage re-run after a lost executor cannot inflate them.
     obs = Observation(f"reload:{table}")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if partition_by and spark.catalog.tableExists(table):
         cols = spark.table(table).columns
+        clustered = df.select(*cols).repartition(*partition_by)
         # insertInto does not take writer options, so the mode is set on the
         # session for this statement and put back afterwards.
         key = "spark.sql.sources.partitionOverwriteMode"
         previous = spark.conf.get(key, "static")
         spark.conf.set(key, "dynamic")
         try:
-            observed.select(*cols).repartition(*partition_by).write.insertInto(table, overwrite=True)
+            clustered.observe(obs, F.count(F.lit(1)).alias("rows")).write.insertInto(table, overwrite=True)
         finally:
             spark.conf.set(key, previous)
         rows = int(obs.get["rows"])
@@ -109,6 +111,7 @@ def reload_table(
         return rows
     staging = f"{table}__staging"
     spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": staging})
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

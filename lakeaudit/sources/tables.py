@@ -36,7 +36,9 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
 def scan(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
     """The frame as stored (all columns, stored order, no filter) plus an
     Observation whose ``get["rows"]`` holds the row count once an action has
-    consumed the returned frame."""
+    consumed the returned frame. The count is exact under task retries when no
+    shuffle follows the scan in that action (a write or a collect of the scan);
+    a map stage that is re-run after a lost executor may report its rows twice."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
