@@ -51,7 +51,7 @@ def write_silver(good: DataFrame, path: str, partition_by: Sequence[str] = ("ord
     """Write silver rows partitioned by the contract's partition columns;
     a rerun replaces only the partitions present in ``good``."""
     (
-        good.repartition(*partition_by)
+        good.hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

@@ -95,7 +95,8 @@ def reload_table(
     obs = Observation(f"reload:{table}")
     if partition_by and spark.catalog.tableExists(table):
         cols = spark.table(table).columns
-        clustered = df.select(*cols).repartition(*partition_by)
+        # Clustered by partition value; AQE splits a value holding many rows.
+        clustered = df.select(*cols).hint("rebalance", *partition_by)
         # insertInto does not take writer options, so the mode is set on the
         # session for this statement and put back afterwards.
         key = "spark.sql.sources.partitionOverwriteMode"

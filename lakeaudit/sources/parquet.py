@@ -23,10 +23,12 @@ def write_parquet(
     mode: str = "overwrite",
 ) -> None:
     """No index column (Spark has none). With partition columns, rows are
-    first clustered by them so each task writes few files per partition value."""
+    first clustered by them (``REBALANCE`` hint) so each task writes few files
+    per partition value, and AQE splits a partition value that holds a large
+    share of the rows across several tasks instead of one."""
     writer_df = df
     if partition_by:
-        writer_df = df.repartition(*partition_by)
+        writer_df = df.hint("rebalance", *partition_by)
     w = writer_df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

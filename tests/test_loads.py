@@ -157,3 +157,23 @@ def test_partitioned_writers(spark, scratch):
     parquet.write_contract_parquet(df, out2, SILVER_ORDERS)
     parts = sorted(d for d in os.listdir(out2) if d.startswith("order_date="))
     assert parts == ["order_date=2025-01-01", "order_date=2025-01-02"]
+
+
+def test_partitioned_write_splits_hot_value(spark, scratch):
+    """A partition value holding half the rows is written by several tasks."""
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("p"),
+        F.col("id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("pad"),
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, "256k")
+    try:
+        out = os.path.join(scratch, "skewed")
+        parquet.write_parquet(df, out, partition_by=["p"])
+    finally:
+        spark.conf.set(key, previous)
+    hot_files = [f for f in os.listdir(os.path.join(out, "p=hot")) if f.endswith(".parquet")]
+    assert len(hot_files) > 1
+    assert spark.read.parquet(out).count() == 200_000
