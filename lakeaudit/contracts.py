@@ -102,6 +102,8 @@ def _cols(*specs: tuple) -> tuple[Column, ...]:
 # ---------------------------------------------------------------------------
 # The five compliance-audit tables, column names, types and NOT
 # NULL flags exactly as the reference declares them (True = nullable).
+# The keys and foreign keys of these five are ours: the reference declares none
+# (its id columns are even nullable); they follow the shared column names.
 # ---------------------------------------------------------------------------
 CUSTOMERS = Contract(
     "customers",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.functions.json import extract_json_fields
+from lakeaudit.functions.json import extract_json_fields, json_is_valid
 
 
 def violation_summary(
@@ -93,7 +93,5 @@ def payload_fields(
     ``fields`` maps output name → ``"$.path:type"``; the reference names no
     keys, so they are always a parameter."""
     extracted = extract_json_fields(payload, fields)
-    valid = F.when(F.col(payload).isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.json_object_keys(F.col(payload)).isNotNull()
-    )
+    valid = json_is_valid(payload)
     return df.select(*keep, *[c.alias(n) for n, c in extracted.items()], valid.alias("payload_valid"))

@@ -177,3 +177,18 @@ def test_partitioned_write_splits_hot_value(spark, scratch):
     hot_files = [f for f in os.listdir(os.path.join(out, "p=hot")) if f.endswith(".parquet")]
     assert len(hot_files) > 1
     assert spark.read.parquet(out).count() == 200_000
+
+
+def test_reload_failing_midway_keeps_old_rows(spark, schema):
+    """A write that fails part-way (one bad row raises inside the job) leaves
+    the previous rows in place."""
+    table = f"{schema}.customers"
+    loads.reload_table(spark, _customers(spark, 5), table)
+    bad = _customers(spark, 9).withColumn(
+        "kyc_tier",
+        F.when(F.col("customer_id") == "c7", F.raise_error(F.lit("boom"))).otherwise(F.col("kyc_tier")),
+    )
+    with pytest.raises(Exception):
+        loads.reload_table(spark, bad, table)
+    assert spark.table(table).count() == 5
+    assert loads.reload_table(spark, _customers(spark, 6), table) == 6
