@@ -39,19 +39,23 @@ def export_csv(
     tables: dict[str, DataFrame],
     out_dir: str,
     null_value: str = "",
+    max_workers: int = 4,
 ) -> DataFrame:
     """Write each table under ``out_dir/<name>.csv/``; report rows per table.
-    A table that fails is reported and skipped."""
-    report = []
-    for name, df in tables.items():
+    A table that fails is reported and skipped; independent tables are
+    written up to ``max_workers`` at a time."""
+
+    def export(item):
+        name, df = item
         path = f"{out_dir.rstrip('/')}/{name}.csv"
         try:
             obs = Observation(f"export:{name}")
             csv_source.write_csv(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, null_value=null_value)
-            report.append((name, path, int(obs.get["rows"]), "ok", None))
+            return (name, path, int(obs.get["rows"]), "ok", None)
         except Exception as exc:
-            report.append((name, path, None, "failed", f"{type(exc).__name__}: {exc}"[:2000]))
-    return spark.createDataFrame(report, EXPORT_SCHEMA)
+            return (name, path, None, "failed", f"{type(exc).__name__}: {exc}"[:2000])
+
+    return spark.createDataFrame(loads.run_per_table(export, tables.items(), max_workers), EXPORT_SCHEMA)
 
 
 def migrate_csv(
