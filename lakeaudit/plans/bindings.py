@@ -760,11 +760,13 @@ def s12_load_report(spark, sf_dir):
 # ======================================================================== M5
 _ORDERS_PROFILE = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
                    ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+_DOCUMENTS_PROFILE = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                      ("n_chars", "bigint")]
 
 
-def _m5_sql() -> str:
+def _m5_sql(table: str, columns) -> str:
     parts = []
-    for i, (c, t) in enumerate(_ORDERS_PROFILE, start=1):
+    for i, (c, t) in enumerate(columns, start=1):
         if t == "double":
             mn = f"CAST(CAST(MIN({c}) AS DECIMAL(38,6)) AS VARCHAR)"
             mx = f"CAST(CAST(MAX({c}) AS DECIMAL(38,6)) AS VARCHAR)"
@@ -774,16 +776,23 @@ def _m5_sql() -> str:
             f"SELECT '{c}' AS column_name, {i} AS ordinal, '{t}' AS data_type, "
             f"CAST(COUNT(*) AS BIGINT) AS row_count, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count, "
             f"CAST(COUNT(DISTINCT {c}) AS BIGINT) AS distinct_count, {mn} AS min_value, {mx} AS max_value "
-            f"FROM orders"
+            f"FROM {table}"
         )
     return "\nUNION ALL\n".join(parts)
 
 
-@binding("m5_profile_orders", _m5_sql())
+@binding("m5_profile_orders", _m5_sql("orders", _ORDERS_PROFILE))
 def m5_profile_orders(spark, sf_dir):
     return profile(_t(spark, sf_dir, "orders"))
 
 
+@binding("m5_profile_documents", _m5_sql("documents", _DOCUMENTS_PROFILE))
+def m5_profile_documents(spark, sf_dir):
+    """Profile of the documents table: distinct counts and min/max over whole
+    texts (byte order, as both engines compare text)."""
+    return profile(_t(spark, sf_dir, "documents"))
+
+
 # ======================================================================== M6
 @binding("m6_list_files")
 def m6_list_files(spark, sf_dir):
