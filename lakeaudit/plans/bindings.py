@@ -247,6 +247,67 @@ def g7_quality_report(spark, sf_dir):
     return quality.union_reports(parts)
 
 
+_G7C_SQL = """
+SELECT 'documents' AS table_name, 'not_null' AS check_name, 'text' AS column_name,
+       CAST(COUNT(*) FILTER (WHERE text IS NULL) AS BIGINT) AS failed_rows, CAST(COUNT(*) AS BIGINT) AS total_rows
+FROM documents
+UNION ALL
+SELECT 'documents', 'unique_key', 'doc_id', CAST(COUNT(*) FILTER (WHERE n > 1) AS BIGINT),
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM documents GROUP BY doc_id)
+UNION ALL
+SELECT 'labels', 'not_null', 'doc_id', CAST(COUNT(*) FILTER (WHERE doc_id IS NULL) AS BIGINT),
+       CAST(COUNT(*) AS BIGINT) FROM labels
+UNION ALL
+SELECT 'labels', 'domain', 'quality',
+       CAST(COUNT(*) FILTER (WHERE quality IS NOT NULL AND quality NOT IN (0, 1)) AS BIGINT),
+       CAST(COUNT(*) AS BIGINT) FROM labels
+UNION ALL
+SELECT 'labels', 'domain', 'toxic',
+       CAST(COUNT(*) FILTER (WHERE toxic IS NOT NULL AND toxic NOT IN (0, 1)) AS BIGINT),
+       CAST(COUNT(*) AS BIGINT) FROM labels
+UNION ALL
+SELECT 'labels', 'unique_key', 'doc_id', CAST(COUNT(*) FILTER (WHERE n > 1) AS BIGINT),
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM labels GROUP BY doc_id)
+UNION ALL
+SELECT 'labels', 'foreign_key', 'doc_id',
+       CAST(COUNT(*) FILTER (WHERE doc_id IS NOT NULL AND NOT EXISTS
+            (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id)) AS BIGINT),
+       CAST(COUNT(*) AS BIGINT) FROM labels
+UNION ALL
+SELECT 'conversations', 'unique_key', 'conv_id,turn', CAST(COUNT(*) FILTER (WHERE n > 1) AS BIGINT),
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM conversations GROUP BY conv_id, turn)
+UNION ALL
+SELECT 'embeddings', 'unique_key', 'vec_id', CAST(COUNT(*) FILTER (WHERE n > 1) AS BIGINT),
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM embeddings GROUP BY vec_id)
+UNION ALL
+SELECT 'pages', 'not_null', 'url', CAST(COUNT(*) FILTER (WHERE url IS NULL) AS BIGINT),
+       CAST(COUNT(*) AS BIGINT) FROM pages
+UNION ALL
+SELECT 'pages', 'unique_key', 'page_id', CAST(COUNT(*) FILTER (WHERE n > 1) AS BIGINT),
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM pages GROUP BY page_id)
+"""
+
+
+@binding("g7_quality_content_tables", _G7C_SQL)
+def g7_quality_content_tables(spark, sf_dir):
+    """The same quality checks over the content tables: keys, the labels →
+    documents foreign key, NOT NULL text and url, 0/1 label domains."""
+    docs = _t(spark, sf_dir, "documents")
+    labels = _t(spark, sf_dir, "labels")
+    parts = [
+        quality.column_checks(docs, "documents", not_null=["text"]),
+        quality.key_check(docs, "documents", ["doc_id"]),
+        quality.column_checks(labels, "labels", not_null=["doc_id"], domains={"quality": (0, 1), "toxic": (0, 1)}),
+        quality.key_check(labels, "labels", ["doc_id"]),
+        quality.foreign_key_check(labels, "labels", "doc_id", docs, "doc_id"),
+        quality.key_check(_t(spark, sf_dir, "conversations"), "conversations", ["conv_id", "turn"]),
+        quality.key_check(_t(spark, sf_dir, "embeddings"), "embeddings", ["vec_id"]),
+        quality.column_checks(_t(spark, sf_dir, "pages"), "pages", not_null=["url"]),
+        quality.key_check(_t(spark, sf_dir, "pages"), "pages", ["page_id"]),
+    ]
+    return quality.union_reports(parts)
+
+
 # ======================================================================== G8
 def _g8_sql() -> str:
     cols = []
