@@ -29,6 +29,36 @@ SQL_SETTINGS = {
 }
 
 
+def scale_settings(
+    input_bytes: int,
+    total_cores: int,
+    target_partition_bytes: int = 256 * 1024 * 1024,
+    max_partitions: int = 200_000,
+) -> dict[str, str]:
+    """Settings sized to the data, for a cluster run.
+
+    * ``spark.sql.shuffle.partitions`` — enough that a shuffle of the whole
+      input gives partitions of about ``target_partition_bytes`` (so a task's
+      sort and hash buffers fit in executor memory instead of spilling), never
+      fewer than two waves of cores. AQE then coalesces the partitions that
+      turn out small, so over-provisioning is cheap and under-provisioning is
+      what spills. Capped at ``max_partitions`` (map-status and task
+      overhead grow with the count; a shuffle rarely carries the whole input,
+      since columns are pruned and aggregates combine before it).
+    * file splits of the same size, and AQE's advisory size and skew threshold
+      matched to it, so a partition several times the target is split.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    partitions = min(partitions, max(max_partitions, 2 * total_cores))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "lakeaudit",
@@ -38,7 +68,8 @@ def build_session(
     """Create (or reuse) a session with the package's settings.
 
     ``shuffle_partitions`` should follow the data: about one partition per
-    128-256 MB of shuffled data on a cluster; about the core count locally.
+    128-256 MB of shuffled data on a cluster (see :func:`scale_settings`,
+    passed through ``extra``); about the core count locally.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
