@@ -995,6 +995,23 @@ GROUP BY 1
 _bounded_binding("q1_full_outer", Q1_FULL_OUTER_SQL, ("customer", "orders"))
 
 
+Q1_BAND_JOIN_SQL = """
+SELECT b.band,
+       CAST(COUNT(*) AS BIGINT) AS lines,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(22,2)) AS amount
+FROM lineitem
+JOIN (VALUES ('a: under 1k', CAST(0 AS DOUBLE), CAST(1000 AS DOUBLE)),
+             ('b: 1k-10k', CAST(1000 AS DOUBLE), CAST(10000 AS DOUBLE)),
+             ('c: 10k-50k', CAST(10000 AS DOUBLE), CAST(50000 AS DOUBLE)),
+             ('d: 50k and more', CAST(50000 AS DOUBLE), CAST(1e300 AS DOUBLE))) AS b(band, lo, hi)
+  ON l_extendedprice >= b.lo AND l_extendedprice < b.hi
+GROUP BY b.band
+"""
+# A theta (non-equi) join: each line meets exactly one band of a four-row
+# inline table, so the output grows with lineitem, never with pairs.
+_bounded_binding("q1_band_join", Q1_BAND_JOIN_SQL, ("lineitem",))
+
+
 # ======================================================================== Q3
 Q3_SQL = """
 SELECT o_orderkey,
