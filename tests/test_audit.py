@@ -185,3 +185,44 @@ def test_payload_fields(spark):
     assert (out["e1"]["k"], out["e1"]["who"], out["e1"]["payload_valid"]) == (5, "a", True)
     assert (out["e2"]["k"], out["e2"]["payload_valid"]) == (None, False)
     assert out["e3"]["payload_valid"] is None
+
+
+def test_audit_run_end_to_end(spark, scratch):
+    import os
+
+    from lakeaudit.contracts import AUDIT_EVENTS, CUSTOMERS
+    from lakeaudit.plans.audit_run import AuditParams, run_audit
+
+    customers = spark.createDataFrame(
+        [("c1", "US", "tier1", "low", dt.date(2024, 1, 1), None), ("c2", "MX", "tier2", "high", dt.date(2024, 1, 1), None)],
+        CUSTOMERS.schema(),
+    )
+    tx = _transactions(spark, [
+        dict(tx_id="t1", customer_id="c1"),
+        dict(tx_id="t2", customer_id="c2", charged_fee=D("9.99"), actual_delivery_ts=_ts("2025-01-05 00:00:00")),
+        dict(tx_id="t3", customer_id="c2", actual_delivery_ts=None),
+    ])
+    ds = _disclosures(spark, [
+        dict(disclosure_id="d1", tx_id="t1"),
+        dict(disclosure_id="d2", tx_id="t2", receipt_sent_at=None),
+    ])
+    t0 = dt.datetime(2025, 1, 1)
+    events = spark.createDataFrame(
+        [("e1", "t1", "created", "sys", t0, 1, '{"k": 1}', None),
+         ("e2", "t1", "sent", "sys", t0 + dt.timedelta(seconds=5), 3, '{"k": 2}', None)],
+        AUDIT_EVENTS.schema(),
+    )
+    params = AuditParams(as_of="2025-01-10 00:00:00", payload_fields={"k": "$.k:int"})
+    out = os.path.join(scratch, "audit")
+    report = {r["output"]: r["rows"] for r in run_audit(spark, customers, tx, ds, events, params, out).collect()}
+    assert report["violations"] == 1  # t2's fee
+    assert report["late_deliveries"] == 2  # t2 late, t3 overdue
+    assert report["missing_disclosures"] == 1  # t3
+    assert report["receipt_checks"] == 1  # d2 receipt missing
+    assert report["trail_summary"] == 1 and report["payload_fields"] == 2
+    trail = spark.read.parquet(os.path.join(out, "trail_summary")).first()
+    assert trail["n_gaps"] == 1 and trail["is_clean"] is False
+    rollup = spark.read.parquet(os.path.join(out, "violation_rollup"))
+    assert rollup.filter("g_severity = 1").first()["violations"] == 1
+    exposure = {r["kyc_tier"]: r for r in spark.read.parquet(os.path.join(out, "risk_exposure")).collect()}
+    assert exposure["tier2"]["n_violating"] == 1 and exposure["tier1"]["n_violating"] == 0
