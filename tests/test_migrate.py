@@ -94,3 +94,21 @@ def test_migrate_parquet(spark, scratch):
     assert rep["region"]["drift_columns"] == 1  # r_name is extra to the contract
     assert rep["nation"]["matches"] and rep["nation"]["drift_columns"] is None
     assert rep["missing"]["status"] == "failed"
+
+
+def test_command_line(spark, scratch, capsys):
+    import json
+
+    from lakeaudit.__main__ import main
+
+    out = os.path.join(scratch, "csv")
+    assert main(["export-csv", "--parquet-dir", SF_SMALL, "--tables", "region,nation", "--out-dir", out], spark) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert {r["table_name"]: r["rows"] for r in lines} == {"region": 5, "nation": 25}
+    folder = os.path.join(scratch, "exports")
+    _write_exports(folder)
+    schema = f"cli_{uuid.uuid4().hex[:8]}"
+    code = main(["migrate-csv", "--csv-dir", folder, "--schema", schema, "--tables", "customers,audit_events",
+                 "--schema-location", os.path.join(scratch, schema)], spark)
+    report = {r["table_name"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert code == 0 and report["customers"]["rows_loaded"] == 2 and report["audit_events"]["rows_loaded"] == 2
