@@ -77,7 +77,10 @@ def scoped_session(
 ) -> SparkSession:
     """Q2: a new session with its own current catalog/schema. Temp views do not
     cross sessions, so ``views`` (name → source path) are registered in it."""
-    s = spark.newSession()
+    try:
+        s = spark.newSession()
+    except Exception:  # sessions without child sessions (Spark Connect): use the caller's
+        s = spark
     if catalog:
         s.catalog.setCurrentCatalog(catalog)
     if schema:
