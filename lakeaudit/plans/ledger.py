@@ -57,31 +57,38 @@ def run_job(
     output_path: str | None = None,
     job_name: str = "",
     run_id: int | None = None,
+    output_table: str | None = None,
 ) -> dict:
-    """Run one parameterised step and record it. Returns
-    ``{run_id, job_id, params, state, rows_written, output_path}``."""
+    """Run one parameterised step and record it. The result goes to
+    ``output_path`` (Parquet) or ``output_table`` (a catalog table, replaced).
+    Returns ``{run_id, job_id, params, state, rows_written, output_path}``."""
     parsed, error = parse_params(params)
     if error:
         return {"error": error}
     run_id = run_id if run_id is not None else uuid.uuid4().int % (1 << 53)
     ptext = json.dumps(parsed, sort_keys=True)
     now = dt.datetime.now(dt.timezone.utc)
-    _append(spark, ledger_path, (run_id, job_id, job_name, ptext, "RUNNING", None, now, 0, None, output_path, None))
+    target = output_table or output_path
+    _append(spark, ledger_path, (run_id, job_id, job_name, ptext, "RUNNING", None, now, 0, None, target, None))
     rows = None
     try:
         df = spark.sql(statement, args=parsed or None)
-        if output_path:
+        if output_path or output_table:
             obs = Observation(f"run:{run_id}")
-            df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(output_path)
+            writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+            if output_table:
+                writer.format("parquet").saveAsTable(output_table)
+            else:
+                writer.parquet(output_path)
             rows = int(obs.get["rows"])
         state, result, err = "TERMINATED", "SUCCESS", None
     except Exception as exc:
         state, result, err = "TERMINATED", "FAILED", f"{type(exc).__name__}: {exc}"[:2000]
     end = dt.datetime.now(dt.timezone.utc)
-    _append(spark, ledger_path, (run_id, job_id, job_name, ptext, state, result, end, 1, rows, output_path, err))
+    _append(spark, ledger_path, (run_id, job_id, job_name, ptext, state, result, end, 1, rows, target, err))
     return {
         "run_id": run_id, "job_id": job_id, "params": parsed, "state": result,
-        "rows_written": rows, "output_path": output_path, "error": err,
+        "rows_written": rows, "output_path": target, "error": err,
     }
 
 

@@ -108,3 +108,13 @@ def test_default_namespace_from_settings(spark, scratch):
         spark.conf.unset(bounded_sql.DEFAULT_SCHEMA_KEY)
     r = bounded_sql.execute_sql(spark, "SELECT current_database() AS db")
     assert r.rows == [[spark.catalog.currentDatabase()]]
+
+
+def test_ledger_run_to_table(spark, scratch):
+    loc = os.path.join(scratch, "db4")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS p1_out LOCATION '{loc}'")
+    stmt = f"SELECT o_orderkey FROM parquet.`{SF_SMALL}/orders.parquet` WHERE o_totalprice >= :floor"
+    run = ledger.run_job(spark, os.path.join(scratch, "ledger"), 7, stmt, '{"floor": 100000}',
+                         output_table="p1_out.big_orders")
+    assert run["state"] == "SUCCESS"
+    assert spark.table("p1_out.big_orders").count() == run["rows_written"] > 0
