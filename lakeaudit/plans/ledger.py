@@ -2,7 +2,7 @@
 
 The reference triggers jobs on a remote scheduler and reads their state back.
 No scheduler is built here. What remains is the user-level data work: a step
-is a parameterised SQL statement whose result is written to a path, and every
+is a parameterised SQL statement whose result is written to a path or table, and every
 run appends life-cycle rows to a ledger (Parquet in the shared staging folder).
 Run state and job listings are queries over that ledger.
 
