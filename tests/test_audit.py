@@ -226,3 +226,37 @@ def test_audit_run_end_to_end(spark, scratch):
     assert rollup.filter("g_severity = 1").first()["violations"] == 1
     exposure = {r["kyc_tier"]: r for r in spark.read.parquet(os.path.join(out, "risk_exposure")).collect()}
     assert exposure["tier2"]["n_violating"] == 1 and exposure["tier1"]["n_violating"] == 0
+
+
+def test_reconcile_math_matches_python_decimal(spark):
+    """delta, delta_pct (half-up to 4 places, NULL on a zero base or overflow)
+    and severity, for random amounts, against Python's decimal module."""
+    import decimal
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        stated = D(rnd.randint(-10**7, 10**7)) / 100 if i % 50 else D("0.00")
+        actual = stated + D(rnd.randint(-10**6, 10**6)) / 100 if i % 7 else D(rnd.randint(0, 10**9)) / 100
+        rows.append((f"t{i}", stated, actual))
+    df = spark.createDataFrame(rows, "tx string, s decimal(12,2), a decimal(12,2)")
+    rule = reconcile.Rule("R", "s", "a", 0.0)
+    got = {r["tx_id"]: r for r in reconcile.reconcile(df, "tx", [rule], only_violations=False).collect()}
+    ctx = decimal.Context(prec=60, rounding=decimal.ROUND_HALF_UP)
+    for tx, stated, actual in rows:
+        r = got[tx]
+        delta = actual - stated
+        fits = abs(delta) < D("1000000")  # DECIMAL(12,6) holds six integer digits
+        assert r["delta"] == (delta if fits else None)
+        assert r["delta_overflow"] == (not fits)
+        if stated == 0:
+            pct = None
+        else:
+            pct = ctx.divide(delta * 100, stated).quantize(D("0.0001"), rounding=decimal.ROUND_HALF_UP)
+            if abs(pct) >= D("10000"):
+                pct = None
+        assert r["delta_pct"] == pct, (tx, stated, actual, r["delta_pct"], pct)
+        want = "high" if pct is None or abs(pct) >= 10 else "medium" if abs(pct) >= 1 else "low"
+        assert r["severity"] == want
+        assert r["violated"] == (delta != 0)
