@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.money import money, money_sum
-from lakeaudit.operators.segmented import latest_per_key, running_sum_blocked, time_block
+from lakeaudit.operators.segmented import block_width_for, latest_per_key, running_sum_blocked, time_block
 
 
 # --------------------------------------------------------------------------- G3
@@ -156,12 +156,16 @@ def running_amount(
     user: str = "o_custkey",
     order: Sequence[str] = ("o_orderdate", "o_orderkey"),
     amount: str = "o_totalprice",
-    block_seconds: int = 30 * 86400,
+    block_seconds: int | None = None,
+    rows_per_block: int = 1 << 20,
 ) -> DataFrame:
     """Running Σ amount per user along ``order`` (rows frame), in DECIMAL.
     Computed per (user, time block) so one very active user does not land in a
-    single task; ``order`` must be total within a user."""
+    single task; ``order`` must be total within a user. The block width is
+    sized from the data (``block_width_for``) unless ``block_seconds`` is given."""
     ts = order[0]
+    if block_seconds is None:
+        block_seconds = block_width_for(orders, user, ts, rows_per_block)
     return running_sum_blocked(
         orders,
         user,

@@ -62,6 +62,34 @@ def time_block(ts, width_seconds: int = 3600) -> Column:
     return F.floor(F.unix_timestamp(col_of(ts)) / F.lit(width_seconds)).cast("bigint")
 
 
+def _as_number(c: Column, dtype) -> Column:
+    from pyspark.sql import types as T
+
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_timestamp(c)
+    return c
+
+
+def block_width_for(df: DataFrame, keys, order_col: str, rows_per_block: int = 1 << 20) -> int:
+    """A block width for ``order_col`` sized to the data.
+
+    With the busiest key holding ``n`` rows spread over a value range of
+    ``span``, a width of ``span · rows_per_block / n`` gives that key about
+    ``rows_per_block`` rows per block (timestamps are measured in seconds).
+    Blocks therefore get narrower as the hot key grows, and stay wide when no
+    key is large. One small aggregate job (per-key counts, then the maximum and
+    the value range) runs when this is called.
+    """
+    keys = _names(keys)
+    x = _as_number(F.col(order_col), df.schema[order_col].dataType)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    stats = per_key.agg(F.max("_n").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+    if stats is None or stats["n"] is None or stats["lo"] is None:
+        return 1
+    span = float(stats["hi"] - stats["lo"]) + 1.0
+    return max(1, int(-(-span * rows_per_block // stats["n"])))
+
+
 def _order_cols(order) -> list[Column]:
     return [col_of(c) for c in _names(order)]
 

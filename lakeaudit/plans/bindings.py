@@ -26,7 +26,7 @@ from lakeaudit.contracts import Contract, contract_from_schema
 from lakeaudit.functions.money import money
 from lakeaudit.operators import deadlines, gate, medallion, quality, reconcile, summaries, trails
 from lakeaudit.operators.profile import profile
-from lakeaudit.operators.segmented import latest_per_key, seq_block
+from lakeaudit.operators.segmented import block_width_for, latest_per_key, seq_block
 from lakeaudit.plans import bounded_sql, ledger, loads
 from lakeaudit.session import staging_path
 from lakeaudit.sources import csv as csv_source
@@ -600,7 +600,8 @@ def c6_trail_events(spark, sf_dir):
     event id within the user (numbered per id block, so a very active user is
     split across tasks), the clock is ``ts``."""
     e = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    return trails.numbered_trail_summary(e, "user_id", ["event_id"], seq_block(F.col("event_id")), clock="ts")
+    width = block_width_for(e, "user_id", "event_id")
+    return trails.numbered_trail_summary(e, "user_id", ["event_id"], seq_block(F.col("event_id"), width), clock="ts")
 
 
 # ======================================================================== C7

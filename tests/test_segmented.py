@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeaudit.operators.segmented import (
+    block_width_for,
     lag_blocked,
     latest_per_key,
     row_number_blocked,
@@ -75,3 +76,17 @@ def test_hot_key_is_split_across_tasks(spark, skewed):
     tagged = skewed.withColumn("b", seq_block(F.col("seq"), 64))
     blocks = tagged.filter("k = 0").select("b").distinct().count()
     assert blocks > 10
+
+
+def test_block_width_follows_the_hot_key(spark, skewed):
+    # the hot key holds ~1,000 of 3,000 rows over seq 0..2999
+    wide = block_width_for(skewed, "k", "seq", rows_per_block=1 << 20)
+    narrow = block_width_for(skewed, "k", "seq", rows_per_block=100)
+    assert wide > 3000
+    assert 250 <= narrow <= 350  # 3000 * 100 / ~1000
+    blocks = skewed.filter("k = 0").select(seq_block(F.col("seq"), narrow).alias("b")).distinct().count()
+    assert blocks >= 9
+    got = running_sum_blocked(skewed, "k", ["seq"], F.col("v"), seq_block(F.col("seq"), narrow), out="run")
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = skewed.withColumn("run", F.sum("v").over(w))
+    assert _as_map(got, ["k", "seq", "run"]) == _as_map(want, ["k", "seq", "run"])
