@@ -162,17 +162,14 @@ def running_amount(
     """Running Σ amount per user along ``order`` (rows frame), in DECIMAL.
     Computed per (user, time block) so one very active user does not land in a
     single task; ``order`` must be total within a user. The block width is
-    sized from the data (``block_width_for``) unless ``block_seconds`` is given."""
+    sized from the data (``block_width_for``) unless ``block_seconds`` is given;
+    when no user exceeds ``rows_per_block`` rows, a plain window is used."""
     ts = order[0]
     if block_seconds is None:
         block_seconds = block_width_for(orders, user, ts, rows_per_block)
+    block = time_block(F.col(ts), block_seconds) if block_seconds else None
     return running_sum_blocked(
-        orders,
-        user,
-        list(order),
-        money(amount),
-        time_block(F.col(ts), block_seconds),
-        out="running_amount",
+        orders, user, list(order), money(amount), block, out="running_amount"
     ).withColumn("running_amount", F.col("running_amount").cast("decimal(22,2)"))
 
 

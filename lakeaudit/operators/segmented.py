@@ -16,6 +16,11 @@ and compute the ordered result per (key, block):
    partitioning, so the last step adds no shuffle, and a hot key is spread over
    as many tasks as it has blocks.
 
+Splitting costs a second pass over the rows, so it is paid only when needed:
+``block_width_for`` measures the busiest key with one small aggregate and
+returns no width when every key fits in one block; the helpers then run a
+plain per-key window.
+
 "Keep the latest row per key" needs no window at all: ``max(struct(order...,
 rest...))`` is an ordinary aggregate with map-side combining.
 """
@@ -70,22 +75,24 @@ def _as_number(c: Column, dtype) -> Column:
     return c
 
 
-def block_width_for(df: DataFrame, keys, order_col: str, rows_per_block: int = 1 << 20) -> int:
-    """A block width for ``order_col`` sized to the data.
+def block_width_for(df: DataFrame, keys, order_col: str, rows_per_block: int = 1 << 20) -> int | None:
+    """A block width for ``order_col`` sized to the data, or ``None`` when no
+    key holds more than ``rows_per_block`` rows (then a plain per-key window is
+    cheapest and nothing needs splitting).
 
     With the busiest key holding ``n`` rows spread over a value range of
     ``span``, a width of ``span · rows_per_block / n`` gives that key about
     ``rows_per_block`` rows per block (timestamps are measured in seconds).
-    Blocks therefore get narrower as the hot key grows, and stay wide when no
-    key is large. One small aggregate job (per-key counts, then the maximum and
-    the value range) runs when this is called.
+    Blocks therefore get narrower as the hot key grows. One small aggregate job
+    (per-key counts, then the maximum and the value range) runs when this is
+    called.
     """
     keys = _names(keys)
     x = _as_number(F.col(order_col), df.schema[order_col].dataType)
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     stats = per_key.agg(F.max("_n").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
-    if stats is None or stats["n"] is None or stats["lo"] is None:
-        return 1
+    if stats is None or stats["n"] is None or stats["lo"] is None or stats["n"] <= rows_per_block:
+        return None
     span = float(stats["hi"] - stats["lo"]) + 1.0
     return max(1, int(-(-span * rows_per_block // stats["n"])))
 
@@ -98,7 +105,7 @@ def ordered_blocked(
     df: DataFrame,
     keys,
     order,
-    block: Column,
+    block: Column | None,
     row_number: str | None = None,
     running: dict[str, Column] | None = None,
     lag_cols: Sequence[str] = (),
@@ -114,11 +121,15 @@ def ordered_blocked(
     Cost: one partial aggregate per (key, block), one window over that small
     table, one join on (key, block) and one window partitioned by (key, block)
     sharing the join's partitioning — whatever mix of outputs is requested.
+    With ``block=None`` (no key is large enough to need splitting, see
+    ``block_width_for``) the same outputs come from one plain per-key window.
     """
     keys = _names(keys)
     order_names = _names(order)
     running = dict(running or {})
     lag_cols = list(lag_cols)
+    if block is None:
+        return _ordered_plain(df, keys, order_names, row_number, running, lag_cols, lag_prefix)
     tagged = df.withColumn(_BLK, block)
     for i, (name, value) in enumerate(running.items()):
         tagged = tagged.withColumn(f"_la_v{i}", value)
@@ -164,8 +175,21 @@ def ordered_blocked(
     return out
 
 
+def _ordered_plain(df, keys, order_names, row_number, running, lag_cols, lag_prefix) -> DataFrame:
+    ordered = Window.partitionBy(*keys).orderBy(*_order_cols(order_names))
+    frame = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outs = []
+    if row_number:
+        outs.append(F.row_number().over(ordered).cast("bigint").alias(row_number))
+    for name, value in running.items():
+        outs.append(F.sum(value).over(frame).alias(name))
+    for c in lag_cols:
+        outs.append(F.lag(c).over(ordered).alias(lag_prefix + c))
+    return df.select(*df.columns, *outs)
+
+
 def row_number_blocked(
-    df: DataFrame, keys, order, block: Column, out: str = "rn"
+    df: DataFrame, keys, order, block: Column | None, out: str = "rn"
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` computed per
     (key, block). ``order`` must be total within a key for a repeatable answer."""
@@ -173,7 +197,7 @@ def row_number_blocked(
 
 
 def running_sum_blocked(
-    df: DataFrame, keys, order, value, block: Column, out: str = "running"
+    df: DataFrame, keys, order, value, block: Column | None, out: str = "running"
 ) -> DataFrame:
     """Running ``sum(value)`` per key along ``order`` (rows frame, current row
     included), computed per (key, block). Use a DECIMAL value for exact money."""
@@ -181,7 +205,7 @@ def running_sum_blocked(
 
 
 def lag_blocked(
-    df: DataFrame, keys, order, cols, block: Column, prefix: str = "prev_"
+    df: DataFrame, keys, order, cols, block: Column | None, prefix: str = "prev_"
 ) -> DataFrame:
     """Previous row's ``cols`` per key along ``order`` (NULL on a key's first
     row), computed per (key, block). The first row of a block takes the last

@@ -601,7 +601,8 @@ def c6_trail_events(spark, sf_dir):
     split across tasks), the clock is ``ts``."""
     e = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     width = block_width_for(e, "user_id", "event_id")
-    return trails.numbered_trail_summary(e, "user_id", ["event_id"], seq_block(F.col("event_id"), width), clock="ts")
+    block = seq_block(F.col("event_id"), width) if width else None
+    return trails.numbered_trail_summary(e, "user_id", ["event_id"], block, clock="ts")
 
 
 # ======================================================================== C7

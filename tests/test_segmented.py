@@ -36,24 +36,28 @@ def _as_map(df, cols):
     return {tuple(r[c] for c in cols[:2]): tuple(r[c] for c in cols[2:]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("width", [1, 7, 64, 1 << 16])
+def _block(width):
+    return None if width is None else seq_block(F.col("seq"), width)
+
+
+@pytest.mark.parametrize("width", [None, 1, 7, 64, 1 << 16])
 def test_row_number(spark, skewed, width):
-    got = row_number_blocked(skewed, "k", ["seq"], seq_block(F.col("seq"), width), out="rn")
+    got = row_number_blocked(skewed, "k", ["seq"], _block(width), out="rn")
     want = skewed.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("seq")))
     assert _as_map(got, ["k", "seq", "rn"]) == _as_map(want, ["k", "seq", "rn"])
 
 
-@pytest.mark.parametrize("width", [1, 13, 1 << 16])
+@pytest.mark.parametrize("width", [None, 1, 13, 1 << 16])
 def test_running_sum(spark, skewed, width):
-    got = running_sum_blocked(skewed, "k", ["seq"], F.col("v"), seq_block(F.col("seq"), width), out="run")
+    got = running_sum_blocked(skewed, "k", ["seq"], F.col("v"), _block(width), out="run")
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.withColumn("run", F.sum("v").over(w))
     assert _as_map(got, ["k", "seq", "run"]) == _as_map(want, ["k", "seq", "run"])
 
 
-@pytest.mark.parametrize("width", [1, 5, 1 << 16])
+@pytest.mark.parametrize("width", [None, 1, 5, 1 << 16])
 def test_lag(spark, skewed, width):
-    got = lag_blocked(skewed, "k", ["seq"], ["ts", "v"], seq_block(F.col("seq"), width))
+    got = lag_blocked(skewed, "k", ["seq"], ["ts", "v"], _block(width))
     w = Window.partitionBy("k").orderBy("seq")
     want = skewed.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("prev_v", F.lag("v").over(w))
     cols = ["k", "seq", "prev_ts", "prev_v"]
@@ -80,9 +84,8 @@ def test_hot_key_is_split_across_tasks(spark, skewed):
 
 def test_block_width_follows_the_hot_key(spark, skewed):
     # the hot key holds ~1,000 of 3,000 rows over seq 0..2999
-    wide = block_width_for(skewed, "k", "seq", rows_per_block=1 << 20)
+    assert block_width_for(skewed, "k", "seq", rows_per_block=1 << 20) is None  # nothing to split
     narrow = block_width_for(skewed, "k", "seq", rows_per_block=100)
-    assert wide > 3000
     assert 250 <= narrow <= 350  # 3000 * 100 / ~1000
     blocks = skewed.filter("k = 0").select(seq_block(F.col("seq"), narrow).alias("b")).distinct().count()
     assert blocks >= 9
