@@ -14,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.operators.segmented import lag_blocked, ordered_blocked, row_number_blocked, seq_block
+from lakeaudit.operators.segmented import (
+    block_width_for,
+    lag_blocked,
+    ordered_blocked,
+    row_number_blocked,
+    seq_block,
+)
 
 
 def trail_steps(
@@ -23,14 +29,20 @@ def trail_steps(
     seq: str = "sequence_num",
     clock: str = "wall_clock_ts",
     tie: Sequence[str] = (),
-    block_width: int = 1 << 16,
+    block_width: int | None = None,
+    rows_per_block: int = 1 << 20,
 ) -> DataFrame:
     """Each event with its predecessor's sequence number and clock, and flags:
     ``is_gap`` (seq > prev + 1), ``is_duplicate`` (seq = prev), ``is_backwards``
     (clock < prev clock). ``tie`` columns complete the order for equal
-    (seq, clock) pairs; flags do not depend on them."""
+    (seq, clock) pairs; flags do not depend on them. Sequence blocks are sized
+    from the data unless ``block_width`` is given; when no trail exceeds
+    ``rows_per_block`` events, a plain per-trail window is used."""
     order = [seq, clock, *tie]
-    out = lag_blocked(df, trail, order, [seq, clock], seq_block(F.col(seq), block_width))
+    if block_width is None:
+        block_width = block_width_for(df, trail, seq, rows_per_block)
+    block = seq_block(F.col(seq), block_width) if block_width else None
+    out = lag_blocked(df, trail, order, [seq, clock], block)
     prev_seq = F.col(f"prev_{seq}")
     prev_clock = F.col(f"prev_{clock}")
     return out.select(
@@ -49,11 +61,12 @@ def trail_summary(
     seq: str = "sequence_num",
     clock: str = "wall_clock_ts",
     tie: Sequence[str] = (),
-    block_width: int = 1 << 16,
+    block_width: int | None = None,
+    rows_per_block: int = 1 << 20,
 ) -> DataFrame:
     """One row per trail: event count, first/last sequence number, number of
     gaps, duplicates and backward clock steps, and ``is_clean``."""
-    steps = trail_steps(df, trail, seq, clock, tie, block_width)
+    steps = trail_steps(df, trail, seq, clock, tie, block_width, rows_per_block)
     s = steps.groupBy(trail).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_events"),
         F.min(seq).cast("bigint").alias("first_seq"),

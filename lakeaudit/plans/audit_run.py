@@ -39,7 +39,7 @@ class AuditParams:
     amount_tolerance: float = 0.0
     grace_seconds: int = 0
     receipt_limit_seconds: int = 86400
-    trail_block_width: int = 1 << 16
+    trail_block_width: int | None = None
     payload_fields: dict[str, str] = field(default_factory=dict)
     summary_dims: tuple[str, ...] = ("severity", "rule_id", "corridor")
     tier_cols: tuple[str, ...] = ("kyc_tier", "risk_level")
