@@ -21,39 +21,66 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeaudit.contracts import AUDIT_TABLES, Contract
+from lakeaudit.contracts import AUDIT_TABLES, CSV_TIMESTAMP_FORMAT, Contract
 from lakeaudit.plans import loads
 from lakeaudit.sources import csv as csv_source
 from lakeaudit.sources import parquet
 
-EXPORT_SCHEMA = "table_name string, path string, rows bigint, status string, error string"
+EXPORT_SCHEMA = "table_name string, path string, rows bigint, subsecond_rows bigint, status string, error string"
 PARQUET_SCHEMA = (
     "table_name string, status string, source_rows bigint, target_rows bigint, "
     "matches boolean, drift_columns bigint, error string"
 )
 
 
+def _subsecond(df: DataFrame):
+    """Rows holding a timestamp with a fractional second (any column)."""
+    ts_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    if not ts_cols:
+        return F.lit(False)
+    cond = None
+    for c in ts_cols:
+        frac = (F.unix_micros(F.col(c).cast("timestamp")) % 1_000_000) != 0
+        cond = frac if cond is None else (cond | frac)
+    return F.coalesce(cond, F.lit(False))
+
+
 def export_csv(
     spark: SparkSession,
     tables: dict[str, DataFrame],
     out_dir: str,
     null_value: str = "",
     max_workers: int = 4,
+    timestamp_format: str = CSV_TIMESTAMP_FORMAT,
 ) -> DataFrame:
     """Write each table under ``out_dir/<name>.csv/``; report rows per table.
     A table that fails is reported and skipped; independent tables are
-    written up to ``max_workers`` at a time."""
+    written up to ``max_workers`` at a time.
+
+    The reference's timestamp format has whole seconds. Rows whose timestamps
+    carry fractions are counted in the same pass; if the format would drop
+    them, the table's status is ``lossy`` (pass a format with ``.SSSSSS`` to
+    both this and :func:`migrate_csv` to keep them)."""
+    keeps_fraction = "S" in timestamp_format
 
     def export(item):
         name, df = item
         path = f"{out_dir.rstrip('/')}/{name}.csv"
         try:
             obs = Observation(f"export:{name}")
-            csv_source.write_csv(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, null_value=null_value)
-            return (name, path, int(obs.get["rows"]), "ok", None)
+            observed = df.observe(
+                obs,
+                F.count(F.lit(1)).alias("rows"),
+                F.count(F.when(_subsecond(df), 1)).alias("subsecond"),
+            )
+            csv_source.write_csv(observed, path, null_value=null_value, timestamp_format=timestamp_format)
+            m = obs.get
+            lossy = m["subsecond"] > 0 and not keeps_fraction
+            return (name, path, int(m["rows"]), int(m["subsecond"]), "lossy" if lossy else "ok", None)
         except Exception as exc:
-            return (name, path, None, "failed", f"{type(exc).__name__}: {exc}"[:2000])
+            return (name, path, None, None, "failed", f"{type(exc).__name__}: {exc}"[:2000])
 
     return spark.createDataFrame(loads.run_per_table(export, tables.items(), max_workers), EXPORT_SCHEMA)
 
@@ -66,6 +93,7 @@ def migrate_csv(
     schema_location: str | None = None,
     multi_line: bool = True,
     null_value: str = "",
+    timestamp_format: str = CSV_TIMESTAMP_FORMAT,
 ) -> DataFrame:
     """Load ``csv_dir/<table>.csv`` for every contract into ``schema.<table>``.
     Returns the multi-table load report (see ``loads.load_tables``)."""
@@ -76,7 +104,8 @@ def migrate_csv(
         def reader(s, c=contract):
             loads.create_table(s, f"{schema}.{c.name}", c)
             return csv_source.read_typed_csv(
-                s, f"{base}/{c.name}.csv", c, multi_line=multi_line, null_value=null_value
+                s, f"{base}/{c.name}.csv", c, multi_line=multi_line, null_value=null_value,
+                timestamp_format=timestamp_format,
             )
 
         specs.append(loads.TableLoad(contract.name, reader, contract, contract.partition_by))

@@ -112,3 +112,17 @@ def test_command_line(spark, scratch, capsys):
                  "--schema-location", os.path.join(scratch, schema)], spark)
     report = {r["table_name"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
     assert code == 0 and report["customers"]["rows_loaded"] == 2 and report["audit_events"]["rows_loaded"] == 2
+
+
+def test_export_flags_subsecond_loss(spark, scratch):
+    import datetime as dt
+
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2025, 1, 1, 0, 0, 0)), (2, dt.datetime(2025, 1, 1, 0, 0, 0, 250000))],
+        "id int, ts timestamp_ntz",
+    )
+    lossy = migrate.export_csv(spark, {"t": df}, os.path.join(scratch, "a")).first()
+    assert (lossy["status"], lossy["subsecond_rows"]) == ("lossy", 1)
+    fine = migrate.export_csv(spark, {"t": df}, os.path.join(scratch, "b"),
+                              timestamp_format="yyyy-MM-dd HH:mm:ss.SSSSSS").first()
+    assert (fine["status"], fine["subsecond_rows"]) == ("ok", 1)
