@@ -1,12 +1,20 @@
-"""Command line for the migration flows (run with ``spark-submit`` or python).
-
-    python -m lakeaudit migrate-csv --csv-dir DIR --schema audit [--schema-location PATH]
-    python -m lakeaudit migrate-parquet --parquet-dir DIR --schema audit --tables a,b,c
-    python -m lakeaudit export-csv --parquet-dir DIR --tables a,b --out-dir DIR
+"""Command line (run with ``spark-submit`` or ``python -m lakeaudit``).
+
+Loads:
+    migrate-csv --csv-dir DIR --schema audit [--schema-location PATH]
+    migrate-parquet --parquet-dir DIR --schema audit --tables a,b,c
+    export-csv --parquet-dir DIR --tables a,b --out-dir DIR
+Inventory and SQL:
+    catalogs | schemas --catalog C | tables --catalog C --schema S
+    describe --table schema.table
+    sql --statement "SELECT ..." [--max-rows 100] [--catalog C] [--schema S]
+    ls --path DIR | stat --path PATH
+Audit:
+    audit --schema S --out-dir DIR [--as-of TS] [--detected-at TS]
 
 The master and cluster settings come from ``spark-submit`` / the environment;
-the command adds only the package's SQL settings. The per-table report is
-printed as JSON lines.
+the command adds only the package's SQL settings. Results are printed as JSON
+lines (at most the bounded SQL rows, or one row per table/file/finding set).
 """
 
 from __future__ import annotations
@@ -18,8 +26,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeaudit.contracts import AUDIT_TABLES
-from lakeaudit.plans import migrate
+from lakeaudit.plans import bounded_sql, catalog, migrate
+from lakeaudit.plans.audit_run import AuditParams, run_audit
 from lakeaudit.session import build_session
+from lakeaudit.sources import files
 
 
 def _print(report: DataFrame) -> None:
@@ -49,9 +59,57 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     e.add_argument("--tables", required=True)
     e.add_argument("--out-dir", required=True)
 
+    sub.add_parser("catalogs", help="list catalogs")
+    c = sub.add_parser("schemas", help="list schemas of a catalog")
+    c.add_argument("--catalog", default="spark_catalog")
+    t = sub.add_parser("tables", help="list tables of a schema")
+    t.add_argument("--catalog", default="spark_catalog")
+    t.add_argument("--schema", required=True)
+    d = sub.add_parser("describe", help="columns, format, rows, files, bytes and profile of a table")
+    d.add_argument("--table", required=True)
+    q = sub.add_parser("sql", help="run one statement, bounded result")
+    q.add_argument("--statement", required=True)
+    q.add_argument("--max-rows", type=int, default=bounded_sql.DEFAULT_MAX_ROWS)
+    q.add_argument("--catalog", default="")
+    q.add_argument("--schema", default="")
+    ls = sub.add_parser("ls", help="direct children of a folder")
+    ls.add_argument("--path", default="/")
+    st = sub.add_parser("stat", help="one file or folder")
+    st.add_argument("--path", required=True)
+    a = sub.add_parser("audit", help="all compliance checks over the five audit tables of a schema")
+    a.add_argument("--schema", required=True)
+    a.add_argument("--out-dir", required=True)
+    a.add_argument("--as-of")
+    a.add_argument("--detected-at", default="2025-01-01 00:00:00")
+
     args = parser.parse_args(argv)
     spark = spark or build_session(app_name=f"lakeaudit-{args.command}")
 
+    if args.command in ("catalogs", "schemas", "tables", "ls", "stat"):
+        frames = {
+            "catalogs": lambda: catalog.list_catalogs(spark),
+            "schemas": lambda: catalog.list_schemas(spark, args.catalog),
+            "tables": lambda: catalog.list_tables(spark, args.catalog, args.schema),
+            "ls": lambda: files.list_files(spark, args.path),
+            "stat": lambda: files.file_info(spark, args.path),
+        }
+        _print(frames[args.command]())
+        return 0
+    if args.command == "describe":
+        print(json.dumps(catalog.describe_table(spark, args.table), default=str))
+        return 0
+    if args.command == "sql":
+        res = bounded_sql.execute_sql(spark, args.statement, args.catalog, args.schema, args.max_rows)
+        print(res.to_json())
+        return 0
+    if args.command == "audit":
+        tables = {n: spark.table(f"{args.schema}.{n}") for n in ("customers", "transactions", "disclosures", "audit_events")}
+        params = AuditParams(detected_at=args.detected_at, as_of=args.as_of)
+        report = run_audit(spark, tables["customers"], tables["transactions"], tables["disclosures"],
+                           tables["audit_events"], params, args.out_dir)
+        _print(report)
+        return 0
+
     if args.command == "migrate-csv":
         contracts = AUDIT_TABLES
         if args.tables:

@@ -126,3 +126,24 @@ def test_export_flags_subsecond_loss(spark, scratch):
     fine = migrate.export_csv(spark, {"t": df}, os.path.join(scratch, "b"),
                               timestamp_format="yyyy-MM-dd HH:mm:ss.SSSSSS").first()
     assert (fine["status"], fine["subsecond_rows"]) == ("ok", 1)
+
+
+def test_command_line_inventory_and_sql(spark, scratch, capsys):
+    import json
+
+    from lakeaudit.__main__ import main
+
+    assert main(["catalogs"], spark) == 0
+    assert "spark_catalog" in capsys.readouterr().out
+    assert main(["sql", "--statement", "SELECT id FROM range(5)", "--max-rows", "3"], spark) == 0
+    res = json.loads(capsys.readouterr().out)
+    assert (res["row_count"], res["truncated"], res["rows"]) == (3, True, [[0], [1], [2]])
+    assert main(["ls", "--path", SF_SMALL], spark) == 0
+    names = {json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()}
+    assert "orders.parquet" in names
+    schema = f"cli2_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{os.path.join(scratch, schema)}'")
+    spark.read.parquet(f"{SF_SMALL}/region.parquet").write.saveAsTable(f"{schema}.region")
+    assert main(["describe", "--table", f"{schema}.region"], spark) == 0
+    detail = json.loads(capsys.readouterr().out)
+    assert detail["row_count"] == 5 and [c["name"] for c in detail["columns"]] == ["r_regionkey", "r_name"]
