@@ -9,6 +9,9 @@ Inventory and SQL:
     describe --table schema.table
     sql --statement "SELECT ..." [--max-rows 100] [--catalog C] [--schema S]
     ls --path DIR | stat --path PATH
+Runs:
+    run --ledger DIR --job-id N --statement "SELECT ... :p" [--params JSON] [--out PATH | --table T]
+    jobs --ledger DIR [--limit 25] | run-status --ledger DIR --run-id N
 Audit:
     audit --schema S --out-dir DIR [--as-of TS] [--detected-at TS]
 
@@ -26,7 +29,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeaudit.contracts import AUDIT_TABLES
-from lakeaudit.plans import bounded_sql, catalog, migrate
+from lakeaudit.plans import bounded_sql, catalog, ledger, migrate
 from lakeaudit.plans.audit_run import AuditParams, run_audit
 from lakeaudit.session import build_session
 from lakeaudit.sources import files
@@ -82,9 +85,36 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a.add_argument("--as-of")
     a.add_argument("--detected-at", default="2025-01-01 00:00:00")
 
+    r = sub.add_parser("run", help="run a parameterised step and record it in the ledger")
+    r.add_argument("--ledger", required=True)
+    r.add_argument("--job-id", type=int, required=True)
+    r.add_argument("--statement", required=True)
+    r.add_argument("--params")
+    r.add_argument("--out")
+    r.add_argument("--table")
+    r.add_argument("--name", default="")
+    j = sub.add_parser("jobs", help="jobs seen in the ledger")
+    j.add_argument("--ledger", required=True)
+    j.add_argument("--limit", type=int, default=25)
+    rs = sub.add_parser("run-status", help="state of one run")
+    rs.add_argument("--ledger", required=True)
+    rs.add_argument("--run-id", type=int, required=True)
+
     args = parser.parse_args(argv)
     spark = spark or build_session(app_name=f"lakeaudit-{args.command}")
 
+    if args.command == "run":
+        result = ledger.run_job(spark, args.ledger, args.job_id, args.statement, args.params,
+                                args.out, args.name, output_table=args.table)
+        print(json.dumps(result, default=str))
+        return 0 if result.get("state") == "SUCCESS" else 1
+    if args.command == "jobs":
+        _print(ledger.list_jobs(spark, args.ledger, args.limit))
+        return 0
+    if args.command == "run-status":
+        _print(ledger.get_job_run(spark, args.ledger, args.run_id))
+        return 0
+
     if args.command in ("catalogs", "schemas", "tables", "ls", "stat"):
         frames = {
             "catalogs": lambda: catalog.list_catalogs(spark),

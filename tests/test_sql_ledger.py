@@ -118,3 +118,20 @@ def test_ledger_run_to_table(spark, scratch):
                          output_table="p1_out.big_orders")
     assert run["state"] == "SUCCESS"
     assert spark.table("p1_out.big_orders").count() == run["rows_written"] > 0
+
+
+def test_command_line_runs(spark, scratch, capsys):
+    from lakeaudit.__main__ import main
+
+    lp = os.path.join(scratch, "ledger")
+    stmt = f"SELECT o_orderkey FROM parquet.`{SF_SMALL}/orders.parquet` WHERE o_orderstatus = :s"
+    assert main(["run", "--ledger", lp, "--job-id", "5", "--statement", stmt, "--params", '{"s": "O"}',
+                 "--out", os.path.join(scratch, "o")], spark) == 0
+    run = json.loads(capsys.readouterr().out)
+    assert run["state"] == "SUCCESS" and run["params"] == {"s": "O"}
+    assert main(["run", "--ledger", lp, "--job-id", "5", "--statement", stmt, "--params", "{oops"], spark) == 1
+    assert "error" in json.loads(capsys.readouterr().out)
+    assert main(["jobs", "--ledger", lp], spark) == 0
+    assert [json.loads(x)["job_id"] for x in capsys.readouterr().out.splitlines()] == [5]
+    assert main(["run-status", "--ledger", lp, "--run-id", str(run["run_id"])], spark) == 0
+    assert json.loads(capsys.readouterr().out)["result_state"] == "SUCCESS"
