@@ -25,7 +25,8 @@ def test_catalog_listings(spark, scratch):
     tables = catalog.list_tables(spark, "spark_catalog", schema).collect()
     assert [(t["name"], t["format"]) for t in tables] == [("orders", "PARQUET")]
     assert catalog.list_tables(spark, "spark_catalog", "no_such_schema").count() == 0
-    detail = catalog.describe_table(spark, f"{schema}.orders")
+    assert "profile" not in catalog.describe_table(spark, f"{schema}.orders")
+    detail = catalog.describe_table(spark, f"{schema}.orders", with_profile=True, exact_distinct=True)
     assert detail["row_count"] == 3 and detail["num_files"] >= 1 and detail["size_bytes"] > 0
     assert detail["updated_at"] is not None
     assert [c["name"] for c in detail["columns"]] == ["id"]
