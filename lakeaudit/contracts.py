@@ -19,6 +19,10 @@ class Column:
     dtype: str  # Spark SQL type text, e.g. "DECIMAL(12,2)"
     nullable: bool = True
     comment: str = ""
+    data_type: T.DataType | None = None  # set for contracts derived from a schema
+
+    def spark_type(self) -> T.DataType:
+        return self.data_type if self.data_type is not None else spark_type(self.dtype)
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,7 @@ class Contract:
         reader given NOT NULL fields reports them nullable anyway."""
         fields = []
         for c in self.columns:
-            dtype = spark_type(c.dtype)
+            dtype = c.spark_type()
             meta = {"comment": c.comment} if c.comment else {}
             fields.append(T.StructField(c.name, dtype, all_nullable or c.nullable, meta))
         return T.StructType(fields)
@@ -244,6 +248,7 @@ CSV_NULL_VALUE = ""
 def contract_from_schema(name: str, schema: T.StructType, **kwargs) -> Contract:
     """Build a contract from an observed schema (the inferred path)."""
     cols = tuple(
-        Column(f.name, f.dataType.simpleString().upper(), f.nullable) for f in schema.fields
+        Column(f.name, f.dataType.simpleString().upper(), f.nullable, data_type=f.dataType)
+        for f in schema.fields
     )
     return Contract(name, cols, **kwargs)

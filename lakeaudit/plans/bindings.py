@@ -715,7 +715,7 @@ def s2_csv_roundtrip_events(spark, sf_dir):
 # ======================================================================== S3
 def _orders_contract(schema) -> Contract:
     base = contract_from_schema("orders", schema)
-    cols = tuple(type(c)(c.name, c.dtype, False, c.comment) for c in base.columns)
+    cols = tuple(type(c)(c.name, c.dtype, False, c.comment, c.data_type) for c in base.columns)
     return Contract(
         "orders", cols, key=("o_orderkey",),
         domains={"o_orderstatus": ORDER_STATUS_DOMAIN, "o_orderpriority": ORDER_PRIORITY_DOMAIN},

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lakeaudit.contracts import Contract, spark_type
+from lakeaudit.contracts import Contract
 
 
 def write_parquet(
@@ -57,7 +57,7 @@ def create_table_from_parquet(spark: SparkSession, table: str, path: str, replac
 def schema_drift(spark: SparkSession, observed: T.StructType, contract: Contract) -> DataFrame:
     """Columns missing from, extra to, or typed differently from the contract:
     ``(column_name, change, expected_type, observed_type)``. Metadata only."""
-    expected = {c.name: spark_type(c.dtype) for c in contract.columns}
+    expected = {c.name: c.spark_type() for c in contract.columns}
     seen = {f.name: f.dataType for f in observed.fields}
     rows = []
     for name, dtype in expected.items():

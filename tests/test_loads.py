@@ -192,3 +192,12 @@ def test_reload_failing_midway_keeps_old_rows(spark, schema):
         loads.reload_table(spark, bad, table)
     assert spark.table(table).count() == 5
     assert loads.reload_table(spark, _customers(spark, 6), table) == 6
+
+
+def test_contract_from_schema_keeps_complex_types(spark, schema):
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    contract = contract_from_schema("embeddings", emb.schema)
+    assert contract.schema() == emb.schema
+    report = loads.load_tables(spark, [loads.TableLoad("embeddings", lambda s: emb, contract)], schema=schema).first()
+    assert report["status"] == "ok" and report["rows_loaded"] == emb.count()
+    assert spark.table(f"{schema}.embeddings").schema["embedding"].dataType == emb.schema["embedding"].dataType
