@@ -83,6 +83,7 @@ def _rule_struct(i: int, rule: Rule) -> Column:
         severity.alias("severity"),
         F.lit(rule.description or rule.rule_id).alias("description"),
         F.coalesce(violated, F.lit(False)).alias("violated"),
+        (pct.isNull() & stated.isNotNull() & actual.isNotNull() & (stated != F.lit(0))).alias("pct_overflow"),
     )
 
 
@@ -97,7 +98,9 @@ def reconcile(
     """Evaluate ``rules`` on each row of ``df`` in one pass.
 
     Returns rows in the violations contract's column order, plus
-    ``delta_overflow`` (delta did not fit DECIMAL(12,6)), ``violated``, and any
+    ``delta_overflow`` (delta did not fit DECIMAL(12,6)), ``pct_overflow``
+    (the percent did not fit DECIMAL(8,4); a zero base is not an overflow),
+    ``violated``, and any
     ``keep`` columns (for grouping later, e.g. a corridor). ``detected_at`` is
     a parameter, not the clock, so reruns agree; ``violation_id`` is the MD5 of
     ``tx_id:rule_id`` for the same reason. ``detected_at`` is a wall-clock
@@ -128,6 +131,7 @@ def reconcile(
         (F.col("_r.delta").isNull() & F.col("_r.delta_full").isNotNull()).alias(
             "delta_overflow"
         ),
+        F.col("_r.pct_overflow").alias("pct_overflow"),
         F.col("_r.violated").alias("violated"),
         *keep,
     )

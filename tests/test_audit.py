@@ -257,6 +257,7 @@ def test_reconcile_math_matches_python_decimal(spark):
             if abs(pct) >= D("10000"):
                 pct = None
         assert r["delta_pct"] == pct, (tx, stated, actual, r["delta_pct"], pct)
+        assert r["pct_overflow"] == (pct is None and stated != 0)
         want = "high" if pct is None or abs(pct) >= 10 else "medium" if abs(pct) >= 1 else "low"
         assert r["severity"] == want
         assert r["violated"] == (delta != 0)
