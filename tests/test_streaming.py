@@ -61,3 +61,31 @@ def test_windows_drop_late_events(spark, scratch):
     rows = {r["window_start"]: (r["events"], float(r["value"])) for r in spark.read.parquet(sink).collect()}
     # day 1 closed with the two on-time events; day 3 is still open
     assert rows == {dt.datetime(2025, 1, 1): (2, 3.0)}
+
+
+def test_gated_csv_stream(spark, scratch):
+    import csv as pycsv
+
+    from lakeaudit.contracts import CUSTOMERS
+
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+
+    def land(name, rows):
+        with open(os.path.join(landing, name), "w", newline="") as f:
+            w = pycsv.writer(f)
+            w.writerow(CUSTOMERS.column_names)
+            w.writerows(rows)
+
+    land("a.csv", [["c1", "US", "t1", "low", "2024-01-01", ""], ["c2", "", "t1", "low", "2024-01-01", ""]])
+    sink, ckpt = os.path.join(scratch, "sink"), os.path.join(scratch, "ckpt")
+    assert bronze.gated_csv_ingest(spark, landing, CUSTOMERS, sink, ckpt)["num_input_rows"] == 2
+    assert bronze.gated_csv_ingest(spark, landing, CUSTOMERS, sink, ckpt)["num_input_rows"] == 0
+    land("b.csv", [["c3", "MX", "t2", "high", "not-a-date", ""]])
+    bronze.gated_csv_ingest(spark, landing, CUSTOMERS, sink, ckpt)
+    good_df, bad_df = bronze.gated_sink_parts(spark, sink)
+    good = sorted(r["customer_id"] for r in good_df.collect())
+    bad = {r["customer_id"]: list(r["reasons"]) for r in bad_df.collect()}
+    assert good == ["c1"]
+    assert bad["c2"] == ["null:registration_country"]
+    assert "parse_error" in bad["c3"]
