@@ -252,3 +252,15 @@ def contract_from_schema(name: str, schema: T.StructType, **kwargs) -> Contract:
         for f in schema.fields
     )
     return Contract(name, cols, **kwargs)
+
+
+def conform(df, contract: Contract):
+    """The contract's columns, in its order and types (a plain ``cast``, so a
+    value that cannot be represented fails the job instead of turning NULL).
+    Missing columns raise."""
+    from pyspark.sql import functions as F
+
+    missing = [c.name for c in contract.columns if c.name not in df.columns]
+    if missing:
+        raise ValueError(f"{contract.name}: missing columns {missing}")
+    return df.select(*[F.col(c.name).cast(c.spark_type()).alias(c.name) for c in contract.columns])

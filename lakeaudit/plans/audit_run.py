@@ -5,10 +5,11 @@ declares the ``violations`` table it would fill. Here one call runs every
 check on the contracts' tables and writes each finding set to the shared
 staging folder (or a caller's folder):
 
-1. violations (C1 + C5: fee, FX, receive amount, stated-value drift) — written
-   first; the summary and the exposure are computed from the written files,
-   so the reconciliation is not recomputed for each of them and its lineage is
-   cut at a durable copy;
+1. violation findings (C1 + C5: fee, FX, receive amount, stated-value drift,
+   with corridor and overflow flags) — written first; the contract-shaped
+   ``violations`` table, the summary and the exposure are computed from the
+   written files, so the reconciliation is not recomputed for each of them and
+   its lineage is cut at a durable copy;
 2. late / overdue deliveries (C2), transactions without a disclosure (C3),
    receipt problems (C4), audit-trail summaries (C6), payload fields (C7, when
    keys are given);
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lakeaudit.contracts import VIOLATIONS, conform
 from lakeaudit.operators import deadlines, reconcile, summaries, trails
 from lakeaudit.session import staging_path
 
@@ -75,10 +77,13 @@ def run_audit(
         return path
 
     rules = reconcile.transaction_rules(p.fee_tolerance, p.fx_tolerance, p.amount_tolerance)
-    viol_path = put(
-        "violations",
+    findings_path = put(
+        "violation_findings",
         reconcile.reconcile_transactions(transactions, disclosures, p.detected_at, rules),
     )
+    # The violations table exactly as the contract declares it, from the
+    # written findings (no second reconciliation).
+    put("violations", conform(spark.read.parquet(findings_path), VIOLATIONS))
     put(
         "late_deliveries",
         deadlines.late_or_undelivered(
@@ -92,7 +97,7 @@ def run_audit(
     if p.payload_fields:
         put("payload_fields", summaries.payload_fields(audit_events, p.payload_fields, keep=("event_id", "tx_id")))
 
-    violations = spark.read.parquet(viol_path)
+    violations = spark.read.parquet(findings_path)
     put("violation_rollup", summaries.violation_summary(violations, p.summary_dims, "rollup"))
     put("risk_exposure", summaries.risk_exposure(customers, transactions, violations, p.tier_cols))
     return spark.createDataFrame(report, REPORT_SCHEMA)

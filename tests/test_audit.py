@@ -215,7 +215,9 @@ def test_audit_run_end_to_end(spark, scratch):
     params = AuditParams(as_of="2025-01-10 00:00:00", payload_fields={"k": "$.k:int"})
     out = os.path.join(scratch, "audit")
     report = {r["output"]: r["rows"] for r in run_audit(spark, customers, tx, ds, events, params, out).collect()}
-    assert report["violations"] == 1  # t2's fee
+    assert report["violations"] == report["violation_findings"] == 1  # t2's fee
+    from lakeaudit.contracts import VIOLATIONS
+    assert spark.read.parquet(os.path.join(out, "violations")).schema == VIOLATIONS.schema()
     assert report["late_deliveries"] == 2  # t2 late, t3 overdue
     assert report["missing_disclosures"] == 1  # t3
     assert report["receipt_checks"] == 1  # d2 receipt missing
