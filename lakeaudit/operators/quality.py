@@ -80,12 +80,21 @@ def foreign_key_check(
     )
 
 
-def contract_checks(df: DataFrame, contract: Contract, table: str | None = None) -> DataFrame:
-    """All single-table checks a contract declares (NOT NULL, domains, key)."""
+def contract_checks(
+    df: DataFrame,
+    contract: Contract,
+    table: str | None = None,
+    parents: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """All checks a contract declares: NOT NULL, domains, key, and each
+    foreign key whose parent table is given in ``parents`` (name → frame)."""
     table = table or contract.name
     parts = [column_checks(df, table, contract.not_null, contract.domains)]
     if contract.key:
         parts.append(key_check(df, table, contract.key))
+    for fk in contract.foreign_keys:
+        if parents and fk.ref_table in parents:
+            parts.append(foreign_key_check(df, table, fk.column, parents[fk.ref_table], fk.ref_column))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

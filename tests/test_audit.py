@@ -263,3 +263,18 @@ def test_reconcile_math_matches_python_decimal(spark):
         want = "high" if pct is None or abs(pct) >= 10 else "medium" if abs(pct) >= 1 else "low"
         assert r["severity"] == want
         assert r["violated"] == (delta != 0)
+
+
+def test_contract_checks_with_foreign_keys(spark):
+    from lakeaudit.operators.quality import contract_checks
+
+    tx = _transactions(spark, [dict(tx_id="t1"), dict(tx_id="t2"), dict(tx_id="t2", corridor=None)])
+    ds = _disclosures(spark, [dict(disclosure_id="d1", tx_id="t1"), dict(disclosure_id="d2", tx_id="ghost")])
+    rep = {(r["check_name"], r["column_name"]): (r["failed_rows"], r["total_rows"])
+           for r in contract_checks(ds, DISCLOSURES, parents={"transactions": tx}).collect()}
+    assert rep[("foreign_key", "tx_id")] == (1, 2)
+    assert rep[("unique_key", "disclosure_id")] == (0, 2)
+    rep_tx = {(r["check_name"], r["column_name"]): r["failed_rows"]
+              for r in contract_checks(tx, TRANSACTIONS).collect()}
+    assert rep_tx[("unique_key", "tx_id")] == 1 and rep_tx[("not_null", "corridor")] == 1
+    assert ("foreign_key", "customer_id") not in rep_tx  # parent not given
