@@ -12,7 +12,8 @@ staging folder (or a caller's folder):
    its lineage is cut at a durable copy;
 2. late / overdue deliveries (C2), transactions without a disclosure (C3),
    receipt problems (C4), audit-trail summaries (C6), payload fields (C7, when
-   keys are given);
+   keys are given), and the contracts' quality report (G7: NOT NULL, keys,
+   foreign keys between the five tables);
 3. violation rollup (C8) and customer risk exposure (C9).
 
 Every output is an ordinary Spark job; the driver receives only the report of
@@ -27,8 +28,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lakeaudit.contracts import VIOLATIONS, conform
-from lakeaudit.operators import deadlines, reconcile, summaries, trails
+from lakeaudit.contracts import AUDIT_EVENTS, CUSTOMERS, DISCLOSURES, TRANSACTIONS, VIOLATIONS, conform
+from lakeaudit.operators import deadlines, quality, reconcile, summaries, trails
 from lakeaudit.session import staging_path
 
 
@@ -97,6 +98,14 @@ def run_audit(
     if p.payload_fields:
         put("payload_fields", summaries.payload_fields(audit_events, p.payload_fields, keep=("event_id", "tx_id")))
 
+    parents = {"customers": customers, "transactions": transactions}
+    checks = [
+        quality.contract_checks(df, contract, parents=parents)
+        for df, contract in ((customers, CUSTOMERS), (transactions, TRANSACTIONS),
+                             (disclosures, DISCLOSURES), (audit_events, AUDIT_EVENTS))
+    ]
+    put("quality_report", quality.union_reports(checks))
+
     violations = spark.read.parquet(findings_path)
     put("violation_rollup", summaries.violation_summary(violations, p.summary_dims, "rollup"))
     put("risk_exposure", summaries.risk_exposure(customers, transactions, violations, p.tier_cols))

@@ -222,6 +222,11 @@ def test_audit_run_end_to_end(spark, scratch):
     assert report["missing_disclosures"] == 1  # t3
     assert report["receipt_checks"] == 1  # d2 receipt missing
     assert report["trail_summary"] == 1 and report["payload_fields"] == 2
+    qr = {(r["table_name"], r["check_name"], r["column_name"]): r["failed_rows"]
+          for r in spark.read.parquet(os.path.join(out, "quality_report")).collect()}
+    assert qr[("disclosures", "foreign_key", "tx_id")] == 0
+    assert qr[("transactions", "foreign_key", "customer_id")] == 0
+    assert ("transactions", "not_null", "actual_delivery_ts") not in qr  # nullable column
     trail = spark.read.parquet(os.path.join(out, "trail_summary")).first()
     assert trail["n_gaps"] == 1 and trail["is_clean"] is False
     rollup = spark.read.parquet(os.path.join(out, "violation_rollup"))
