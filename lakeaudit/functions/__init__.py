@@ -3,18 +3,16 @@
 Everything here returns a ``Column`` so it stays inside whole-stage codegen.
 """
 
-from lakeaudit.functions.money import money, money_sum, pct_change, decimal_text
-from lakeaudit.functions.json import extract_json_fields, row_json
-from lakeaudit.functions.time import as_utc_timestamp, seconds_between, day_of
+from lakeaudit.functions.money import money, money_sum, pct_change
+from lakeaudit.functions.json import extract_json_fields, json_is_valid, row_json
+from lakeaudit.functions.time import seconds_between
 
 __all__ = [
     "money",
     "money_sum",
     "pct_change",
-    "decimal_text",
     "extract_json_fields",
+    "json_is_valid",
     "row_json",
-    "as_utc_timestamp",
     "seconds_between",
-    "day_of",
 ]

@@ -35,9 +35,3 @@ def pct_change(delta, base, precision: int = 8, scale: int = 4) -> Column:
     num = (col_of(delta) * F.lit(100)).try_cast("decimal(20,6)")
     den = col_of(base).try_cast("decimal(20,6)")
     return F.try_divide(num, den).try_cast(f"decimal({precision},{scale})")
-
-
-def decimal_text(c) -> Column:
-    """Plain decimal text of a value (no exponent), for the STRING value columns
-    of the violations table."""
-    return col_of(c).cast("string")

@@ -1,9 +1,5 @@
-"""Timestamp helpers.
-
-The driver's tables store TIMESTAMP_NTZ. Streaming watermarks need TIMESTAMP
-(with zone), so the cast is made with the session zone pinned to UTC, which
-leaves wall-clock values unchanged.
-"""
+"""Timestamp helpers. Timestamps of the driver's data are TIMESTAMP_NTZ; the
+session zone is pinned to UTC, so epoch arithmetic on them is wall-clock."""
 
 from __future__ import annotations
 
@@ -13,17 +9,7 @@ from pyspark.sql import functions as F
 from lakeaudit.functions._util import col_of
 
 
-def as_utc_timestamp(c) -> Column:
-    """TIMESTAMP_NTZ → TIMESTAMP under a UTC session zone."""
-    return col_of(c).cast("timestamp")
-
-
 def seconds_between(start, end) -> Column:
     """Second boundaries crossed from ``start`` to ``end`` (negative when end is
     earlier): ``floor(end) − floor(start)`` in epoch seconds."""
     return F.unix_timestamp(col_of(end)) - F.unix_timestamp(col_of(start))
-
-
-def day_of(c) -> Column:
-    """Calendar day of a timestamp."""
-    return F.to_date(col_of(c))

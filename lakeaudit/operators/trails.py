@@ -18,7 +18,6 @@ from lakeaudit.operators.segmented import (
     block_width_for,
     lag_blocked,
     ordered_blocked,
-    row_number_blocked,
     seq_block,
 )
 
@@ -108,15 +107,3 @@ def numbered_trail_summary(
     )
     clean = (F.col("first_seq") == 1) & (F.col("n_backwards") == 0)
     return s.withColumn("is_clean", clean)
-
-
-def numbered_trail(
-    df: DataFrame,
-    trail: str,
-    order: Sequence[str],
-    block,
-    out: str = "sequence_num",
-) -> DataFrame:
-    """Derive a sequence number (1, 2, …) per trail from an ordering, for
-    sources that carry no sequence column (rank of an event id per user)."""
-    return row_number_blocked(df, trail, list(order), block, out)

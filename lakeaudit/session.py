@@ -131,12 +131,3 @@ def staging_root(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder under the shared staging root."""
     return f"{staging_root(spark)}/lakeaudit-staging/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so a path can be used with ``os``."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return path

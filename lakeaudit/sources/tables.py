@@ -27,10 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    """Temp views over the driver tables, for SQL text."""
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
 def scan(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
@@ -41,10 +37,3 @@ def scan(df: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
     a map stage that is re-run after a lost executor may report its rows twice."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
-def full_scan(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
-    """``SELECT * FROM t`` over a catalog table name or a file path."""
-    if fmt == "table":
-        return spark.table(source)
-    return spark.read.format(fmt).load(source)

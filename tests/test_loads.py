@@ -201,3 +201,11 @@ def test_contract_from_schema_keeps_complex_types(spark, schema):
     report = loads.load_tables(spark, [loads.TableLoad("embeddings", lambda s: emb, contract)], schema=schema).first()
     assert report["status"] == "ok" and report["rows_loaded"] == emb.count()
     assert spark.table(f"{schema}.embeddings").schema["embedding"].dataType == emb.schema["embedding"].dataType
+
+
+def test_replace_table_changes_schema(spark, schema):
+    table = f"{schema}.replaced"
+    loads.replace_table(spark, spark.range(3), table)
+    loads.replace_table(spark, spark.range(2).withColumn("extra", F.lit("x")), table)
+    t = spark.table(table)
+    assert t.count() == 2 and t.columns == ["id", "extra"]
