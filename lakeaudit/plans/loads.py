@@ -18,6 +18,7 @@ What the reference does and what changes:
 from __future__ import annotations
 
 import traceback
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -84,7 +85,7 @@ def reload_table(
 ) -> int:
     """Idempotent full reload; returns the rows written.
 
-    Unpartitioned: write ``<table>__staging``, count it from the write's own
+    Unpartitioned: write ``<table>__staging_<id>``, count it from the write's own
     observed metrics, run ``check(rows)`` (raise to abort), then drop the old
     table and rename the staging table. Partitioned (and existing): dynamic
     partition overwrite, which is atomic per partition and never empties the
@@ -110,16 +111,21 @@ def reload_table(
         if check:
             check(rows)
         return rows
-    staging = f"{table}__staging"
-    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": staging})
+    # A unique staging name: two reloads of one table never share it, and a
+    # failed write or check removes only its own staging table.
+    staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = observed.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(staging)
-    rows = int(obs.get["rows"])
-    if check:
-        check(rows)
+    try:
+        writer.saveAsTable(staging)
+        rows = int(obs.get["rows"])
+        if check:
+            check(rows)
+    except Exception:
+        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": staging})
+        raise
     spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": table})
     spark.sql("ALTER TABLE IDENTIFIER(:s) RENAME TO IDENTIFIER(:t)", args={"s": staging, "t": table})
     return rows

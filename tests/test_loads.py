@@ -59,6 +59,8 @@ def test_failed_reload_keeps_old_rows(spark, schema):
     with pytest.raises(ValueError):
         loads.reload_table(spark, _customers(spark, 3), table, check=reject)
     assert spark.table(table).count() == 5
+    leftovers = [t.name for t in spark.catalog.listTables(schema) if "__staging" in t.name]
+    assert leftovers == []
 
 
 def test_partitioned_reload_dynamic_overwrite(spark, schema):
