@@ -27,7 +27,7 @@ from lakeaudit.functions.money import money
 from lakeaudit.operators import deadlines, gate, medallion, quality, reconcile, summaries, trails
 from lakeaudit.operators.profile import profile
 from lakeaudit.operators.segmented import block_width_for, latest_per_key, seq_block
-from lakeaudit.plans import bounded_sql, ledger, loads
+from lakeaudit.plans import bounded_sql, catalog, ledger, loads
 from lakeaudit.session import staging_path
 from lakeaudit.sources import csv as csv_source
 from lakeaudit.sources import files, parquet
@@ -856,6 +856,28 @@ def m5_profile_documents(spark, sf_dir):
     return profile(_t(spark, sf_dir, "documents"))
 
 
+# ======================================================================== M4
+M4_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count, "
+    f"(SELECT CAST(COUNT(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS num_columns "
+    f"FROM {t}"
+    for t in DRIVER_TABLES
+)
+
+
+@binding("m4_table_stats", M4_SQL)
+def m4_table_stats(spark, sf_dir):
+    """The statistics ``describe_table`` reports, for every driver table: row
+    count from one pass over per-file metadata, and the column count."""
+    parts = []
+    for t in DRIVER_TABLES:
+        df = _t(spark, sf_dir, t)
+        parts.append(catalog.table_stats(df).select(
+            F.lit(t).alias("table_name"), "row_count", F.lit(len(df.columns)).cast("int").alias("num_columns")
+        ))
+    return quality.union_reports(parts)
+
+
 # ======================================================================== M6
 @binding("m6_list_files")
 def m6_list_files(spark, sf_dir):
