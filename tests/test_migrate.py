@@ -147,3 +147,34 @@ def test_command_line_inventory_and_sql(spark, scratch, capsys):
     assert main(["describe", "--table", f"{schema}.region"], spark) == 0
     detail = json.loads(capsys.readouterr().out)
     assert detail["row_count"] == 5 and [c["name"] for c in detail["columns"]] == ["r_regionkey", "r_name"]
+
+
+def test_command_line_remaining_subcommands(spark, scratch, capsys):
+    import json
+
+    from lakeaudit.__main__ import main
+
+    schema = f"cli3_{uuid.uuid4().hex[:8]}"
+    code = main(["migrate-parquet", "--parquet-dir", SF_SMALL, "--schema", schema, "--tables", "region,nation",
+                 "--schema-location", os.path.join(scratch, schema)], spark)
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert code == 0 and {r["table_name"]: r["matches"] for r in rows} == {"region": True, "nation": True}
+    assert main(["schemas", "--catalog", "spark_catalog"], spark) == 0
+    assert schema in {json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()}
+    assert main(["tables", "--schema", schema], spark) == 0
+    assert {json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()} == {"region", "nation"}
+    assert main(["stat", "--path", f"{SF_SMALL}/orders.parquet"], spark) == 0
+    info = json.loads(capsys.readouterr().out)
+    assert info["is_dir"] is False and info["file_size"] > 0
+
+    # audit over a schema holding the five audit tables (loaded from the CSV exports)
+    folder = os.path.join(scratch, "exports")
+    _write_exports(folder)
+    audit_schema = f"cli4_{uuid.uuid4().hex[:8]}"
+    main(["migrate-csv", "--csv-dir", folder, "--schema", audit_schema,
+          "--schema-location", os.path.join(scratch, audit_schema)], spark)
+    capsys.readouterr()
+    out = os.path.join(scratch, "audit")
+    assert main(["audit", "--schema", audit_schema, "--out-dir", out, "--as-of", "2024-04-01 00:00:00"], spark) == 0
+    outputs = {json.loads(x)["output"] for x in capsys.readouterr().out.splitlines()}
+    assert {"violations", "quality_report", "trail_summary", "risk_exposure"} <= outputs
