@@ -343,7 +343,9 @@ FROM events GROUP BY date_trunc('hour', ts), event_type
 @binding("g2_hourly_event_counts", G2_HOURLY_SQL)
 def g2_hourly_event_counts(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(
+    # date_trunc returns a zoned TIMESTAMP; the input is wall-clock, so is the hour.
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    return e.groupBy(hour.alias("window_start"), "event_type").agg(
         F.count(F.lit(1)).cast("bigint").alias("events"),
         F.sum(money("value")).cast("decimal(22,2)").alias("value"),
     )
@@ -1039,8 +1041,8 @@ _bounded_binding("q1_band_join", Q1_BAND_JOIN_SQL, ("lineitem",))
 # ======================================================================== Q3
 Q3_SQL = """
 SELECT o_orderkey,
-       to_json(struct_pack(o_orderkey := o_orderkey, o_orderstatus := o_orderstatus,
-                           o_totalprice := o_totalprice, o_orderpriority := o_orderpriority)) AS json
+       CAST(to_json(struct_pack(o_orderkey := o_orderkey, o_orderstatus := o_orderstatus,
+                                o_totalprice := o_totalprice, o_orderpriority := o_orderpriority)) AS VARCHAR) AS json
 FROM orders
 """
 

@@ -71,20 +71,42 @@ def duck_rows(con, sql):
     return [names[i] for i in order], sorted(rows)
 
 
+# Spark type name → DuckDB type name, for the schema comparison.
+_TYPE_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT",
+}
+
+
+def type_mismatches(df, con, sql) -> list:
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        (c, t, duck_types.get(c))
+        for c, t in spark_types.items()
+        if _TYPE_NAMES.get(t, t.upper()) != duck_types.get(c)
+    ]
+
+
 def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None) -> dict:
     con = con or duck_connection(sf_dir)
     t0 = time.time()
-    s_cols, s_rows = spark_rows(fn(spark, sf_dir))
+    df = fn(spark, sf_dir)
+    s_cols, s_rows = spark_rows(df)
     t1 = time.time()
     d_cols, d_rows = duck_rows(con, sql)
+    types = type_mismatches(df, con, sql)
     out = {
         "name": name,
         "spark_rows": len(s_rows),
         "oracle_rows": len(d_rows),
         "columns_match": s_cols == d_cols,
         "values_match": s_rows == d_rows,
+        "types_match": not types,
         "spark_sec": round(t1 - t0, 2),
     }
+    if types:
+        out["type_mismatches"] = types
     if not out["columns_match"]:
         out["spark_cols"], out["oracle_cols"] = s_cols, d_cols
     elif not out["values_match"]:
@@ -117,7 +139,8 @@ def main(argv):
             r = compare(spark, sf_dir, name, fn, sqls[name], con)
         except Exception as exc:  # report and go on
             r = {"name": name, "error": f"{type(exc).__name__}: {str(exc)[:500]}"}
-        ok = r.get("columns_match") and r.get("values_match") and r.get("spark_rows") == r.get("oracle_rows")
+        ok = (r.get("columns_match") and r.get("values_match") and r.get("types_match")
+              and r.get("spark_rows") == r.get("oracle_rows"))
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
     print(f"{bad} mismatches")

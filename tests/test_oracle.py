@@ -38,6 +38,7 @@ def test_binding_matches_oracle(spark, duck, name):
     assert r["columns_match"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["values_match"], r
+    assert r["types_match"], r
 
 
 def test_entry_smoke(spark):
