@@ -87,8 +87,13 @@ def block_width_for(df: DataFrame, keys, order_col: str, rows_per_block: int = 1
     (per-key counts, then the maximum and the value range) runs when this is
     called.
     """
+    from pyspark.sql import types as T
+
     keys = _names(keys)
-    x = _as_number(F.col(order_col), df.schema[order_col].dataType)
+    dtype = df.schema[order_col].dataType
+    if not isinstance(dtype, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return None  # no numeric span to cut (e.g. text): callers fall back to a plain window
+    x = _as_number(F.col(order_col), dtype)
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     stats = per_key.agg(F.max("_n").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
     if stats is None or stats["n"] is None or stats["lo"] is None or stats["n"] <= rows_per_block:

@@ -93,3 +93,10 @@ def test_block_width_follows_the_hot_key(spark, skewed):
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.withColumn("run", F.sum("v").over(w))
     assert _as_map(got, ["k", "seq", "run"]) == _as_map(want, ["k", "seq", "run"])
+
+
+def test_block_width_needs_a_numeric_order(spark, skewed):
+    text = skewed.withColumn("s", F.col("seq").cast("string"))
+    assert block_width_for(text, "k", "s", rows_per_block=10) is None
+    dated = skewed.withColumn("d", F.expr("date_add(DATE'2024-01-01', seq)"))
+    assert block_width_for(dated, "k", "d", rows_per_block=100) is not None
