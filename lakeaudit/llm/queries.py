@@ -14,6 +14,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "keep")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.ngram_join import join_near
+
+    return join_near(read_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeaudit.llm.url_filter import filter_urls
 
@@ -60,7 +72,15 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_ngram_join": op2_ngram_join,
     "op3_url_filter": op3_url_filter,
     "op4_html_extract": op4_html_extract,
     "op5_decontaminate": op5_decontaminate,
@@ -68,6 +88,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_pack": op8_pack,
     "op9_nearest": op9_nearest,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE: dict[str, str] = {}
