@@ -11,7 +11,7 @@ the one before adds a feature of its own. It is fitted on a bounded sample, the
 documents with the least hash, and then scores every document; texts whose score is over
 ``REJECT`` are rejected.
 
-Defined cases: a text without tokens (null, empty, white space) has score and posterior 1
+Defined cases: a text without tokens (null, empty, white space) has score 1
 and is rejected; such texts take no part in the estimate; a labeller that a text is too short for votes nothing;
 repeated rows are scored one by one; null ids stay null; an empty table gives no rows; the
 filter returns all columns of the rows it keeps.
@@ -36,7 +36,7 @@ EM_ROUNDS, FIT_STEPS, FIT_RATE, FIT_DECAY = 200, 300, 0.1, 1e-4
 CACHE_TOKENS = 500_000
 SHORT = 20  # shares of shorter texts are taken as if they had so many tokens
 POOR, GOOD, NONE = 1, 0, 2
-SCORED = (("__posterior", T.DoubleType()), ("__score", T.DoubleType()), ("__keep", T.BooleanType()))
+SCORED = (("__score", T.DoubleType()), ("__keep", T.BooleanType()))
 
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -83,13 +83,26 @@ class Tokens:
         if place == len(self.facts):
             self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
             self.features = np.concatenate((self.features, np.zeros_like(self.features)))
-        letters = sum(map(str.isalpha, token))
-        word = token.strip(".,;:!?\"'()#$%&*|").lower()
-        self.facts[place] = (
-            len(token), letters, sum(map(str.isupper, token)), sum(c in SYMBOLS for c in token), letters > 0 or any(map(str.isdigit, token)),
-            word in STOP_WORDS, token[-1] in ".!?", _PLAIN.fullmatch(token) is not None, sum(not (c.isalnum() or c in "'-") for c in token),
-        )
-        shape = _UPPER.sub("A", _LOWER.sub("a", _DIGITS.sub("0", token)))
+        ended = token[-1] in ".,;:!?"
+        bare = token[:-1] if ended else token
+        if bare.isalpha():  # a plain word: its facts follow from its case
+            if bare.islower():
+                capitals, shape = 0, "a"
+            elif bare[1:].islower():
+                capitals, shape = 1, "Aa"
+            else:
+                capitals, shape = sum(map(str.isupper, bare)), _UPPER.sub("A", _LOWER.sub("a", bare))
+            word = bare.lower()
+            self.facts[place] = len(token), len(bare), capitals, 0, 1, word in STOP_WORDS, ended and token[-1] in ".!?", 1, ended
+            shape += token[-1] if ended else ""
+        else:
+            letters = sum(map(str.isalpha, token))
+            word = token.strip(".,;:!?\"'()#$%&*|").lower()
+            self.facts[place] = (
+                len(token), letters, sum(map(str.isupper, token)), sum(c in SYMBOLS for c in token), letters > 0 or any(map(str.isdigit, token)),
+                word in STOP_WORDS, token[-1] in ".!?", _PLAIN.fullmatch(token) is not None, sum(not (c.isalnum() or c in "'-") for c in token),
+            )
+            shape = _UPPER.sub("A", _LOWER.sub("a", _DIGITS.sub("0", token)))
         self.features[place] = hashed("word " + word), hashed("shape " + shape[:12])
         self.places[token] = place
         return place
@@ -160,15 +173,15 @@ def _features(places: np.ndarray) -> np.ndarray:
     return np.concatenate((_tokens.features[places].ravel(), np.full(again, REPEAT)))
 
 
-def _scores(texts: list[str], weights: np.ndarray, bias: float, labels: np.ndarray) -> np.ndarray:
-    """Posterior and score of each text. (The token cache is the worker's own, so only module functions use it.)"""
-    out = np.ones((len(texts), 2))
+def _scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each text. (The token cache is the worker's own, so only module functions use it.)"""
+    out = np.ones(len(texts))
     for row, text in enumerate(texts):
         places = _tokens.look_up(text)
         if len(places):
-            pattern = sum(v * 3**i for i, v in enumerate(votes(places, _tokens.facts)))
-            z = bias + weights[_features(places)].sum() * 100.0 / max(len(places), SHORT)
-            out[row] = labels[pattern], 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            again = np.count_nonzero(places[1:] == places[:-1])
+            z = bias + (weights[_tokens.features[places]].sum() + again * weights[REPEAT]) * 100.0 / max(len(places), SHORT)
+            out[row] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     return out
 
 
@@ -221,7 +234,7 @@ def fit_scorer(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarr
 
 
 def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
-    """``docs`` with __posterior, __score and __keep."""
+    """``docs`` with __score (1 is poor) and __keep."""
     spark = docs.sparkSession
     importable(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -239,21 +252,19 @@ def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
         )
     else:
         weights, bias = np.zeros(DIMENSIONS), 0.0
-    every = np.arange(3 ** len(LABELLERS))
-    labels = model.posterior(every)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _scores(batch.column(batch.num_columns - 1).to_pylist(), weights, bias, labels)
+            out = _scores(batch.column(batch.num_columns - 1).to_pylist(), weights, bias)
             names = [*batch.schema.names[:-1], *(name for name, _ in SCORED)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 1] <= REJECT)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array(out <= REJECT)], names)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in SCORED)])
     return docs.select("*", text.alias("__text")).mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, posterior (of the weak labels), score (of the scorer; 1 is poor) and keep for every row of ``docs``."""
+    """doc_id, score (1 is poor) and keep for every row of ``docs``."""
     scored = _scored(docs.select("doc_id", "text"), fit_rows)
     return scored.select("doc_id", *(F.col(name).alias(name.removeprefix("__")) for name, _ in SCORED))
 

@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeaudit.llm.quality import classify
 
-    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "posterior", "score", "keep")
+    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "score", "keep")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
