@@ -160,7 +160,14 @@ def ordered_blocked(
 
     ordered = Window.partitionBy(*keys, _BLK).orderBy(*_order_cols(order_names))
     frame = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = tagged.join(carry, [*keys, _BLK])
+    # Null-safe: rows with a NULL key or a NULL order value (whose block is NULL,
+    # the first one) are rows of their key like any other.
+    at = [*keys, _BLK]
+    carry = carry.select(*[F.col(c).alias(f"_la_at{i}") for i, c in enumerate(at)], *[c for c in carry.columns if c not in at])
+    met = F.lit(True)
+    for i, c in enumerate(at):
+        met = met & F.col(c).eqNullSafe(F.col(f"_la_at{i}"))
+    joined = tagged.join(carry, met)
     outs = []
     if row_number:
         outs.append((F.col("_la_off") + F.row_number().over(ordered)).cast("bigint").alias(row_number))

@@ -100,3 +100,33 @@ def test_block_width_needs_a_numeric_order(spark, skewed):
     assert block_width_for(text, "k", "s", rows_per_block=10) is None
     dated = skewed.withColumn("d", F.expr("date_add(DATE'2024-01-01', seq)"))
     assert block_width_for(dated, "k", "d", rows_per_block=100) is not None
+
+
+def test_null_keys_and_orders_stay(spark):
+    rows = [(k, s, v) for k in (None, 0, 1) for s, v in [(None, 1), (None, 2), *((i, i % 7) for i in range(40))]]
+    df = spark.createDataFrame([(k, s, i, v) for i, (k, s, v) in enumerate(rows)], "k int, seq int, id int, v int")
+    outs = [
+        {
+            r.id: (r.running, r.rn)
+            for r in row_number_blocked(running_sum_blocked(df, "k", ["seq", "id"], "v", block), "k", ["seq", "id"], block, "rn").collect()
+        }
+        for block in (None, _block(10))
+    ]
+    assert outs[0] == outs[1] and len(outs[0]) == len(rows)
+
+
+def test_json_validity_of_whole_text(spark):
+    from lakeaudit.functions.json import json_is_valid
+
+    texts = {'{"k":1} junk': False, "[1,2] x": False, "{'k':1}": False, "3": True, '"s"': True, "null": True, '{"k":1}': True, "[1]": True, "": False, "1,2": False, "1],[2": False, "1,2],[3": False, None: None}
+    got = spark.createDataFrame([(t,) for t in texts], "p string").select("p", json_is_valid("p").alias("v")).collect()
+    assert {r.p: r.v for r in got} == texts
+
+
+def test_rates_keep_three_decimals(spark):
+    from decimal import Decimal
+
+    from lakeaudit.operators.medallion import line_totals
+
+    df = spark.createDataFrame([(1, 100.0, 0.075, 0.0)], "l_orderkey long, l_extendedprice double, l_discount double, l_tax double")
+    assert line_totals(df).first()["net"] == Decimal("92.5000")
