@@ -24,11 +24,14 @@ def extract_json_fields(payload, fields: dict[str, str]) -> dict[str, Column]:
 
 
 def json_is_valid(payload) -> Column:
-    """True when the text parses as a JSON object or array, NULL for NULL."""
+    """True when the whole text is one JSON value, NULL for NULL."""
     p = col_of(payload)
-    return F.when(p.isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.json_object_keys(p).isNotNull() | F.json_array_length(p).isNotNull()
+    # The parser stops after the first value; as an element of two arrays of known
+    # length the text must be one value and nothing more.
+    alone = (F.json_array_length(F.concat(F.lit("["), p, F.lit(",0]"))) == 2) & (
+        F.json_array_length(F.concat(F.lit("[0,0,"), p, F.lit("]"))) == 3
     )
+    return F.when(p.isNotNull(), F.try_parse_json(p).isNotNull() & F.coalesce(alone, F.lit(False)))
 
 
 def row_json(*cols) -> Column:

@@ -18,6 +18,11 @@ def money(c, precision: int = 12, scale: int = 2) -> Column:
     return col_of(c).cast(f"decimal({precision},{scale})")
 
 
+def rate(c) -> Column:
+    """Cast a discount or tax rate to DECIMAL(9, 6), so it is not rounded to cents."""
+    return col_of(c).cast("decimal(9,6)")
+
+
 def money_sum(c, precision: int = 22, scale: int = 2) -> Column:
     """Exact sum of a DECIMAL expression, cast to a fixed result width."""
     return F.sum(col_of(c)).cast(f"decimal({precision},{scale})")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.functions.money import money, money_sum
+from lakeaudit.functions.money import money, money_sum, rate
 from lakeaudit.operators.segmented import block_width_for, latest_per_key, running_sum_blocked, time_block
 
 
@@ -74,7 +74,7 @@ def line_totals(
     join 1:1 on the order key; the partial aggregate also collapses a hot
     order map-side."""
     p = money(price)
-    d = money(discount)
+    d = rate(discount)
     net = p * (F.lit(1) - d)
     aggs = [
         money_sum(p, 22, 2).alias("gross"),
@@ -82,7 +82,7 @@ def line_totals(
         F.count(F.lit(1)).alias("line_count"),
     ]
     if tax:
-        aggs.append(money_sum(net * (F.lit(1) + money(tax)), 30, 6).alias("charge"))
+        aggs.append(money_sum(net * (F.lit(1) + rate(tax)), 30, 6).alias("charge"))
     return lines.groupBy(F.col(order_key).alias("order_key")).agg(*aggs)
 
 

@@ -7,6 +7,8 @@ scale and timestamps as text.
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from tests.conftest import SF_ORACLE
@@ -29,7 +31,9 @@ def test_every_oracle_has_a_query():
 
 def test_rows_only_entries_are_few():
     # Only operators with no SQL counterpart go without an oracle.
-    assert set(QUERIES) - set(ORACLE) == {"m6_list_files"}
+    # (The training-data queries are held against brute force in tests/llm.)
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(ORACLE) == {"m6_list_files"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
