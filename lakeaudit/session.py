@@ -103,8 +103,9 @@ _FALLBACK_ROOT: str | None = None
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    When the setting is unset (local tests), a private folder is created once
-    and registered as the checkpoint directory, so later calls agree.
+    With a local master (tests) it may be unset: a private folder is then created
+    once and registered as the checkpoint directory, so later calls agree. Any other
+    master raises, since executors could not see the driver's folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -113,6 +114,9 @@ def staging_root(spark: SparkSession) -> str:
         except Exception:  # Spark Connect has no SparkContext
             root = None
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         global _FALLBACK_ROOT
         if _FALLBACK_ROOT is None:
             _FALLBACK_ROOT = tempfile.mkdtemp(prefix="lakeaudit-ckpt-")
