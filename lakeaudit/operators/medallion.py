@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.money import money, money_sum, rate
-from lakeaudit.operators.segmented import block_width_for, latest_per_key, running_sum_blocked, time_block
+from lakeaudit.operators.segmented import latest_per_key, range_blocks, running_sum_blocked, time_block
 
 
 # --------------------------------------------------------------------------- G3
@@ -161,15 +161,16 @@ def running_amount(
 ) -> DataFrame:
     """Running Σ amount per user along ``order`` (rows frame), in DECIMAL.
     Computed per (user, time block) so one very active user does not land in a
-    single task; ``order`` must be total within a user. The block width is
-    sized from the data (``block_width_for``) unless ``block_seconds`` is given;
+    single task; ``order`` must be total within a user. The blocks
+    are cut by the rows' ranges (``range_blocks``) unless ``block_seconds`` is given;
     when no user exceeds ``rows_per_block`` rows, a plain window is used."""
     ts = order[0]
-    if block_seconds is None:
-        block_seconds = block_width_for(orders, user, ts, rows_per_block)
-    block = time_block(F.col(ts), block_seconds) if block_seconds else None
+    if block_seconds:
+        blocked, block = orders, time_block(F.col(ts), block_seconds)
+    else:
+        blocked, block = range_blocks(orders, user, order, rows_per_block)
     return running_sum_blocked(
-        orders, user, list(order), money(amount), block, out="running_amount"
+        blocked, user, list(order), money(amount), block, out="running_amount"
     ).withColumn("running_amount", F.col("running_amount").cast("decimal(22,2)"))
 
 
@@ -180,15 +181,17 @@ def funnel(
     user: str = "user_id",
     ts: str = "ts",
     kind: str = "event_type",
+    salts: int = 16,
 ) -> DataFrame:
     """gold.funnel_summary: users reaching each ordered step.
 
     Step 1 is a user's first event of ``steps[0]``; step k is reached at the
     user's first ``steps[k-1]`` event at or after step k−1's time. Each step is
-    one aggregate per user (map-side combined, so a very active user collapses
-    before the shuffle) over that step's events inner-joined to the previous
-    step's per-user times (AQE can split a hot user's partition of an inner
-    join). The final counts reference each step's time column, so each step's
+    one aggregate per user over that step's events inner-joined to the previous
+    step's per-user times. The events of a user are dealt over ``salts`` parts
+    by their time and the small per-user side is copied to each part, so a very
+    active user is joined in as many tasks and combined there before the
+    aggregate's shuffle. The final counts reference each step's time column, so each step's
     plan appears once and its shuffle is reused rather than recomputed.
     Returns ``(step_no, step_name, users)``.
     """
@@ -197,12 +200,13 @@ def funnel(
     # the joins would infer, so Spark reuses each step's shuffle in the counts.
     relevant = events.filter(
         F.col(kind).isin(list(steps)) & F.col(user).isNotNull() & F.col(ts).isNotNull()
-    ).select(user, ts, kind)
+    ).select(user, ts, kind, F.pmod(F.xxhash64(ts), F.lit(salts)).alias("_salt"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     reached = relevant.filter(F.col(kind) == steps[0]).groupBy(user).agg(F.min(ts).alias("t"))
     per_step = [reached]
     for step in steps[1:]:
-        prev = reached.select(user, F.col("t").alias("_prev"))
-        cand = relevant.filter(F.col(kind) == step).join(prev, user)
+        prev = reached.select(user, F.col("t").alias("_prev"), every.alias("_salt"))
+        cand = relevant.filter(F.col(kind) == step).join(prev, [user, "_salt"])
         reached = cand.filter(F.col(ts) >= F.col("_prev")).groupBy(user).agg(F.min(ts).alias("t"))
         per_step.append(reached)
     tagged = None

@@ -70,13 +70,18 @@ def key_check(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
 def foreign_key_check(
     child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str
 ) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row."""
+    """Child rows whose non-NULL key has no parent row. The child is combined to
+    one counted row per key before the join, so a hot key is one row of it."""
     parents = parent.groupBy(F.col(parent_column).alias("_pk")).agg(F.lit(True).alias("_hit"))
-    c = child.select(F.col(column).alias("_ck"))
+    c = child.groupBy(F.col(column).alias("_ck")).agg(F.count(F.lit(1)).alias("_n"))
     joined = c.join(parents, c["_ck"] == parents["_pk"], "left")
     orphan = F.col("_ck").isNotNull() & F.col("_hit").isNull()
+    none = F.lit(0)
     return joined.agg(
-        *_report_row(table, "foreign_key", column, F.count(F.when(orphan, 1)), F.count(F.lit(1)))
+        *_report_row(
+            table, "foreign_key", column,
+            F.coalesce(F.sum(F.when(orphan, F.col("_n"))), none), F.coalesce(F.sum("_n"), none),
+        )
     )
 
 

@@ -17,9 +17,10 @@ and compute the ordered result per (key, block):
    as many tasks as it has blocks.
 
 Splitting costs a second pass over the rows, so it is paid only when needed:
-``block_width_for`` measures the busiest key with one small aggregate and
-returns no width when every key fits in one block; the helpers then run a
-plain per-key window.
+``range_blocks`` measures the busiest key with one small aggregate and gives no
+block when every key fits in one; the helpers then run a plain per-key window,
+with the same result. ``block_width_for`` gives a fixed width instead, for
+orders known to be spread evenly.
 
 "Keep the latest row per key" needs no window at all: ``max(struct(order...,
 rest...))`` is an ordinary aggregate with map-side combining.
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeaudit.functions._util import col_of
+from lakeaudit.session import staging_path
 
 _BLK = "_la_block"
 
@@ -102,6 +104,28 @@ def block_width_for(df: DataFrame, keys, order_col: str, rows_per_block: int = 1
     return max(1, int(-(-span * rows_per_block // stats["n"])))
 
 
+def range_blocks(df: DataFrame, keys, order, rows_per_block: int = 1 << 20) -> tuple[DataFrame, Column | None]:
+    """``df`` with a block column, for keys too busy for one window; no block when none is.
+
+    Rows are range-partitioned by (keys, order) into parts of about ``rows_per_block`` rows
+    and written to the shared folder with the number of their part. The bounds come from the
+    rows themselves, so a key whose rows crowd into a small part of its range is split as
+    evenly as any other, whatever the type of the order columns. Rows equal in all keys and
+    order columns share a block. The written numbers do not change when a task is repeated.
+    """
+    keys, order = _names(keys), _names(order)
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    busiest, total = per_key.agg(F.max("_n"), F.sum("_n")).first()
+    if busiest is None or busiest <= rows_per_block:
+        return df, None
+    spark = df.sparkSession
+    path = staging_path(spark, "blocks")
+    parts = -(-total // rows_per_block)
+    df.repartitionByRange(parts, *keys, *order).withColumn(_BLK, F.spark_partition_id()).write.parquet(path)
+    blocked = spark.read.parquet(path)
+    return blocked, F.col(_BLK)
+
+
 def _order_cols(order) -> list[Column]:
     return [col_of(c) for c in _names(order)]
 
@@ -178,7 +202,7 @@ def ordered_blocked(
         )
     if lag_cols:
         outs.append(F.coalesce(F.lag(packed).over(ordered), F.col("_la_carry")).alias("_la_prev"))
-    out = joined.select(*df.columns, *outs)
+    out = joined.select(*[c for c in df.columns if c != _BLK], *outs)
     if lag_cols:
         out = out.select(
             *[c for c in out.columns if c != "_la_prev"],

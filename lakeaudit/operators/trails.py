@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.operators.segmented import (
-    block_width_for,
     lag_blocked,
     ordered_blocked,
+    range_blocks,
     seq_block,
 )
 
@@ -34,14 +34,15 @@ def trail_steps(
     """Each event with its predecessor's sequence number and clock, and flags:
     ``is_gap`` (seq > prev + 1), ``is_duplicate`` (seq = prev), ``is_backwards``
     (clock < prev clock). ``tie`` columns complete the order for equal
-    (seq, clock) pairs; flags do not depend on them. Sequence blocks are sized
-    from the data unless ``block_width`` is given; when no trail exceeds
+    (seq, clock) pairs; flags do not depend on them. Blocks are cut
+    by the rows' ranges unless ``block_width`` is given; when no trail exceeds
     ``rows_per_block`` events, a plain per-trail window is used."""
     order = [seq, clock, *tie]
-    if block_width is None:
-        block_width = block_width_for(df, trail, seq, rows_per_block)
-    block = seq_block(F.col(seq), block_width) if block_width else None
-    out = lag_blocked(df, trail, order, [seq, clock], block)
+    if block_width:
+        blocked, block = df, seq_block(F.col(seq), block_width)
+    else:
+        blocked, block = range_blocks(df, trail, order, rows_per_block)
+    out = lag_blocked(blocked, trail, order, [seq, clock], block)
     prev_seq = F.col(f"prev_{seq}")
     prev_clock = F.col(f"prev_{clock}")
     return out.select(

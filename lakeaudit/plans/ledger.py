@@ -17,6 +17,7 @@ import datetime as dt
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def run_job(
             rows = int(obs.get["rows"])
         state, result, err = "TERMINATED", "SUCCESS", None
     except Exception as exc:
-        state, result, err = "TERMINATED", "FAILED", f"{type(exc).__name__}: {exc}"[:2000]
+        state, result, err = "TERMINATED", "FAILED", f"{type(exc).__name__}: {exc}"
     end = dt.datetime.now(dt.timezone.utc)
     _append(spark, ledger_path, (run_id, job_id, job_name, ptext, state, result, end, 1, rows, target, err))
     return {
@@ -95,7 +96,9 @@ def run_job(
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    except Exception:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":  # nothing recorded yet
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 

@@ -4,10 +4,10 @@ verification and multi-table runs with per-table fault isolation (S7–S12).
 What the reference does and what changes:
 
 * It truncates, then force-copies; a swallowed TRUNCATE error duplicates rows.
-  Here a reload writes a staging table, checks it, and only then swaps it in
-  (drop + rename). A failure before the swap leaves the old rows untouched.
-  Partitioned tables use dynamic partition overwrite instead, which replaces
-  only the partitions present in the new data.
+  Here a reload writes a new version beside the table, checks it, and only then
+  swaps it in (drop + rename). A failure before the swap leaves the old rows
+  untouched. ``overwrite_partitions`` replaces only the partitions present in
+  the new data.
 * It prints row totals and never compares them. Here the source count is
   observed during the write (no second scan of the source) and compared with
   the target's count.
@@ -18,7 +18,6 @@ What the reference does and what changes:
 from __future__ import annotations
 
 import traceback
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from lakeaudit.contracts import Contract
 from lakeaudit.operators.gate import tag
 from lakeaudit.session import staging_path
+from lakeaudit.sources.swap import Version, quoted
 
 
 # --------------------------------------------------------------------- S7, S8
@@ -76,6 +76,42 @@ def create_table(
 
 
 # ------------------------------------------------------------------------ S9
+def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition value together; AQE splits a value holding many rows."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
+def _write_version(
+    spark: SparkSession,
+    df: DataFrame,
+    table: str,
+    partition_by: Sequence[str],
+    check: Callable[[int], None] | None,
+    like_old: bool,
+) -> int:
+    """Write ``df`` as a new version of ``table``, check it, swap it in; the rows written."""
+    version = Version(spark, table)
+    # Counts are observed in the stage that writes (never before a shuffle), so
+    # a map stage re-run after a lost executor cannot inflate them.
+    obs = Observation(f"version:{table}")
+    rows = F.count(F.lit(1)).alias("rows")
+    try:
+        if like_old:
+            spark.sql(f"CREATE TABLE {quoted(version.name)} LIKE {quoted(table)} LOCATION '{version.folder}'")
+            _clustered(df.select(*spark.table(table).columns), partition_by).observe(obs, rows).write.insertInto(version.name)
+        else:
+            writer = _clustered(df, partition_by).observe(obs, rows).write.format("parquet").option("path", version.folder)
+            (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(version.name)
+        written = int(obs.get["rows"])
+        if check:
+            check(written)
+    except Exception:
+        version.discard()
+        raise
+    version.swap_in()
+    return written
+
+
 def reload_table(
     spark: SparkSession,
     df: DataFrame,
@@ -85,55 +121,55 @@ def reload_table(
 ) -> int:
     """Idempotent full reload; returns the rows written.
 
-    Unpartitioned: write ``<table>__staging_<id>``, count it from the write's own
-    observed metrics, run ``check(rows)`` (raise to abort), then drop the old
-    table and rename the staging table. Partitioned (and existing): dynamic
-    partition overwrite, which is atomic per partition and never empties the
-    table. Loading twice gives the same rows as loading once.
+    The rows are written as a new version beside the table (``sources.swap``), counted
+    from the write's own metrics and checked (``check(rows)`` raises to abort); only then
+    is the version swapped in. Any failure before that leaves the old rows. Afterwards the
+    table holds exactly ``df``: partitions absent from it are gone. An existing table keeps
+    its columns, types, comments and partitioning; ``partition_by`` must agree with it.
     """
-    # Counts are observed in the stage that writes (never before a shuffle), so
-    # a map stage re-run after a lost executor cannot inflate them.
-    obs = Observation(f"reload:{table}")
-    if partition_by and spark.catalog.tableExists(table):
-        cols = spark.table(table).columns
-        # Clustered by partition value; AQE splits a value holding many rows.
-        clustered = df.select(*cols).hint("rebalance", *partition_by)
-        # insertInto does not take writer options, so the mode is set on the
-        # session for this statement and put back afterwards.
-        key = "spark.sql.sources.partitionOverwriteMode"
-        previous = spark.conf.get(key, "static")
-        spark.conf.set(key, "dynamic")
-        try:
-            clustered.observe(obs, F.count(F.lit(1)).alias("rows")).write.insertInto(table, overwrite=True)
-        finally:
-            spark.conf.set(key, previous)
-        rows = int(obs.get["rows"])
-        if check:
-            check(rows)
-        return rows
-    # A unique staging name: two reloads of one table never share it, and a
-    # failed write or check removes only its own staging table.
-    staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = observed.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    if not spark.catalog.tableExists(table):
+        return _write_version(spark, df, table, partition_by, check, like_old=False)
+    have = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if partition_by and list(partition_by) != have:
+        raise ValueError(f"table {table} is partitioned by {have}, not by {list(partition_by)}")
+    return _write_version(spark, df, table, have, check, like_old=True)
+
+
+def overwrite_partitions(
+    spark: SparkSession, df: DataFrame, table: str, check: Callable[[int], None] | None = None
+) -> int:
+    """Replace only the partitions that ``df`` has rows of; returns the rows written.
+
+    Rows are staged in the shared folder and checked before any partition is touched;
+    each partition is then replaced by dynamic partition overwrite.
+    """
+    columns = spark.table(table).columns
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if not parts:
+        raise ValueError(f"table {table} has no partitions")
+    obs = Observation(f"partitions:{table}")
+    path = staging_path(spark, "partitions")
+    df.select(*columns).observe(obs, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    rows = int(obs.get["rows"])
+    if check:
+        check(rows)
+    staged = spark.read.schema(df.select(*columns).schema).parquet(path)
+    # insertInto does not take writer options, so the mode is set on the
+    # session for this statement and put back afterwards.
+    key = "spark.sql.sources.partitionOverwriteMode"
+    previous = spark.conf.get(key, "static")
+    spark.conf.set(key, "dynamic")
     try:
-        writer.saveAsTable(staging)
-        rows = int(obs.get["rows"])
-        if check:
-            check(rows)
-    except Exception:
-        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": staging})
-        raise
-    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": table})
-    spark.sql("ALTER TABLE IDENTIFIER(:s) RENAME TO IDENTIFIER(:t)", args={"s": staging, "t": table})
+        _clustered(staged, parts).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, previous)
     return rows
 
 
-def replace_table(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Drop-and-replace; the schema may change."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
+def replace_table(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> int:
+    """Drop-and-replace; the schema may change. The old table stays until the new
+    rows are written; returns the rows written."""
+    return _write_version(spark, df, table, partition_by, None, like_old=False)
 
 
 # ----------------------------------------------------------------------- S3
@@ -181,11 +217,9 @@ def gated_load(
 
 def read_good(spark: SparkSession, result: GatedResult, contract: Contract) -> DataFrame:
     """The good rows of a gated load, with the contract's columns only."""
-    cols = contract.column_names
-    try:
-        return spark.read.parquet(result.good_path).select(*cols)
-    except Exception:
+    if result.rows_good == 0:  # no file was written
         return spark.createDataFrame([], contract.schema())
+    return spark.read.parquet(result.good_path).select(*contract.column_names)
 
 
 # ----------------------------------------------------------------------- S11
@@ -308,5 +342,5 @@ def load_tables(
             msg = f"{type(exc).__name__}: {exc}".strip()
             if not str(exc):
                 msg = traceback.format_exc(limit=1)
-            report.append((load.name, phase, "failed", rows_read, rows_loaded, rows_rejected, msg[:2000]))
+            report.append((load.name, phase, "failed", rows_read, rows_loaded, rows_rejected, msg))
     return spark.createDataFrame(report, REPORT_SCHEMA)

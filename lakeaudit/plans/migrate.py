@@ -80,7 +80,7 @@ def export_csv(
             lossy = m["subsecond"] > 0 and not keeps_fraction
             return (name, path, int(m["rows"]), int(m["subsecond"]), "lossy" if lossy else "ok", None)
         except Exception as exc:
-            return (name, path, None, None, "failed", f"{type(exc).__name__}: {exc}"[:2000])
+            return (name, path, None, None, "failed", f"{type(exc).__name__}: {exc}")
 
     return spark.createDataFrame(loads.run_per_table(export, tables.items(), max_workers), EXPORT_SCHEMA)
 
@@ -137,5 +137,5 @@ def migrate_parquet(
             target_rows = table.count()
             report.append((name, "ok", source_rows, target_rows, source_rows == target_rows, drift, None))
         except Exception as exc:
-            report.append((name, "failed", None, None, None, None, f"{type(exc).__name__}: {exc}"[:2000]))
+            report.append((name, "failed", None, None, None, None, f"{type(exc).__name__}: {exc}"))
     return spark.createDataFrame(report, PARQUET_SCHEMA)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakeaudit.contracts import Contract
+from lakeaudit.sources.swap import Version, quoted
 
 
 def write_parquet(
@@ -42,15 +43,19 @@ def write_contract_parquet(df: DataFrame, path: str, contract: Contract, mode: s
 
 def create_table_from_parquet(spark: SparkSession, table: str, path: str, replace: bool = False) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS t AS SELECT * FROM parquet.`path```
-    (schema inferred from the files). ``replace`` drops the table first, as the
-    reference does. Table and path go in as an identifier and a quoted path."""
-    if replace:
-        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:t)", args={"t": table})
-    quoted = path.replace("`", "``")
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:t) USING PARQUET AS SELECT * FROM parquet.`{quoted}`",
-        args={"t": table},
-    )
+    (schema inferred from the files). ``replace`` writes the new table beside the
+    old one and swaps it in, so a missing or unreadable source leaves the old one."""
+    source = "parquet.`" + path.replace("`", "``") + "`"
+    if not replace:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(table)} USING PARQUET AS SELECT * FROM {source}")
+        return spark.table(table)
+    version = Version(spark, table)
+    try:
+        spark.sql(f"CREATE TABLE {quoted(version.name)} USING PARQUET LOCATION '{version.folder}' AS SELECT * FROM {source}")
+    except Exception:
+        version.discard()
+        raise
+    version.swap_in()
     return spark.table(table)
 
 

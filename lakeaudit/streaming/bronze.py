@@ -151,22 +151,12 @@ def gated_csv_ingest(
     """
     from lakeaudit.contracts import CSV_TIMESTAMP_FORMAT
     from lakeaudit.operators.gate import tag
-    from lakeaudit.sources.csv import read_schema
-
-    fmt = timestamp_format or CSV_TIMESTAMP_FORMAT
-    stream = (
-        spark.readStream.schema(read_schema(contract))
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("timestampFormat", fmt)
-        .option("timestampNTZFormat", fmt)
-        .option("nullValue", "")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(landing_dir)
-    )
+    from lakeaudit.sources.csv import header_schema, read_options, read_schema
+
+    options = read_options(multi_line, timestamp_format or CSV_TIMESTAMP_FORMAT)
+    ordered = header_schema(spark, landing_dir, contract.schema(), options)
+    stream = spark.readStream.schema(read_schema(ordered)).options(**options).csv(landing_dir)
+    stream = stream.select(*read_schema(contract).fieldNames())
     tagged = tag(stream, contract)
     q = (
         tagged.writeStream.format("parquet")

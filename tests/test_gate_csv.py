@@ -6,6 +6,7 @@ import csv
 import decimal
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeaudit.contracts import AUDIT_EVENTS, TRANSACTIONS
@@ -186,3 +187,39 @@ def test_gate_reasons_property(spark):
         assert good.count() + bad.count() == len(rows)
 
     check()
+
+
+def test_columns_are_found_by_header_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("a", T.StringType()).add("b", T.IntegerType())
+    path = tmp_path / "reversed.csv"
+    path.write_text("b,a\n1,x\n2,y\n")
+    df = read_typed_csv(spark, str(path), schema, with_corrupt=False)
+    assert [tuple(r) for r in df.collect()] == [("x", 1), ("y", 2)]
+    assert df.count() == 2 and df.select("a").count() == 2
+    assert [r.b for r in read_typed_csv(spark, str(path), schema).select("b").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("header", ["a", "a,c", "a,b,c", "a,a"])
+def test_header_that_does_not_fit_raises(spark, tmp_path, header):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("a", "string").add("b", "string")
+    path = tmp_path / "odd.csv"
+    path.write_text(header + "\n" + ",".join("1" for _ in header.split(",")) + "\n")
+    with pytest.raises(ValueError, match="does not fit"):
+        read_typed_csv(spark, str(path), schema)
+
+
+def test_a_file_of_the_folder_with_another_header_fails_the_read(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("a", "string").add("b", "string")
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_typed_csv(spark, str(tmp_path), schema).collect()
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert read_typed_csv(spark, str(empty), schema).count() == 0

@@ -63,10 +63,8 @@ def test_failed_reload_keeps_old_rows(spark, schema):
     assert leftovers == []
 
 
-def test_partitioned_reload_dynamic_overwrite(spark, schema):
-    table = f"{schema}.orders"
-    loads.create_table(spark, table, SILVER_ORDERS)
-    base = spark.createDataFrame(
+def _days(spark):
+    return spark.createDataFrame(
         [(1, 1, 1, "2025-01-01", "shipped", 1.0, "2025-01-01 00:00:00"),
          (2, 1, 1, "2025-01-02", "shipped", 2.0, "2025-01-02 00:00:00")],
         "order_id bigint, user_id bigint, product_id bigint, order_date string, status string, "
@@ -75,14 +73,65 @@ def test_partitioned_reload_dynamic_overwrite(spark, schema):
         "order_id", "user_id", "product_id", F.to_date("order_date").alias("order_date"), "status", "amount",
         F.to_timestamp("updated_at").alias("updated_at"),
     )
-    loads.reload_table(spark, base, table, partition_by=["order_date"])
-    loads.reload_table(spark, base, table, partition_by=["order_date"])
-    assert spark.table(table).count() == 2
-    # reloading one day replaces that partition only
+
+
+def _amounts(spark, table):
+    return {r["order_id"]: r["amount"] for r in spark.table(table).collect()}
+
+
+def test_partitioned_reload_holds_exactly_the_new_rows(spark, schema):
+    table = f"{schema}.orders"
+    loads.create_table(spark, table, SILVER_ORDERS)
+    base = _days(spark)
+    comments = [c.description for c in spark.catalog.listColumns(table)]
+    assert loads.reload_table(spark, base, table, partition_by=["order_date"]) == 2
+    assert loads.reload_table(spark, base, table, partition_by=["order_date"]) == 2
+    assert _amounts(spark, table) == {1: 1.0, 2: 2.0}
+    assert spark.table(table).where("order_date = DATE '2025-01-01'").count() == 1
+    # a day absent from the new load is gone
     day2 = base.filter(F.col("order_id") == 2).withColumn("amount", F.lit(9.0))
     loads.reload_table(spark, day2, table, partition_by=["order_date"])
-    got = {r["order_id"]: r["amount"] for r in spark.table(table).collect()}
-    assert got == {1: 1.0, 2: 9.0}
+    assert _amounts(spark, table) == {2: 9.0}
+    assert [c.description for c in spark.catalog.listColumns(table)] == comments
+    with pytest.raises(ValueError, match="partitioned by"):
+        loads.reload_table(spark, base, table, partition_by=["status"])
+
+
+def test_first_partitioned_load_reads_back(spark, schema):
+    table = f"{schema}.fresh"
+    assert loads.reload_table(spark, _days(spark), table, partition_by=["order_date"]) == 2
+    assert _amounts(spark, table) == {1: 1.0, 2: 2.0}
+
+
+def test_failed_partitioned_reload_keeps_old_rows(spark, schema):
+    table = f"{schema}.kept"
+    loads.reload_table(spark, _days(spark), table, partition_by=["order_date"])
+
+    def reject(n):
+        raise ValueError("check failed")
+
+    changed = _days(spark).withColumn("amount", F.lit(7.0))
+    with pytest.raises(ValueError):
+        loads.reload_table(spark, changed, table, partition_by=["order_date"], check=reject)
+    with pytest.raises(ValueError):
+        loads.overwrite_partitions(spark, changed, table, check=reject)
+    assert _amounts(spark, table) == {1: 1.0, 2: 2.0}
+    # replacing one day leaves the other
+    loads.overwrite_partitions(spark, changed.where("order_id = 2"), table)
+    assert _amounts(spark, table) == {1: 1.0, 2: 7.0}
+
+
+def test_replace_with_a_missing_source_keeps_the_old_table(spark, schema, scratch):
+    table = f"{schema}.old"
+    loads.replace_table(spark, spark.range(3), table)
+    with pytest.raises(Exception):
+        parquet.create_table_from_parquet(spark, table, os.path.join(scratch, "absent"), replace=True)
+    boom = spark.range(4).withColumn("x", F.when(F.col("id") == 2, F.raise_error(F.lit("boom"))).otherwise(F.lit(1)))
+    with pytest.raises(Exception):
+        loads.replace_table(spark, boom, table)
+    assert spark.table(table).count() == 3
+    folder = spark.catalog.getDatabase(schema).locationUri.removeprefix("file:")
+    assert len([f for f in os.listdir(folder) if f.startswith("old__v_")]) == 1
 
 
 def test_ctas_and_drift(spark, schema):
