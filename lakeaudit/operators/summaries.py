@@ -21,12 +21,15 @@ def violation_summary(
 
     ``mode`` is ``rollup``, ``cube`` or ``sets`` (explicit ``grouping_sets``).
     One ``g_<dim>`` flag per dimension (1 = rolled up) tells a subtotal's NULL
-    from a real NULL. Spark plans all three as one Expand + aggregate, so the
-    input is read once whatever the number of sets.
+    from a real NULL. The violations are first aggregated to the finest groups; only
+    those few rows are expanded into the sets.
     """
+    violations = violations.groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.abs(F.col(amount))).alias("_abs")
+    )
     aggs = [
-        F.count(F.lit(1)).cast("bigint").alias("violations"),
-        F.sum(F.abs(F.col(amount))).cast("decimal(22,6)").alias("abs_delta"),
+        F.sum("_n").cast("bigint").alias("violations"),
+        F.sum("_abs").cast("decimal(22,6)").alias("abs_delta"),
     ]
     flags = [F.grouping(d).cast("int").alias(f"g_{d}") for d in dims]
     if mode == "rollup":

@@ -93,18 +93,22 @@ def numbered_trail_summary(
     seq: str = "sequence_num",
 ) -> DataFrame:
     """C6 for trails that carry no sequence column: the sequence number is the
-    rank along ``order`` (e.g. an event id). Numbering and the predecessor's
-    clock come from one block-split pass; by construction the numbers have no
-    gaps or duplicates, so the checks that remain are the clock and the count.
-    ``order`` must be total within a trail."""
-    steps = ordered_blocked(df, trail, list(order), block, row_number=seq, lag_cols=[clock])
+    rank along ``order`` (e.g. an event id). Numbering and the predecessor come from one
+    block-split pass. Ranks have no gaps; a row whose ``order`` values equal its
+    predecessor's states the same event again and counts as a duplicate."""
+    order = list(order)
+    total = [*order, clock]  # rows equal in these are alike for every check
+    steps = ordered_blocked(df, trail, total, block, row_number=seq, lag_cols=total)
+    repeats = F.col(seq) > 1
+    for name in order:
+        repeats = repeats & F.col(name).eqNullSafe(F.col(f"prev_{name}"))
     s = steps.groupBy(trail).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_events"),
         F.min(seq).cast("bigint").alias("first_seq"),
         F.max(seq).cast("bigint").alias("last_seq"),
         F.lit(0).cast("bigint").alias("n_gaps"),
-        F.lit(0).cast("bigint").alias("n_duplicates"),
+        F.count(F.when(repeats, 1)).cast("bigint").alias("n_duplicates"),
         F.count(F.when(F.col(clock) < F.col(f"prev_{clock}"), 1)).cast("bigint").alias("n_backwards"),
     )
-    clean = (F.col("first_seq") == 1) & (F.col("n_backwards") == 0)
+    clean = (F.col("first_seq") == 1) & (F.col("n_duplicates") == 0) & (F.col("n_backwards") == 0)
     return s.withColumn("is_clean", clean)

@@ -26,11 +26,12 @@ from lakeaudit.contracts import Contract, contract_from_schema
 from lakeaudit.functions.money import money
 from lakeaudit.operators import deadlines, gate, medallion, quality, reconcile, summaries, trails
 from lakeaudit.operators.profile import profile
-from lakeaudit.operators.segmented import block_width_for, latest_per_key, seq_block
+from lakeaudit.operators.segmented import latest_per_key, range_blocks
 from lakeaudit.plans import bounded_sql, catalog, ledger, loads
 from lakeaudit.session import staging_path
 from lakeaudit.sources import csv as csv_source
 from lakeaudit.sources import files, parquet
+from lakeaudit.sources.swap import remove_folder
 from lakeaudit.sources.tables import DRIVER_TABLES, read_table, scan, table_path
 from lakeaudit.streaming import bronze
 
@@ -52,17 +53,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows
-    (a bounded ``limit(n+1).count()`` job); otherwise leave the join to the
-    planner (sort-merge, or AQE's runtime broadcast on measured size)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def _sql_string(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 # Parameters of the bindings (ours; the reference fixes none of them).
 DETECTED_AT = "2025-01-01 00:00:00"
 TOTAL_TOLERANCE = 0.01
@@ -394,14 +384,14 @@ def g2_stream_daily_windows(spark, sf_dir):
 
 
 # ======================================================================== C1
-def _c1_frame(spark, sf_dir) -> DataFrame:
+def _c1_frame(spark, sf_dir, how: str = "inner") -> DataFrame:
     """orders ⋈ per-order line charge: stated total vs actual charge."""
     per_order = medallion.line_totals(_t(spark, sf_dir, "lineitem"))
     o = _t(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_key"), "o_custkey", "o_totalprice",
         F.col("o_orderpriority").alias("corridor"),
     )
-    return o.join(per_order, "order_key")
+    return o.join(per_order, "order_key", how)
 
 
 def c1_rule() -> reconcile.Rule:
@@ -525,7 +515,7 @@ def c5_rule() -> reconcile.Rule:
 
 C5_SQL = f"""
 WITH j AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS tx_id,
+  SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS tx_id,
          CAST(p_retailprice AS DECIMAL(12,2)) * CAST(l_quantity AS DECIMAL(12,2)) AS stated,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS actual
   FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -545,11 +535,13 @@ FROM r WHERE abs(d) > {TOTAL_TOLERANCE}
 @binding("c5_list_price_drift", C5_SQL)
 def c5_list_price_drift(spark, sf_dir):
     """The price stated in two places (part list price × quantity, and the
-    line's extended price) compared with the same one-pass rule engine."""
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    line's extended price) compared with the same one-pass rule engine. The id is the
+    line's: order, line number, part and supplier (line numbers repeat within an order)."""
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = _t(spark, sf_dir, "lineitem").select(key.alias("line"), "l_partkey", "l_quantity", "l_extendedprice")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     j = lines.join(part, lines["l_partkey"] == part["p_partkey"])
-    return reconcile.reconcile(j, "l_orderkey", [c5_rule()], DETECTED_AT).select(*_VIOLATION_COLS)
+    return reconcile.reconcile(j, "line", [c5_rule()], DETECTED_AT).select(*_VIOLATION_COLS)
 
 
 # ======================================================================== C6
@@ -599,12 +591,38 @@ SELECT *, (first_seq = 1 AND n_gaps = 0 AND n_duplicates = 0 AND n_backwards = 0
 @binding("c6_trail_events", C6_EVENTS_SQL)
 def c6_trail_events(spark, sf_dir):
     """Each user's events as a trail: the sequence number is the rank of the
-    event id within the user (numbered per id block, so a very active user is
-    split across tasks), the clock is ``ts``."""
+    event id within the user (a very active user is split across tasks by the rows'
+    ranges), the clock is ``ts``."""
     e = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    width = block_width_for(e, "user_id", "event_id")
-    block = seq_block(F.col("event_id"), width) if width else None
-    return trails.numbered_trail_summary(e, "user_id", ["event_id"], block, clock="ts")
+    blocked, block = range_blocks(e, "user_id", ["event_id", "ts"])
+    return trails.numbered_trail_summary(blocked, "user_id", ["event_id"], block, clock="ts")
+
+
+C6_SUPPLIERS_SQL = """
+WITH n AS (
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate, row_number() OVER w AS sequence_num,
+         lag(l_orderkey) OVER w AS prev_order, lag(l_linenumber) OVER w AS prev_line,
+         lag(l_shipdate) OVER w AS prev_clock
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate)),
+g AS (
+  SELECT l_suppkey, CAST(COUNT(*) AS BIGINT) AS n_events,
+         CAST(MIN(sequence_num) AS BIGINT) AS first_seq, CAST(MAX(sequence_num) AS BIGINT) AS last_seq,
+         CAST(0 AS BIGINT) AS n_gaps,
+         CAST(COUNT(*) FILTER (WHERE l_orderkey = prev_order AND l_linenumber = prev_line) AS BIGINT) AS n_duplicates,
+         CAST(COUNT(*) FILTER (WHERE l_shipdate < prev_clock) AS BIGINT) AS n_backwards
+  FROM n GROUP BY l_suppkey)
+SELECT *, (first_seq = 1 AND n_duplicates = 0 AND n_backwards = 0) AS is_clean FROM g
+"""
+
+
+@binding("c6_trail_suppliers", C6_SUPPLIERS_SQL)
+def c6_trail_suppliers(spark, sf_dir):
+    """Each supplier's lines by order and line number, ship date as the clock: trails with
+    repeated places and a clock that runs backwards."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate")
+    order = ["l_orderkey", "l_linenumber"]
+    blocked, block = range_blocks(lines, "l_suppkey", [*order, "l_shipdate"])
+    return trails.numbered_trail_summary(blocked, "l_suppkey", order, block, clock="l_shipdate")
 
 
 # ======================================================================== C7
@@ -675,21 +693,22 @@ FROM x GROUP BY n_name, c_mktsegment
 def c9_risk_exposure(spark, sf_dir):
     """Tier = (nation name, market segment); a transaction is violating when it
     has a high-severity total mismatch."""
-    nation = broadcast_if_bounded(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     customers = cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"]).select(
         F.col("c_custkey").alias("customer_id"), "n_name", "c_mktsegment"
     )
-    tx = _t(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("tx_id"),
+    # The rule is judged on every order once and its outcome carried along with customer
+    # and amount, so orders are read and joined once; orders without lines violate nothing.
+    judged = reconcile.reconcile(
+        _c1_frame(spark, sf_dir, "left"), "order_key", [c1_rule()], DETECTED_AT,
+        only_violations=False, keep=["o_custkey", "o_totalprice", "charge"],
+    ).select(
         F.col("o_custkey").alias("customer_id"),
-        "o_totalprice",
-    )
-    high = _c1_violations(spark, sf_dir).filter(F.col("severity") == "high")
-    return summaries.risk_exposure(
-        customers, tx, high, tier_cols=("n_name", "c_mktsegment"),
-        customer_key="customer_id", tx_key="tx_id", amount="o_totalprice",
+        F.col("o_totalprice").cast("decimal(12,2)").alias("_amt"),
+        (F.col("charge").isNotNull() & F.col("violated") & (F.col("severity") == "high")).alias("_bad"),
     )
+    return summaries.exposure_by(judged.join(customers, "customer_id"), ("n_name", "c_mktsegment"))
 
 
 # ======================================================================== S1
@@ -751,6 +770,14 @@ def _scratch_schema(spark, label: str) -> str:
     return name
 
 
+def _drop_scratch(spark, schema: str, *folders: str) -> None:
+    """Drop a scratch schema with its tables' files, once nothing reads them any more."""
+    location = spark.catalog.getDatabase(schema).locationUri
+    spark.sql(f"DROP SCHEMA {schema} CASCADE")
+    for folder in (location, *folders):
+        remove_folder(spark, folder)
+
+
 @binding("s4_ctas_region", "SELECT * FROM region")
 def s4_ctas_region(spark, sf_dir):
     """``CREATE TABLE … AS SELECT * FROM parquet.`path``` into a scratch schema
@@ -759,6 +786,33 @@ def s4_ctas_region(spark, sf_dir):
     return parquet.create_table_from_parquet(spark, f"{schema}.region", table_path(sf_dir, "region"))
 
 
+# =================================================================== S9, S10
+@binding("s9_first_partitioned_load", "SELECT * FROM orders")
+def s9_first_partitioned_load(spark, sf_dir):
+    """A reload into a table that does not exist yet, partitioned by status."""
+    orders, table = _t(spark, sf_dir, "orders"), f"{_scratch_schema(spark, 'first')}.orders"
+    loads.reload_table(spark, orders, table, ["o_orderstatus"])
+    return spark.table(table).select(*orders.columns)
+
+
+@binding("s9_reload_partitioned", "SELECT * FROM orders WHERE o_orderstatus <> 'P'")
+def s9_reload_partitioned(spark, sf_dir):
+    """All orders, then a second load without one status: the table holds the second load."""
+    orders, table = _t(spark, sf_dir, "orders"), f"{_scratch_schema(spark, 'reload')}.orders"
+    loads.reload_table(spark, orders, table, ["o_orderstatus"])
+    loads.reload_table(spark, orders.where(F.col("o_orderstatus") != "P"), table, ["o_orderstatus"])
+    return spark.table(table).select(*orders.columns)
+
+
+@binding("s10_replace_table", "SELECT * FROM customer")
+def s10_replace_table(spark, sf_dir):
+    """Drop-and-replace by rows of another schema."""
+    table = f"{_scratch_schema(spark, 'replace')}.parties"
+    loads.replace_table(spark, _t(spark, sf_dir, "supplier"), table)
+    loads.replace_table(spark, _t(spark, sf_dir, "customer"), table)
+    return spark.table(table)
+
+
 # ======================================================================== S6
 @binding("s6_parquet_roundtrip_orders", "SELECT * FROM orders")
 def s6_parquet_roundtrip_orders(spark, sf_dir):
@@ -783,8 +837,12 @@ S11_SQL = "\nUNION ALL\n".join(
 def s11_load_verify(spark, sf_dir):
     """Copy every driver table (text, arrays and all) to the staging folder;
     compare the count observed during each write with the count read back
-    from the written files."""
-    return loads.copy_and_verify(spark, {t: _t(spark, sf_dir, t) for t in _S11_TABLES})
+    from the written files. The copies go when the counts are known."""
+    folder = staging_path(spark, "verified-load")
+    try:
+        return loads.copy_and_verify(spark, {t: _t(spark, sf_dir, t) for t in _S11_TABLES}, folder)
+    finally:
+        remove_folder(spark, folder)
 
 
 # ======================================================================= S12
@@ -819,7 +877,11 @@ def s12_load_report(spark, sf_dir):
         df_schema = _t(spark, sf_dir, name).schema
         contract = _orders_contract(df_schema) if name == "orders" else contract_from_schema(name, df_schema)
         specs.append(loads.TableLoad(name, reader(name), contract))
-    return loads.load_tables(spark, specs, schema=schema)
+    gate_folder = staging_path(spark, "gate")
+    try:
+        return loads.load_tables(spark, specs, schema, gate_folder)
+    finally:
+        _drop_scratch(spark, schema, gate_folder)
 
 
 # ======================================================================== M5
@@ -965,6 +1027,71 @@ def p3_top_orders(spark, sf_dir):
     )
 
 
+# ============================================================ P2, P3 on a ledger
+def _events_ledger(spark, sf_dir) -> DataFrame:
+    """The events as ledger rows: a user is a run of job (user modulo 40), purchases and
+    errors end it, other kinds find it running."""
+    kind, job = F.col("event_type"), F.col("user_id") % 40
+    return _t(spark, sf_dir, "events").select(
+        F.col("user_id").cast("bigint").alias("run_id"),
+        job.cast("bigint").alias("job_id"),
+        F.concat(F.lit("job-"), job.cast("string")).alias("job_name"),
+        F.col("props").alias("params"),
+        F.when(kind.isin("purchase", "error"), "TERMINATED").otherwise("RUNNING").alias("state"),
+        F.when(kind == "purchase", "SUCCESS").when(kind == "error", "FAILED").alias("result_state"),
+        F.col("ts").cast("timestamp").alias("event_ts"),
+        F.col("event_id").cast("bigint").alias("event_seq"),
+        F.when(kind == "purchase", F.col("event_id").cast("bigint")).alias("rows_written"),
+        F.concat(F.lit("/runs/"), F.col("user_id").cast("string")).alias("output_path"),
+        F.when(kind == "error", kind).alias("error"),
+    )
+
+
+_LEDGER_CTE = """
+l AS (
+  SELECT CAST(user_id AS BIGINT) AS run_id, CAST(user_id % 40 AS BIGINT) AS job_id,
+         'job-' || CAST(user_id % 40 AS VARCHAR) AS job_name, props AS params,
+         CASE WHEN event_type IN ('purchase', 'error') THEN 'TERMINATED' ELSE 'RUNNING' END AS state,
+         CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' END AS result_state,
+         ts AS event_ts, event_id AS event_seq,
+         CASE WHEN event_type = 'purchase' THEN CAST(event_id AS BIGINT) END AS rows_written,
+         '/runs/' || CAST(user_id AS VARCHAR) AS output_path,
+         CASE WHEN event_type = 'error' THEN event_type END AS error
+  FROM events),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_ts DESC, event_seq DESC) AS rn,
+         min(event_ts) OVER (PARTITION BY run_id) AS start_time
+  FROM l),
+runs AS (
+  SELECT run_id, job_id, job_name, params, state AS life_cycle_state, result_state, start_time,
+         CASE WHEN state <> 'RUNNING' THEN event_ts END AS end_time,
+         CASE WHEN state <> 'RUNNING' THEN epoch(event_ts) - epoch(start_time) END AS duration_seconds,
+         rows_written, output_path, error
+  FROM n WHERE rn = 1)
+"""
+
+
+@binding("p2_job_runs", f"WITH {_LEDGER_CTE} SELECT * FROM runs")
+def p2_job_runs(spark, sf_dir):
+    runs = ledger.job_runs(_events_ledger(spark, sf_dir))
+    return runs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
+
+
+P3_JOBS_SQL = f"""
+WITH {_LEDGER_CTE},
+jobs AS (
+  SELECT job_id, max(job_name) AS name, CAST(count(*) AS BIGINT) AS runs, max(start_time) AS last_run_at
+  FROM runs GROUP BY job_id)
+SELECT *, (SELECT count(*) FROM jobs) > 25 AS more_jobs FROM jobs ORDER BY job_id LIMIT 25
+"""
+
+
+@binding("p3_list_jobs", P3_JOBS_SQL)
+def p3_list_jobs(spark, sf_dir):
+    jobs = ledger.first_jobs(_events_ledger(spark, sf_dir))
+    return jobs.withColumn("last_run_at", F.col("last_run_at").cast("timestamp_ntz"))
+
+
 # ============================================================ Q1 statement kinds
 # Statements of other kinds routed through the bounded-SQL path (SURVEY §2.7:
 # set operations, range joins, outer joins pass through Q1 unchanged). Each
@@ -1071,6 +1198,9 @@ def s12_csv_migration(spark, sf_dir):
         for n in names
     ]
     schema = f"la_mig_{uuid.uuid4().hex[:10]}"
-    return migrate.migrate_csv(
-        spark, folder, schema, contracts, schema_location=staging_path(spark, schema), multi_line=False
-    )
+    try:
+        return migrate.migrate_csv(
+            spark, folder, schema, contracts, schema_location=staging_path(spark, schema), multi_line=False
+        )
+    finally:
+        _drop_scratch(spark, schema, folder)

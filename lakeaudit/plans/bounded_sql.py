@@ -1,12 +1,13 @@
 """Bounded SQL execution (Q1–Q3).
 
 ``execute_sql`` runs one statement and returns at most ``max_rows`` rows
-(default 100, capped at 1,000 as in the reference) with a ``truncated`` flag.
+(default 100, at most 1,000; a request above that raises) with a ``truncated`` flag.
 It fetches ``n + 1`` rows — Spark plans ``CollectLimit`` (or
 ``TakeOrderedAndProject`` under an ORDER BY), so executors stop early and the
 driver never holds more than 1,001 rows — and reports truncation when the
 extra row exists. The reference's stub cut the rows before comparing, so its
-flag was always false; its live client counted rows before the cut.
+flag was always false; its live client counted rows before the cut. ``export_sql``
+writes the whole result to the shared folder instead, past no driver.
 
 Each call runs in a fresh session (``newSession``) so a call's default catalog
 and schema do not leak into the next. Temp views are per session, so views the
@@ -16,12 +17,14 @@ statement needs are re-registered in it.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lakeaudit.functions.json import row_json
+from lakeaudit.session import staging_path
 
 # The reference's default and maximum result size.
 DEFAULT_MAX_ROWS = 100
@@ -36,7 +39,6 @@ class SqlResult:
     truncated: bool
     statement: str = ""
     schema: T.StructType | None = None
-    extra: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
         """JSON text; values JSON cannot hold (dates, decimals) as text."""
@@ -65,7 +67,9 @@ def effective_limit(max_rows: int) -> int:
         max_rows = DEFAULT_MAX_ROWS
     if max_rows < 0:
         raise ValueError("max_rows must be >= 0")
-    return min(int(max_rows), MAX_ROWS_CAP)
+    if max_rows > MAX_ROWS_CAP:
+        raise ValueError(f"max_rows may be {MAX_ROWS_CAP} at most; export_sql writes the whole result")
+    return int(max_rows)
 
 
 def scoped_session(
@@ -79,7 +83,7 @@ def scoped_session(
     cross sessions, so ``views`` (name → source path) are registered in it."""
     try:
         s = spark.newSession()
-    except Exception:  # sessions without child sessions (Spark Connect): use the caller's
+    except PySparkNotImplementedError:  # a client without child sessions: use the caller's
         s = spark
     if catalog:
         s.catalog.setCurrentCatalog(catalog)
@@ -90,11 +94,21 @@ def scoped_session(
     return s
 
 
-def bounded_frame(
-    spark: SparkSession, statement: str, max_rows: int = DEFAULT_MAX_ROWS, args: dict | None = None
-) -> DataFrame:
-    """The statement's result cut to ``max_rows`` rows, still lazy."""
-    return spark.sql(statement, args=args).limit(effective_limit(max_rows))
+def export_sql(
+    spark: SparkSession,
+    statement: str,
+    catalog: str | None = None,
+    schema: str | None = None,
+    args: dict | None = None,
+    views: dict[str, str] | None = None,
+    path: str | None = None,
+) -> str:
+    """Q1 without a bound: the statement's whole result as Parquet; returns the folder
+    (``path``, or a fresh one in the shared folder)."""
+    catalog, schema = default_namespace(spark, catalog, schema)
+    path = path or staging_path(spark, "sql-result")
+    scoped_session(spark, catalog, schema, views).sql(statement, args=args).write.parquet(path)
+    return path
 
 
 def execute_sql(

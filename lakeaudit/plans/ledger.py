@@ -18,7 +18,7 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeaudit.operators.segmented import latest_per_key
@@ -127,11 +127,23 @@ def get_job_run(spark: SparkSession, ledger_path: str, run_id: int) -> DataFrame
 
 
 def list_jobs(spark: SparkSession, ledger_path: str, limit: int = 25) -> DataFrame:
-    """Jobs seen in the ledger, ordered by job id, first ``limit``."""
-    runs = job_runs(read_ledger(spark, ledger_path))
-    per_job = runs.groupBy("job_id").agg(
+    """P3 over the ledger at ``ledger_path``; see ``first_jobs``."""
+    return first_jobs(read_ledger(spark, ledger_path), limit)
+
+
+def first_jobs(ledger: DataFrame, limit: int = 25) -> DataFrame:
+    """Jobs seen in the ledger, ordered by job id, first ``limit``; ``more_jobs`` tells
+    whether others follow (one row beyond the limit is looked at)."""
+    per_job = job_runs(ledger).groupBy("job_id").agg(
         F.max("job_name").alias("name"),
         F.count(F.lit(1)).cast("bigint").alias("runs"),
         F.max("start_time").alias("last_run_at"),
     )
-    return per_job.orderBy("job_id").limit(limit)
+    head = per_job.orderBy("job_id").limit(limit + 1)  # so few rows that one window task holds them
+    seen = Window.orderBy("job_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = head.select(
+        "*",
+        F.row_number().over(Window.orderBy("job_id")).alias("_at"),
+        (F.count(F.lit(1)).over(seen) > limit).alias("more_jobs"),
+    )
+    return numbered.where(F.col("_at") <= limit).drop("_at")

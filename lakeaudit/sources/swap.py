@@ -19,6 +19,11 @@ def quoted(table: str) -> str:
     return ".".join("`" + part.strip("`") + "`" for part in table.split("."))
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Version:
     """One new version of ``table``; nothing is created before the caller writes it."""
 
@@ -31,17 +36,13 @@ class Version:
         location = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
         self.folder = f"{location.rstrip('/')}/{name.strip('`')}__v_{suffix}"
 
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def _location(self, table: str) -> str | None:
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").where("col_name = 'Location'").head(1)
         return rows[0]["data_type"] if rows else None
 
     def discard(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(self.name)}")
-        self._remove(self.folder)
+        remove_folder(self.spark, self.folder)
 
     def swap_in(self) -> None:
         """The version becomes the table. An earlier version's folder goes with it; a folder
@@ -50,4 +51,4 @@ class Version:
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(self.table)}")
         self.spark.sql(f"ALTER TABLE {quoted(self.name)} RENAME TO {quoted(self.table)}")
         if old and self._folders.fullmatch(old.rstrip("/").rpartition("/")[2]):
-            self._remove(old)
+            remove_folder(self.spark, old)

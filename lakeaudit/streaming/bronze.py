@@ -78,6 +78,22 @@ def window_counts(
     )
 
 
+def _drain(query) -> dict:
+    """Wait for an available-now query; ``batch_id`` and the input rows of all its batches.
+
+    Only the newest progress reports are kept by a query, so they are gathered while it
+    runs. Should a report have been missed, ``num_input_rows`` is None, never a part.
+    """
+    rows: dict[int, int] = {}
+    done = False
+    while not done:
+        done = query.awaitTermination(1)
+        for p in query.recentProgress:
+            rows[p["batchId"]] = max(rows.get(p["batchId"], 0), p["numInputRows"])
+    whole = not rows or len(rows) == max(rows) - min(rows) + 1
+    return {"batch_id": max(rows, default=None), "num_input_rows": sum(rows.values()) if whole else None}
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet") -> dict:
     """Process everything that has landed, write it to ``sink_path`` and stop.
     Returns the last progress summary (input rows, batch id)."""
@@ -88,12 +104,7 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str =
         .trigger(availableNow=True)
         .start(sink_path)
     )
-    q.awaitTermination()
-    progress = q.lastProgress or {}
-    return {
-        "batch_id": progress.get("batchId"),
-        "num_input_rows": sum(p.get("numInputRows", 0) for p in q.recentProgress or []),
-    }
+    return _drain(q)
 
 
 def bronze_ingest(
@@ -166,8 +177,7 @@ def gated_csv_ingest(
         .trigger(availableNow=True)
         .start(sink_path)
     )
-    q.awaitTermination()
-    return {"num_input_rows": sum(p.get("numInputRows", 0) for p in q.recentProgress or [])}
+    return _drain(q)
 
 
 def gated_sink_parts(spark: SparkSession, sink_path: str) -> tuple[DataFrame, DataFrame]:

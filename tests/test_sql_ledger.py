@@ -26,8 +26,15 @@ def test_truncation(spark, view, n, rows, truncated):
 
 
 def test_cap_at_1000(spark):
-    r = bounded_sql.execute_sql(spark, "SELECT id FROM range(5000)", max_rows=5000)
+    r = bounded_sql.execute_sql(spark, "SELECT id FROM range(5000)", max_rows=1000)
     assert (r.row_count, r.truncated) == (1000, True)
+    with pytest.raises(ValueError, match="export_sql"):
+        bounded_sql.execute_sql(spark, "SELECT id FROM range(5000)", max_rows=1001)
+
+
+def test_export_writes_the_whole_result(spark):
+    path = bounded_sql.export_sql(spark, "SELECT id FROM range(:n)", args={"n": 5000})
+    assert spark.read.parquet(path).count() == 5000
 
 
 def test_select_1_and_result_shape(spark):
@@ -92,7 +99,8 @@ def test_ledger_runs(spark, scratch):
     assert ledger.get_job_run(spark, lp, 424242).count() == 0
     jobs = ledger.list_jobs(spark, lp, limit=1).collect()
     assert [j["job_id"] for j in jobs] == [102]
-    assert ledger.list_jobs(spark, lp).count() == 2
+    assert [r["more_jobs"] for r in jobs] == [True]
+    assert [r["more_jobs"] for r in ledger.list_jobs(spark, lp).collect()] == [False, False]
 
 
 def test_default_namespace_from_settings(spark, scratch):
