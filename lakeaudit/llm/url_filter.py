@@ -108,10 +108,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         .select("url", target.alias("target"))
         .where(F.col("target") != "")
     )
-    ends = (
-        cut(ends, "declared-links")
-        .select(node_of(url).alias("u"), node_of(resolved).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
+    goals = cut(ends, "declared-links").select("url", resolved.alias("goal"))
+    # Written before the conditions, which would else repeat the whole expressions beyond what is compiled.
+    ends = cut(goals.select(node_of(url).alias("u"), node_of(F.col("goal")).alias("v")), "declared-ends").where(
+        F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))
     )
     return ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
