@@ -91,4 +91,126 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
-ORACLE: dict[str, str] = {}
+# Fixed values of the contracts, as in the operators' modules.
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# Rules as in url_filter.RULES; alias classes are the components over declared links.
+OP3_SQL = rf"""
+WITH RECURSIVE rules(action, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p AS (
+  SELECT row_number() OVER () AS r, page_id, url, html,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+a AS (
+  SELECT r, page_id, url, html,
+         translate(regexp_extract(rest, '^[^/?#]*'), {_FOLD}) AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         CASE WHEN contains(url, '://') THEN
+           translate(regexp_extract(rest, '^[^/?#]*'), {_FOLD}) || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node
+  FROM p),
+tags AS (
+  SELECT url, node, unnest(regexp_extract_all(
+           regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                                         '(?is)<script\b.*?</script\s*>', '', 'g'),
+                          '(?is)<style\b.*?</style\s*>', '', 'g'),
+           '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM a WHERE node IS NOT NULL),
+links AS (
+  SELECT url, node, replace(CASE
+           WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+             THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+           WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
+             THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*[''"]?\s*([^"''\s>]+)', 1)
+           ELSE '' END, '&amp;', '&') AS target
+  FROM tags),
+resolved AS (
+  SELECT node, CASE
+           WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || target
+           WHEN contains(target, '://') THEN target
+           WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target
+           ELSE rtrim(regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1), '/') || '/' || target END AS goal
+  FROM links WHERE target <> ''),
+edges AS (
+  SELECT node AS u, translate(regexp_extract(substr(goal, instr(goal, '://') + 3), '^[^/?#]*'), {_FOLD})
+                    || regexp_extract(substr(goal, instr(goal, '://') + 3), '^[^/?#]*([^#]*)', 1) AS v
+  FROM resolved),
+near AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(u, v) AS (
+  SELECT u, v FROM near
+  UNION
+  SELECT reach.u, near.v FROM reach JOIN near ON reach.v = near.u),
+nodes AS (
+  SELECT DISTINCT node, host, path FROM a WHERE node IS NOT NULL
+  UNION
+  SELECT v, regexp_extract(v, '^[^/?#]*'), regexp_extract(v, '^[^/?#]*([^?#]*)', 1) FROM near),
+fits AS (
+  SELECT host, path, rule_host || rule_path AS rule, action,
+         row_number() OVER (PARTITION BY host, path
+           ORDER BY length(rule_host || rule_path) DESC, action, rule_host || rule_path) AS place
+  FROM (SELECT DISTINCT host, path FROM (SELECT host, path FROM a UNION SELECT host, path FROM nodes)) JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+best AS (SELECT host, path, rule, action FROM fits WHERE place = 1),
+said AS (
+  SELECT reach.u AS node, min(action) AS action
+  FROM reach JOIN nodes ON nodes.node = reach.v JOIN best USING (host, path) GROUP BY reach.u)
+SELECT a.page_id, a.host, a.path, best.rule, coalesce(best.action, said.action, 'allow') AS verdict
+FROM a LEFT JOIN best ON best.host = a.host AND best.path = a.path LEFT JOIN said ON said.node = a.node
+"""
+
+# Words and five-word shingles as texts; the containment is exact.
+OP5_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'i', item_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')
+  FROM benchmark),
+shingles AS (
+  SELECT DISTINCT side, id, s FROM (
+    SELECT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM words WHERE len(w) >= 5)),
+items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE side = 'i')
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, i.n_item,
+       CAST(count(*) AS DOUBLE) / i.n_item AS containment
+FROM shingles d JOIN items i USING (s) WHERE d.side = 'd'
+GROUP BY d.id, i.id, i.n_item HAVING count(*) >= 0.8 * i.n_item
+"""
+
+# Base32 of the hex digest: five hex digits are four letters.
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest
+  FROM pages)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST(('0x' || substr(digest, CAST(5 * (i // 4) + 1 AS BIGINT), 5)) AS BIGINT)
+               >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM p
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), {_FOLD}) AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.r, k.doc_id, k.line, k.pos, often.key IS NOT NULL AS gone FROM k LEFT JOIN often ON k.key = often.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+#: The others have no SQL form: trained models, tokenizers, approximate search, byte positions.
+ORACLE: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
+}
