@@ -129,7 +129,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, larger_only: bool) -> DataFrame:
         """Link the (larger / no larger) neighbours of every node to its least neighbour."""
         least = pairs.groupBy("n").agg(F.min("m").alias("least"))
-        least = least.select(F.col("n").alias("k"), F.least("n", "least").alias("root"))
+        # Written, so that the join below meets two plain inputs, which adaptive execution splits
+        # at a hub; joined to an aggregate on its own key, a hub's neighbours stay in one task.
+        least = cut(least.select(F.col("n").alias("k"), F.least("n", "least").alias("root")), "least")
         if larger_only:
             out = pairs.where(F.col("m") > F.col("n")).join(least, F.col("n") == F.col("k")).select(F.col("m").alias("x"), "root")
         else:
