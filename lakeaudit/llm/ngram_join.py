@@ -184,8 +184,8 @@ def _linked(sets: list[np.ndarray], signed: np.ndarray, compare: np.ndarray, thr
         yield i, later[exact >= threshold - 1e-12]
 
 
-def join_near(docs: DataFrame, threshold: float = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text)."""
+def _components(docs: DataFrame, threshold: float, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row; and per node its copies, links, component (root) and source, the least (unnamed, doc_id, t1, t2) of its rows."""
     spark = docs.sparkSession
     importable(spark)
     steps = list(range(BAND * STEP, HASHES + 1, BAND * STEP))
@@ -302,19 +302,29 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, group_rows: int = G
         found.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct()
     )
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("node", "copies", "least_id").join(joined, "node", "left").select(
-        "node", "copies", "least_id", F.coalesce("root", "node").alias("root")
-    )
+    named = classes.select("node", "copies", "source").join(joined, "node", "left").join(counts, "node", "left")
+    return members, named.select("node", "copies", "source", "links", F.coalesce("root", "node").alias("root"))
+
+
+def join_near(docs: DataFrame, threshold: float = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text)."""
+    members, named = _components(docs, threshold, group_rows)
+    named = named.withColumn("least_id", F.col("source.doc_id"))
     class_ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    named = named.join(class_ids, "root").join(counts, "node", "left").select(
+    named = named.join(class_ids, "root").select(
         "node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return members.join(cut(named, "classes-named"), "node").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that carry their class's least doc_id, each id once, with all their columns."""
-    joined = cut(join_near(docs, threshold), "near-classes")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone_id")).distinct()
-    kept = docs.join(cut(gone, "near-copies"), F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component of links, with all its columns: a row of the least doc_id
+    (null comes last), and of texts with that id the one with the least hash."""
+    named = _components(docs, threshold, GROUP_ROWS)[1]
+    first = named.groupBy("root").agg(F.min("source").alias("source")).select(
+        F.col("source.doc_id").alias("__doc"), F.col("source.t1").alias("__s1"), F.col("source.t2").alias("__s2")
+    )
+    t1, t2 = text_key(text_or_empty("text"))
+    same = (F.col("__t1") == F.col("__s1")) & (F.col("__t2") == F.col("__s2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
+    kept = docs.withColumns({"__t1": t1, "__t2": t2}).join(cut(first, "kept-rows"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "__t1", "__t2"]).select(*docs.columns)

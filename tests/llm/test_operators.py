@@ -62,6 +62,21 @@ def test_join_equals_brute_force(spark):
     assert {tuple(r) for r in ngram_join.join_near(docs, group_rows=2).collect()} == expected
 
 
+def test_one_row_of_each_component_stays(spark):
+    base = [f"w{i}" for i in range(200)]
+    near, other, third = " ".join([*base[:199], "x"]), " ".join(f"v{i}" for i in range(50)), " ".join(f"u{i}" for i in range(50))
+    rows = [
+        (1, " ".join(base), "a"), (None, near, "a"), (None, "clean text without an id", "b"), (None, "another clean text", "c"),  # a copy and clean texts without id
+        (5, near, "a"), (5, "unique text of a shared id", "d"), (5, other, "e"), (4, other + " end", "e"),  # a copy and clean texts of one id
+        (6, third, "f"), (3, other + " stop", "e"), (6, third, "f"), (7, third, "f"), (6, "own text", "g"), (8, None, "h"), (8, "", "h"),
+        (20, "A " + third + " tail", "f"),
+    ]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, part string")).collect()
+    assert sorted((r.part, -1 if r.doc_id is None else r.doc_id) for r in kept) == [
+        ("a", 1), ("b", -1), ("c", -1), ("d", 5), ("e", 3), ("f", 6), ("g", 6), ("h", 8)
+    ]
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     steps = [20, 40, 60]
     needed = ngram_join.least_agreeing(0.8, 1e-6, steps)
