@@ -83,6 +83,18 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert all(m < 0.8 * n for m, n in zip(needed, steps)) and needed[-1] > 0
 
 
+def test_pairs_of_a_group_need_no_common_band():
+    assert (1 - 0.8**ngram_join.BAND) ** (ngram_join.HASHES // ngram_join.BAND) <= ngram_join.TOLERANCE
+    # two sets at similarity 0.9 whose signatures differ in one value of every four: no band of theirs is equal
+    sets = [np.arange(95, dtype=np.uint64), np.arange(5, 100, dtype=np.uint64)]
+    signed = np.tile(np.arange(ngram_join.HASHES, dtype=np.uint32), (2, 1))
+    signed[1, ::4] += 1000
+    steps = list(range(20, ngram_join.HASHES + 1, 20))
+    needed = ngram_join.least_agreeing(0.8, ngram_join.TOLERANCE, steps)
+    (found,) = ngram_join._linked(sets, signed, None, 0.8, needed)
+    assert found[0] == 0 and found[1].tolist() == [1]
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.example.com/en/x?q", None), (2, "HTTP://WWW.Example.COM/en/", "<p>"), (3, "http://x.net/fr/1", '<link rel="canonical" href="http://y.org/1">'),
