@@ -18,13 +18,17 @@ beyond that the shingles meet them in a shuffled join. Shingles that a third of
 documents share meet one sketch row each and are counted per document.
 
 Defined cases: null and empty texts, and items under ``n`` words, have no shingles and are
-never contained nor contaminated; rows with one doc_id (or item_id) are searched as one
-text's shingles together; null ids take part as an id of their own; empty tables give no
-rows; other input columns are ignored by the search and returned by the filter.
+never contained nor contaminated; the search reports ids, so rows with one doc_id (or
+item_id) are searched as one text's shingles together, null being an id of its own; the
+filter judges each row by its own text, whatever its id; empty tables give no rows; other
+input columns are ignored by the search and returned by the filter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +42,13 @@ def _shingles(text: Column, n: int) -> Column:
     return shingle_array(word_array(text), n)
 
 
-def find_contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, sketch: int = SKETCH, hit_share: float = HIT_SHARE
-) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every contained item."""
+def _equal(left: list[str], right: list[str]) -> Column:
+    return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)))
+
+
+def _search(own: DataFrame, keys: list[str], items: DataFrame, threshold: float, n: int, sketch: int, hit_share: float) -> DataFrame:
+    """``keys``, item_id, n_shared, n_item, containment of every item contained in the texts of one key.
+    ``own`` has the keys, the text, and ``pooled``: whether other rows may share the key, so a row's size is not the key's."""
     parts = items.select("item_id", F.explode(_shingles(F.col("text"), n)).alias("s")).distinct()
     sizes = parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.collect_list("s").alias("all"))
     sizes = cut(sizes, "items")
@@ -65,41 +72,60 @@ def find_contaminated(
     )
     sketches = cut(sketches, "sketches")
     bounded = sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = docs.select("doc_id", "text")
-    shingles = own.select("doc_id", _shingles(F.col("text"), n).alias("list")).select(
-        "doc_id", F.size("list").alias("doc_size"), F.explode("list").alias("s")
+    shingles = own.select(*keys, "pooled", _shingles(F.col("text"), n).alias("list")).select(
+        *keys, "pooled", F.size("list").alias("doc_size"), F.explode("list").alias("s")
     )
     met = shingles.join(F.broadcast(sketches) if bounded else sketches, "s")
     hits = (
-        met.where(F.col("doc_size") >= F.col("least_size"))
-        .groupBy("doc_id", "item_id", "needed", "s")
+        met.where(F.col("pooled") | (F.col("doc_size") >= F.col("least_size")))
+        .groupBy(*keys, "item_id", "needed", "s")
         .agg(F.lit(1).alias("one"))
-        .groupBy("doc_id", "item_id", "needed")
+        .groupBy(*keys, "item_id", "needed")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
-    candidates = cut(hits.where(F.col("hits") >= F.col("needed")).select("doc_id", "item_id"), "candidates")
+    candidates = cut(hits.where(F.col("hits") >= F.col("needed")).select(*keys, "item_id"), "candidates")
     # Exact containment: the shingles of documents with a candidate, against the candidates' items.
-    asked = cut(candidates.select(F.col("doc_id").alias("asked_id")).distinct(), "candidate-documents")
-    texts = own.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")), "left_semi")
-    exact = texts.select("doc_id", F.explode(F.array_distinct(_shingles(F.col("text"), n))).alias("s"))
+    asked_keys = [f"asked_{key}" for key in keys]
+    asked = cut(candidates.select(*(F.col(key).alias(name) for key, name in zip(keys, asked_keys))).distinct(), "candidate-documents")
+    texts = own.join(asked, _equal(keys, asked_keys), "left_semi")
+    exact = texts.select(*keys, F.explode(F.array_distinct(_shingles(F.col("text"), n))).alias("s"))
     wanted = cut(sizes.select("item_id", "n_item", F.explode("all").alias("s")), "item-shingles")
     wide = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     shared = (
         exact.join(F.broadcast(wanted) if wide else wanted, "s")
-        .groupBy("doc_id", "item_id", "n_item", "s")
+        .groupBy(*keys, "item_id", "n_item", "s")
         .agg(F.lit(1).alias("one"))
-        .groupBy("doc_id", "item_id", "n_item")
+        .groupBy(*keys, "item_id", "n_item")
         .agg(F.count(F.lit(1)).alias("n_shared"))
         .where(F.col("n_shared") >= threshold * F.col("n_item"))
     )
-    pair = candidates.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
-    return shared.join(
-        pair, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi"
-    ).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    pair = candidates.select(*(F.col(key).alias(name) for key, name in zip(keys, asked_keys)), F.col("item_id").alias("i"))
+    return shared.join(pair, _equal([*keys, "item_id"], [*asked_keys, "i"]), "left_semi").select(
+        *keys, "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")
+    )
+
+
+def find_contaminated(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, sketch: int = SKETCH, hit_share: float = HIT_SHARE
+) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every contained item."""
+    own = docs.select("doc_id", "text")
+    shared = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("shared_id"), F.lit(True).alias("pooled"))
+    shared = cut(shared, "shared-ids")
+    count = shared.limit(BROADCAST_ROWS + 1).count()
+    if count:
+        other = F.broadcast(shared) if count <= BROADCAST_ROWS else shared
+        own = own.join(other, _equal(["doc_id"], ["shared_id"]), "left").select("doc_id", "text", F.coalesce("pooled", F.lit(False)).alias("pooled"))
+    else:
+        own = own.withColumn("pooled", F.lit(False))
+    return _search(own, ["doc_id"], items, threshold, n, sketch, hit_share)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with all their columns."""
-    found = find_contaminated(docs, items, threshold, n)
-    bad = cut(found.select(F.col("doc_id").alias("__bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    # 128 bits of the row's id and text; equal rows have equal verdicts.
+    keys = {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(7), "doc_id", "text")}
+    own = docs.select(*(key.alias(name) for name, key in keys.items()), "text", F.lit(False).alias("pooled"))
+    found = _search(own, list(keys), items, threshold, n, SKETCH, HIT_SHARE)
+    bad = cut(found.select(F.col("__k1").alias("__bad1"), F.col("__k2").alias("__bad2")).distinct(), "contaminated")
+    return docs.withColumns(keys).join(bad, _equal(list(keys), ["__bad1", "__bad2"]), "left_anti").select(*docs.columns)

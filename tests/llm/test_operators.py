@@ -156,6 +156,19 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_row(spark):
+    word = [f"w{i}" for i in range(120)]
+    item, halves = " ".join(word[:100]), (" ".join(word[:50]), " ".join(word[46:100]))
+    rows = [(None, item, "bad"), (None, "clean text without an id at all", "clean"), (None, halves[0], "clean"), (None, halves[1], "clean")]
+    rows += [(5, item + " more", "bad"), (5, "clean text of a shared id", "clean"), (6, halves[0], "clean"), (6, halves[1], "clean"), (7, None, "clean"), (8, item, "bad"), (8, item, "bad")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, part string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(r) for r in rows if r[2] == "clean")
+    # the search pools the rows of an id, as its SQL does, also where each row is too short for the item
+    assert {r.doc_id: r.n_shared for r in decontaminate.find_contaminated(docs, bench).collect()} == {None: 96, 5: 96, 6: 96, 8: 96}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u\r\n%0A", "same"), (3, None, None), (4, "v", ""), (5, "w", LONG), (None, "x", "same")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
