@@ -12,7 +12,9 @@ Output: character references decoded, white space inside a block made one space,
 page order joined by a blank line; nothing else is dropped or cut.
 
 Defined cases: null, empty and text-free html give the empty text; broken markup (unclosed
-or unmatched tags, unbalanced quotes) is read as far as it goes, never an error; null ids
+or unmatched tags, unbalanced quotes) is read as far as it goes, never an error; of embedded
+elements (svg, math, select, object, noscript, iframe, template) that are self-closed or lack
+an end tag inside their parent only the tag goes; null ids
 and urls stay null; repeated rows are extracted one by one; empty tables give no rows;
 other input columns are ignored.
 """
@@ -34,12 +36,13 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 
 # Element names and the class, id and role words of parts that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select object noframes xmp".split())
+RAW = frozenset("script style title textarea noframes xmp".split())  # text up to the end tag, or to the page's end
+LOOSE = frozenset("noscript template iframe svg math select object".split())  # dropped up to the end tag; without one, only the tag goes
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr br".split()
 )
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe button select textarea menu dialog svg math object".split())
+DROPPED = frozenset("head nav header footer aside form script style noscript template iframe button select option optgroup textarea menu dialog svg math object".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer comment comments reply replies respond disqus social share "
@@ -67,7 +70,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "total", "link")
+    __slots__ = ("name", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "total", "link", "begin")
 
     def __init__(self, name: str, parent: "Node | None", dropped: bool, link: bool):
         self.name, self.parent, self.dropped, self.link = name, parent, dropped, link
@@ -96,8 +99,25 @@ def _dropped(name: str, attributes: str) -> bool:
     return False
 
 
+P_SCOPE = {"table", "td", "th", "button", "article", "section", "div", "main", *LOOSE}
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
-    """The root of the page's block tree, and its texts in page order; (node, None) is a block's edge."""
+    """The root of the page's block tree, and its texts in page order; (node, None) is a block's edge.
+
+    Loose elements found to lack an end tag inside their parent are taken as empty, and the page is read again.
+    """
+    empty: set[int] = set()
+    while True:
+        root, events, unclosed = _read(page, empty)
+        if not unclosed:
+            return root, events
+        empty |= unclosed
+
+
+def _read(page: str, empty: set[int]) -> tuple[Node, list[tuple[Node, str | None]], set[int]]:
+    """As ``parse``, where loose elements whose tag ends at a place in ``empty`` have no content; and the places of those without an end."""
+    unclosed: set[int] = set()
     root = Node("#root", None, False, False)
     stack: list[Node] = [root]  # with inline elements, which are no nodes of the block tree
     events: list[tuple[Node, str | None]] = []
@@ -106,6 +126,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
     def push(name: str, attributes: str) -> None:
         top, block = stack[-1], blocks[-1]
         node = Node(name, block, top.dropped or _dropped(name, attributes), top.link or name == "a")
+        node.begin = at
         if not node.dropped:
             block.tags += 1
             block.link_tags += name == "a"
@@ -116,8 +137,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             events.append((node, None))
 
     def pop_to(depth: int) -> None:
+        """Close the elements from ``depth`` on; the one at ``depth`` has its own end."""
         while len(stack) > depth:
             node = stack.pop()
+            if node.name in LOOSE and len(stack) > depth:
+                unclosed.add(node.begin)
             if node.name not in INLINE:
                 blocks.pop()
                 events.append((node, None))
@@ -159,10 +183,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
                     break
             continue
         if name in ENDS_P:
-            close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "main"})
+            close({"p", "option", "optgroup"}, P_SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        if name in RAW:
+        closed = attributes.endswith("/")
+        if name in RAW and not (closed and any(n.name in ("svg", "math") for n in stack)):
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             if name not in INLINE:
@@ -174,11 +199,15 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             elif name == "hr":
                 events.append((blocks[-1], None))
             continue
+        if name in LOOSE and (closed or at in empty):
+            events.append((blocks[-1], " "))
+            continue
         push(name, attributes)
-        if attributes.endswith("/") and name not in INLINE and name not in ENDS_P:
+        if closed and name not in INLINE and name not in ENDS_P:
             pop_to(len(stack) - 1)
+    unclosed.update(node.begin for node in stack if node.name in LOOSE)
     pop_to(1)
-    return root, events
+    return root, events, unclosed
 
 
 def _measure(root: Node) -> list[Node]:

@@ -135,6 +135,13 @@ def test_html():
         html_text.main_text(broken)
 
 
+def test_html_reads_on_after_embedded_elements():
+    for tag in ('<svg width="9"/>', "<math/>", "<svg><style/><path d='M0'/></svg>", "<select><option>gone", "<object data=x>", "<noscript>", "<iframe src=x>", "<template>", "<noscript><p>gone</p></noscript>", "<select><option>gone<option>gone</select>"):
+        page = f"<body><article><h1>Head</h1><p>First {tag}<p>Second part</p><div>Third</div></article><footer><svg></svg><iframe></iframe><object></object> end</footer></body>"
+        assert html_text.main_text(page) == "Head\n\nFirst\n\nSecond part\n\nThird", tag
+    assert html_text.main_text("<svg>" * 3000 + "text") == "text"
+
+
 def test_html_of_every_page(spark):
     got = {r.page_id: r for r in queries.op4_html_extract(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
