@@ -2,11 +2,15 @@
 
 For every block node of a page's tree: the characters below it per tag, lowered by the
 share of characters and tags that belong to links (composite text density). A node's sum
-is that of its children's densities. The node with the largest sum is the article; every
-other subtree whose density reaches the lowest density on the path from that node up to
-``body`` is kept as well. Menus, page headers and footers, side columns, notices, adverts,
-forms, scripts, styles, hidden parts and reader comments are taken out of the tree first,
-by element, role and class or id words.
+is that of its children's densities. The node with the largest sum leads to the article:
+an ``article`` element around it is kept whole. Without one, the ``main`` around it, or
+else the outermost node below ``body``, is kept except for blocks beside the winner whose
+characters are mostly links. Beside the path from there up to ``body``, headings,
+paragraphs and bare text are kept unless mostly links, and every subtree whose density
+reaches the lowest density on the path. Menus, page headers and footers, side columns,
+notices, adverts, forms, scripts, styles, hidden parts and reader comments are taken out
+of the tree first, by element, role and class or id names: a name of ``DROPPED_WORDS``, or
+one made of such words and of ``PLACE_WORDS`` only (``site-header``, not ``has-sidebar``).
 
 Output: character references decoded, white space inside a block made one space, blocks in
 page order joined by a blank line; nothing else is dropped or cut.
@@ -48,7 +52,9 @@ DROPPED_WORDS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer comment comments reply replies respond disqus social share "
     "sharing related newsletter subscribe popup modal widget".split()
 )
+PLACE_WORDS = frozenset("site global main primary secondary top bottom box bar list block area links buttons icons posts section container wrapper".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu menubar alert".split())
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section table ul".split()
@@ -79,6 +85,11 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _dropped_name(name: str) -> bool:
+    words = {w for w in re.split(r"[^a-z]+", name) if w}
+    return not words.isdisjoint(DROPPED_WORDS) and words <= DROPPED_WORDS | PLACE_WORDS
+
+
 def _dropped(name: str, attributes: str) -> bool:
     if name in ("html", "body", "main", "article"):
         return False
@@ -88,7 +99,7 @@ def _dropped(name: str, attributes: str) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
-        if key in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id") and any(map(_dropped_name, value.split())):
             return True
         if key == "role" and value.strip() in DROPPED_ROLES:
             return True
@@ -244,6 +255,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, events = parse(page)
+    read: list[Node] = [root]
+    for node in read:
+        read += node.children
+    own_chars, own_links = {id(n): n.chars for n in read}, {id(n): n.link_chars for n in read}  # before they are summed
     nodes = [n for n in _measure(root) if not n.dropped and n.chars]
     if not nodes:
         return ""
@@ -255,18 +270,31 @@ def main_text(page: str | None) -> str:
             break
         node = node.parent
     threshold = min(n.density for n in path)
-    kept = {id(best)}
-    inside = set(map(id, path))
+    articles = [n for n in path if n.name == "article"]
+    inner = [n for n in path if n.name not in ("body", "html", "#root")]
+    mains = [n for n in inner if n.name == "main"]
+    top = (articles or mains or inner or [best])[-1]  # the outermost
+    # Whole subtrees: the article, or the winner. Nodes of the path have only their own texts kept.
+    whole = top if articles else best
+    kept, own = {id(whole)}, set(map(id, path))
+    below = set(map(id, path[: path.index(top) + 1]))
     for node in nodes:  # parents come before children
-        if id(node.parent) in kept or (id(node) not in inside and node.density >= threshold):
+        if id(node.parent) in kept:
             kept.add(id(node))
+        elif id(node) not in own:
+            plain = node.link_chars * 2 <= node.chars
+            beside = id(node.parent) in below or id(node.parent) in own and node.name in BESIDE
+            if plain and beside or node.density >= threshold:
+                kept.add(id(node))
+    # Bare texts of a path node stay unless they are mostly links.
+    bare = {i for i in own if own_links[i] * 2 <= own_chars[i]}
     blocks, words = [], []
     for node, raw in events:
         if raw is None:
             if words:
                 blocks.append(" ".join("".join(words).split()))
                 words = []
-        elif id(node) in kept:
+        elif id(node) in kept or id(node) in bare:
             words.append(raw)
     if words:
         blocks.append(" ".join("".join(words).split()))

@@ -142,6 +142,18 @@ def test_html_reads_on_after_embedded_elements():
     assert html_text.main_text("<svg>" * 3000 + "text") == "text"
 
 
+def test_html_keeps_the_whole_article():
+    text = " ".join(["word"] * 60)
+    three = f"<div><p>{text}</p><p>{text}</p><p>{text}</p></div>"
+    blocks = "\n\n".join([text] * 3)
+    links = "<ul>" + "<li><a href=x>another page</a>" * 5 + "</ul>"
+    body = f"<h1>Short title</h1>bare<p>Intro</p>{three}<section><p>Sparse</p></section>"
+    expected = f"Short title\n\nbare\n\nIntro\n\n{blocks}\n\nSparse"
+    for page in (f"<article>{body}</article>", f"<body><div class='page has-sidebar'><article>{body}</article></div>", f"<body>{links}<main>{links}{body}</main>", f"<body>{links}<div class=has-sidebar><div>{body}</div>{links}</div>"):
+        assert html_text.main_text(page) == expected, page
+    assert html_text.main_text(f"<body><h1>Title</h1><main><article>{three}</article></main><div class='site-header'>{text}</div>") == f"Title\n\n{blocks}"
+
+
 def test_html_of_every_page(spark):
     got = {r.page_id: r for r in queries.op4_html_extract(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
