@@ -11,7 +11,7 @@ the one before adds a feature of its own. It is fitted on a bounded sample, the
 documents with the least hash, and then scores every document; texts whose score is over
 ``REJECT`` are rejected.
 
-Defined cases: a text without tokens (null, empty, white space) has score 1
+Defined cases: a text without tokens (null, empty, white space) has score and posterior 1
 and is rejected; such texts take no part in the estimate; a labeller that a text is too short for votes nothing;
 repeated rows are scored one by one; null ids stay null; an empty table gives no rows; the
 filter returns all columns of the rows it keeps.
@@ -36,7 +36,7 @@ EM_ROUNDS, FIT_STEPS, FIT_RATE, FIT_DECAY = 200, 300, 0.1, 1e-4
 CACHE_TOKENS = 500_000
 SHORT = 20  # shares of shorter texts are taken as if they had so many tokens
 POOR, GOOD, NONE = 1, 0, 2
-SCORED = (("__score", T.DoubleType()), ("__keep", T.BooleanType()))
+SCORED = (("__posterior", T.DoubleType()), ("__score", T.DoubleType()), ("__keep", T.BooleanType()))
 
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -173,15 +173,16 @@ def _features(places: np.ndarray) -> np.ndarray:
     return np.concatenate((_tokens.features[places].ravel(), np.full(again, REPEAT)))
 
 
-def _scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The score of each text. (The token cache is the worker's own, so only module functions use it.)"""
-    out = np.ones(len(texts))
+def _scores(texts: list[str], weights: np.ndarray, bias: float, labels: np.ndarray) -> np.ndarray:
+    """Posterior and score of each text. (The token cache is the worker's own, so only module functions use it.)"""
+    out = np.ones((len(texts), 2))
     for row, text in enumerate(texts):
         places = _tokens.look_up(text)
         if len(places):
             again = np.count_nonzero(places[1:] == places[:-1])
             z = bias + (weights[_tokens.features[places]].sum() + again * weights[REPEAT]) * 100.0 / max(len(places), SHORT)
-            out[row] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            pattern = sum(v * 3**i for i, v in enumerate(votes(places, _tokens.facts)))
+            out[row] = labels[pattern], 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     return out
 
 
@@ -233,14 +234,25 @@ def fit_scorer(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarr
     return weights[:-1], float(weights[-1])
 
 
-def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
-    """``docs`` with __score (1 is poor) and __keep."""
-    spark = docs.sparkSession
-    importable(spark)
+def weak_labels(docs: DataFrame) -> WeakLabels:
+    """The weak-label model of all documents; ``accuracies()`` gives its estimate for each labeller."""
+    importable(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     patterns = docs.select(text.alias("text")).mapInArrow(_vote, "pattern int").where("pattern >= 0")
     counts = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toArrow()
-    model = WeakLabels(counts.column("pattern").to_numpy(), counts.column("n").to_numpy().astype(float))
+    return WeakLabels(counts.column("pattern").to_numpy(), counts.column("n").to_numpy().astype(float))
+
+
+def labeller_accuracies(docs: DataFrame) -> DataFrame:
+    """labeller, accuracy: the estimated share of right votes among each labeller's votes."""
+    rows = list(weak_labels(docs).accuracies().items())
+    return docs.sparkSession.createDataFrame(rows, "labeller string, accuracy double")
+
+
+def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
+    """``docs`` with __posterior, __score (1 is poor) and __keep."""
+    model = weak_labels(docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
     least = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("order")).where(F.col("text").rlike(r"\S"))
     chosen = cut(least.orderBy("order", "text").limit(fit_rows).select("text"), "fit-texts")
     sample = chosen.mapInArrow(_sample, "pattern int, ids array<long>, shares array<double>").toArrow()
@@ -252,19 +264,20 @@ def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
         )
     else:
         weights, bias = np.zeros(DIMENSIONS), 0.0
+    labels = model.posterior(np.arange(3 ** len(LABELLERS)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _scores(batch.column(batch.num_columns - 1).to_pylist(), weights, bias)
+            out = _scores(batch.column(batch.num_columns - 1).to_pylist(), weights, bias, labels)
             names = [*batch.schema.names[:-1], *(name for name, _ in SCORED)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array(out <= REJECT)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 1] <= REJECT)], names)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in SCORED)])
     return docs.select("*", text.alias("__text")).mapInArrow(score, schema)
 
 
 def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, score (1 is poor) and keep for every row of ``docs``."""
+    """doc_id, posterior (of the weak labels), score (of the scorer; 1 is poor) and keep for every row of ``docs``."""
     scored = _scored(docs.select("doc_id", "text"), fit_rows)
     return scored.select("doc_id", *(F.col(name).alias(name.removeprefix("__")) for name, _ in SCORED))
 

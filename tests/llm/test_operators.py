@@ -43,6 +43,19 @@ def test_quality_keeps_clean_and_rejects_poor(spark):
     assert np.mean(good) > 0.98 and np.mean(poor) < 0.1
 
 
+def test_quality_returns_the_weak_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.weak_labels(docs)
+    texts = dict(documents(spark))
+    for r in queries.op1_quality(spark, SF).collect():
+        places = quality._tokens.look_up(texts[r.doc_id] or "")
+        pattern = sum(v * 3**i for i, v in enumerate(quality.votes(places, quality._tokens.facts))) if len(places) else None
+        assert r.posterior == pytest.approx(1.0 if pattern is None else model.posterior(np.array([pattern]))[0])
+    got = {r.labeller: r.accuracy for r in quality.labeller_accuracies(docs).collect()}
+    assert got == pytest.approx(model.accuracies()) and set(got) == set(quality.LABELLERS)
+    assert all(0 <= a <= 1 for a in got.values())
+
+
 def test_join_equals_brute_force(spark):
     sets = {d: shingles(t) or {tuple(words(t)) or t} for d, t in documents(spark)}
     links = {d: {o for o, y in sets.items() if o != d and len(x & y) >= 0.8 * len(x | y)} for d, x in sets.items()}
