@@ -78,6 +78,23 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.periodic import find_runs, strongest, with_repeats
+
+    found = find_runs(with_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -89,6 +106,7 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_nearest": op9_nearest,
     "op10_repeats": op10_repeats,
+    "op12_periodic": op12_periodic,
 }
 
 # Fixed values of the contracts, as in the operators' modules.
@@ -207,10 +225,45 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
+# Every lag's matching stretches, from all pairs of equal 16-grams of a document; crc32 bit by bit.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+c AS (
+  SELECT *, len(w) AS n, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i]) AS BIGINT))),
+    lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS h
+  FROM d),
+t AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < (h // 10) % n THEN i ELSE
+      (h // 10) % n + (i - (h // 10) % n) % (1 + (n - (h // 10) % n) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM c),
+grams AS (SELECT r, n, unnest(range(0, n - 15)) AS i, unnest(list_transform(range(1, n - 14), lambda i: array_to_string(w[i:i + 15], ' '))) AS gram FROM t WHERE n >= 24),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS lag FROM grams a JOIN grams b USING (r, gram) WHERE b.i > a.i AND b.i - a.i <= a.n // 3),
+stretches AS (SELECT r, lag, i, i - row_number() OVER (PARTITION BY r, lag ORDER BY i) AS island FROM pairs),
+runs AS (
+  SELECT r, start, length, min(lag) AS period FROM (
+    SELECT r, lag, min(i) AS start, count(*) + 15 + lag AS length FROM stretches GROUP BY r, lag, island)
+  WHERE length >= greatest(24, 3 * lag) GROUP BY r, start, length),
+each AS (
+  SELECT r, list({'s': start, 'l': length, 'p': period} ORDER BY start, period) AS found,
+         first({'s': start, 'l': length, 'p': period} ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM runs GROUP BY r)
+SELECT doc_id, coalesce(len(found), 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+       sha256(coalesce(array_to_string(list_transform(found, lambda x: x.s || ',' || x.l || ',' || x.p || chr(10)), ''), '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN found IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_bool_or(list_transform(found,
+         lambda f: i - 1 >= f.s + f.p AND i - 1 < f.s + f.l))) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN each USING (r)
+"""
+
 #: The others have no SQL form: trained models, tokenizers, approximate search, byte positions.
 ORACLE: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_periodic": OP12_SQL,
 }
