@@ -95,6 +95,12 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.simhash import near_components
+
+    return near_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -107,6 +113,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_repeats": op10_repeats,
     "op12_periodic": op12_periodic,
+    "op13_simhash": op13_simhash,
 }
 
 # Fixed values of the contracts, as in the operators' modules.
