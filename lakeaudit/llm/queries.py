@@ -78,6 +78,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeaudit.llm.collocations import mine_phrases
+
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeaudit.llm.periodic import find_runs, strongest, with_repeats
 
@@ -112,6 +118,7 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_nearest": op9_nearest,
     "op10_repeats": op10_repeats,
+    "op11_collocations": op11_collocations,
     "op12_periodic": op12_periodic,
     "op13_simhash": op13_simhash,
 }
@@ -232,6 +239,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
+# Phrases as texts, counted at every length; drops looked up in every longer phrase.
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g
+  FROM (SELECT lang, w, unnest(range(1, 6)) AS m FROM ws WHERE len(w) > 0) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w)) AS n FROM ws GROUP BY lang),
+longer AS (
+  SELECT DISTINCT lang, g, c FROM (
+    SELECT lang, c, m, k, unnest(list_transform(range(1, m - k + 2), lambda i: g[i:i + k - 1])) AS g
+    FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2))),
+cand AS (
+  SELECT f.* FROM f WHERE m >= 2 AND NOT EXISTS (
+    SELECT 1 FROM longer x WHERE x.lang = f.lang AND x.g = f.g AND 100 * x.c >= 100 * f.c)),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT cuts.lang, cuts.g, cuts.c AS a, k, x.c AS l, y.c AS r, n,
+         (CAST(1000 AS HUGEINT) * cuts.c * n) // (CAST(x.c AS HUGEINT) * y.c) AS score
+  FROM cuts JOIN total USING (lang)
+  JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:cuts.m]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+named AS (SELECT *, array_to_string(g, ' ') AS phrase FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM named QUALIFY rank <= 2000
+"""
+
 # Every lag's matching stretches, from all pairs of equal 16-grams of a document; crc32 bit by bit.
 OP12_SQL = r"""
 WITH d AS (
@@ -272,5 +309,6 @@ ORACLE: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_periodic": OP12_SQL,
 }
