@@ -2,21 +2,21 @@
 
 Texts are cut into pieces and words, and every language (null: ``und``) is counted on its own.
 Blocks of about ``BLOCK_WORDS`` words hold the texts as numbers: first places in the
-block's own dictionary, then ids of the frequent words. An id is a rank by frequency over the
-whole language, so frequent words have small ids.
+block's own list of words, then ids of the frequent words. Words are dealt to buckets by a hash, and
+a bucket numbers its frequent words by frequency, all buckets in turn: the ids are the ranks by frequency
+over the language but for the chance in the deal, so frequent words have small ids.
 
 A level counts the pairs of neighbouring ids in each block. The id matrix is split into tiles of
 ``TILE`` x ``TILE``; a tile that meets many of a block's pairs is counted by direct addresses with
 one dense bincount, all sparse tiles together as sorted coordinates. What a block has counted
-(each pair once) is shuffled by a hash of the pair, in about one bucket for ``BUCKET_WORDS`` words, and
+(each pair once) is dealt to buckets by a hash of the pair, one for about ``BUCKET_WORDS`` words, and
 summed as sorted coordinates; so no pair, tile or language can fill a bucket. Pairs with
-``least`` occurrences are ranked and become the ids of the next level, in the places
+``least`` occurrences are ranked anew and become the ids of the next level, in the places
 where they begin: a neighbour pair of two-word ids is a three-word phrase, and so on up to
 ``most_words``. A phrase as frequent as that consists of two such parts, so no candidate is lost.
 
-A bucket tells every block which of its pairs are frequent; the ranks then reach the blocks by
-a join on the pair, so no dictionary is sent whole to a task or to the driver. Ranks are places
-in a range-partitioned order, made of each partition's own places and a small table of offsets.
+A bucket answers every block with the ids of its own frequent words or pairs, so no
+dictionary is sent whole to a task or to the driver. All numbers travel as packed arrays.
 
 Scores: a candidate with a occurrences, cut after its first k words into parts with l
 and r occurrences, has floor(1000 a n / (l r)) for the lowest-scoring cut (ties to the smallest k),
@@ -30,6 +30,7 @@ ids count each; other input columns are ignored; empty tables and tables without
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,28 +38,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import cut, importable, text_or_empty
+from lakeaudit.llm.common import cut, drop_caches, importable, text_or_empty
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2_000
-BLOCK_WORDS, BUCKET_WORDS = 1_000_000, 2_000_000
+BLOCK_WORDS, BUCKET_WORDS = 500_000, 4_000_000
 TILE, DENSE = 256, 1 / 16
 
 #: Fixed values of the contract: characters that end a piece; they and tabs are mapped before the text is split at spaces.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPLIT = bytes.maketrans(ENDS + b"\t", b"." * len(ENDS) + b" ")
 
-BLOCKS = "lang string, block long, words array<string>, counts array<long>, codes binary"
-COUNTED = "lang string, bucket int, block long, a binary, b binary, n binary"
-SUMMED = "lang string, block long, a array<long>, b array<long>, n array<long>"
+BLOCKS = "lang string, block long, size long, words array<string>, counts binary, codes binary"
+DEALT_WORDS = "lang string, bucket int, block long, words array<string>, places binary, n binary"
+DEALT_PAIRS = "lang string, bucket int, block long, a binary, b binary, n binary"
+SUMMED = "lang string, block long, told binary, id array<long>, n array<long>, word array<string>, a array<long>, b array<long>"
 
 
 def to_planes(values: np.ndarray) -> bytes:
-    """64-bit numbers, byte by byte: the many zero bytes lie together, so files and shuffles compress them away."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers byte by byte, so that the many zero bytes lie together, and compressed."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    size = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
+
+
+class Places(dict):
+    """Each new word gets the next number; the end of a piece has -1."""
+
+    def __init__(self):
+        self[b"."] = -1
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self) - 1
+        return place
 
 
 def count_pairs(codes: np.ndarray, tile: int = TILE, dense: float = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,121 +125,169 @@ def encode(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, pending, size = TaskContext.get().partitionId() << 32, {}, 0
+        block = TaskContext.get().partitionId() << 32
+        pending: dict[str, tuple[Places, list[np.ndarray]]] = {}
+        sizes: dict[str, int] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(lang: str) -> pa.RecordBatch:
             nonlocal block
-            for lang, tokens in pending.items():
-                flat = pa.array(tokens, pa.binary()).dictionary_encode()
-                codes, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-                counts = np.bincount(codes, minlength=len(words))
-                end = words.index(b".")
-                codes = np.where(codes == end, -1, codes)
-                names = [w.decode() for w in words]
-                names[end], counts[end] = None, 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([block]), pa.array([names], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([to_planes(codes)], pa.binary())],
-                    ["lang", "block", "words", "counts", "codes"],
-                )
-                block += 1
-            pending.clear()
+            places, parts = pending.pop(lang)
+            codes, words = np.concatenate(parts), [w.decode() for w in places][1:]
+            counts = np.bincount(codes[codes >= 0], minlength=len(words))
+            block += 1
+            row = [pa.array([lang]), pa.array([block]), pa.array([counts.sum()]), pa.array([words], pa.list_(pa.string()))]
+            row += [pa.array([to_planes(counts)], pa.binary()), pa.array([to_planes(codes)], pa.binary())]
+            del sizes[lang]
+            return pa.RecordBatch.from_arrays(row, ["lang", "block", "size", "words", "counts", "codes"])
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for row, lang in enumerate(langs):
                 tokens = texts[row].as_py().lower().translate(SPLIT).replace(b".", b" . ").split()
                 tokens.append(b".")
-                pending.setdefault(lang, []).extend(tokens)
-                size += len(tokens)
-                if size >= block_words:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                places, parts = pending.setdefault(lang, (Places(), []))
+                parts.append(np.fromiter(map(places.__getitem__, tokens), np.int32, len(tokens)))
+                sizes[lang] = sizes.get(lang, 0) + len(tokens)
+                if sizes[lang] >= block_words or sum(sizes.values()) >= 3 * block_words:
+                    yield flush(max(sizes, key=lambda x: (sizes[x], x)))
+        for lang in sorted(pending):
+            yield flush(lang)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     return docs.select(lang.alias("lang"), text_or_empty("text").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def ranked(frequent: DataFrame, names: list[str], label: str) -> DataFrame:
-    """``frequent`` (lang, n, ``names``) with ``id``, the rank from 0 by n (ties by ``names``) within the language."""
-    spark = frequent.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = frequent.repartitionByRange(parts, F.col("lang"), F.desc("n"), *names).sortWithinPartitions("lang", F.desc("n"), *names)
-    place = F.monotonically_increasing_id()  # the partition's number times 2^33, and the row's place there
-    placed = cut(placed.select("*", place.alias("place")).withColumn("part", F.shiftright("place", 33)), f"{label}-places")
-    here = placed.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("here"), F.min("place").alias("first"))
-    before = F.sum("here").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cut(here.select("lang", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset")), f"{label}-offsets")
-    return cut(placed.join(offsets, ["lang", "part"]).select("lang", (F.col("place") + F.col("offset")).alias("id"), "n", *names), label)
+def _dealt(own: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[list[bytes]], np.ndarray, list[tuple[int, int]]]:
+    """The buckets met, each column's part of every bucket, and the order and edges that made them."""
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))).tolist()
+    edges = list(zip(starts, [*starts[1:], len(own)]))
+    return own[starts].tolist(), [[to_planes(c[order[x:y]]) for x, y in edges] for c in columns], order, edges
+
+
+def _deal_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's words and their counts, by language and bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lang, block, words = (batch.column(c)[row].as_py() for c in range(3))
+                if not words:
+                    continue
+                own = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % buckets
+                met, (places, counts), order, edges = _dealt(own, [np.arange(len(words)), from_planes(batch.column(3)[row].as_py())])
+                parts = [[words[i] for i in order[x:y].tolist()] for x, y in edges]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(met)), pa.array(met, pa.int32()), pa.array([block] * len(met)), pa.array(parts, pa.list_(pa.string())), *(pa.array(c, pa.binary()) for c in (places, counts))],
+                    ["lang", "bucket", "block", "words", "places", "n"],
+                )
+
+    return blocks.select("lang", "block", "words", "counts").mapInArrow(run, DEALT_WORDS)
 
-def _count(blocks: DataFrame, buckets: int) -> DataFrame:
+
+def _deal_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
     """Each block's counted pairs, by language and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, numbers, codes = (batch.column(i) for i in range(3))
             for row in range(batch.num_rows):
-                a, b, n = count_pairs(from_planes(codes[row].as_py()))
+                lang, block = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                a, b, n = count_pairs(from_planes(batch.column(2)[row].as_py()))
                 if not len(a):
                     continue
-                own = _bucket(a, b, buckets)
-                order = np.lexsort((b, a, own))
-                a, b, n, own = a[order], b[order], n[order], own[order]
-                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                edges = [*starts.tolist(), len(own)]
-                rows = [(int(own[s]), to_planes(a[s:e]), to_planes(b[s:e]), to_planes(n[s:e])) for s, e in zip(edges, edges[1:])]
-                bucket, pa_, pb_, pn_ = zip(*rows)
+                order = np.lexsort((b, a))
+                a, b, n = a[order], b[order], n[order]
+                met, parts, _, _ = _dealt(_bucket(a, b, buckets), [a, b, n])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[row].as_py()] * len(rows)), pa.array(bucket, pa.int32()), pa.array([numbers[row].as_py()] * len(rows)), *(pa.array(c, pa.binary()) for c in (pa_, pb_, pn_))],
+                    [pa.array([lang] * len(met)), pa.array(met, pa.int32()), pa.array([block] * len(met)), *(pa.array(c, pa.binary()) for c in parts)],
                     ["lang", "bucket", "block", "a", "b", "n"],
                 )
 
-    return blocks.select("lang", "block", "codes").mapInArrow(run, COUNTED)
+    return blocks.select("lang", "block", "codes").mapInArrow(run, DEALT_PAIRS)
+
+
+def _answers(table: pa.Table, owner: np.ndarray, ids: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """For each of the bucket's blocks that has frequent entries: the entries' columns and ids."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    blocks = table.column("block").to_pylist()
+    edges = np.searchsorted(owner, np.arange(len(blocks) + 1)).tolist()
+    told = [c[order] for c in (*columns, ids)]
+    return [(blocks[i], to_planes(np.concatenate([c[x:y] for c in told]))) for i, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+
+
+def _table(table: pa.Table, answers: list[tuple[int, bytes]], ids: np.ndarray, sums: np.ndarray, **lists) -> pa.Table:
+    """A row of the bucket's frequent entries (block null), and its answers."""
+    rest = len(answers)
+    longs = {name: pa.array([lists[name], *[None] * rest] if name in lists else [None] * (rest + 1), pa.list_(pa.int64())) for name in ("a", "b")}
+    word = pa.array([lists["word"], *[None] * rest] if "word" in lists else [None] * (rest + 1), pa.list_(pa.string()))
+    return pa.table(
+        [
+            pa.array([table.column("lang")[0].as_py()] * (rest + 1)), pa.array([None, *(x for x, _ in answers)], pa.int64()), pa.array([None, *(x for _, x in answers)], pa.binary()),
+            pa.array([ids, *[None] * rest], pa.list_(pa.int64())), pa.array([sums, *[None] * rest], pa.list_(pa.int64())), word, longs["a"], longs["b"],
+        ],
+        names=["lang", "block", "told", "id", "n", "word", "a", "b"],
+    )
+
+
+def _sum_words(least: int, buckets: int):
+    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        drop_caches("collocations")
+        words = table.column("words").combine_chunks()
+        flat = words.flatten().dictionary_encode()
+        codes, names = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        places, n = (np.concatenate([from_planes(raw) for raw in table.column(c).to_pylist()]) for c in ("places", "n"))
+        owner = np.repeat(np.arange(table.num_rows), np.diff(words.offsets.to_numpy()))
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, codes, n)
+        often = sorted(np.flatnonzero(sums >= least).tolist(), key=lambda i: (-sums[i], names[i]))
+        ids = np.full(len(names), -1)
+        ids[often] = np.arange(len(often)) * buckets + int(key[1].as_py())
+        kept = ids[codes] >= 0
+        answers = _answers(table, owner[kept], ids[codes[kept]], [places[kept]])
+        return _table(table, answers, ids[often], sums[often], word=[names[i] for i in often])
 
+    return total
 
-def _sum(least: int):
-    """One bucket: a row of its frequent pairs with their sums (block null), and for each block its own frequent pairs."""
 
-    def total(table: pa.Table) -> pa.Table:
-        lang, blocks = table.column("lang")[0].as_py(), table.column("block").to_pylist()
-        a, b, n = ([from_planes(raw) for raw in table.column(c).to_pylist()] for c in ("a", "b", "n"))
-        sizes = [len(x) for x in a]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
+def _sum_pairs(least: int, buckets: int):
+    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        drop_caches("collocations")
+        parts = [[from_planes(raw) for raw in table.column(c).to_pylist()] for c in ("a", "b", "n")]
+        owner = np.repeat(np.arange(table.num_rows), [len(x) for x in parts[0]])
+        a, b, n = (np.concatenate(x) for x in parts)
         order = np.lexsort((b, a))
         a, b, n, owner = a[order], b[order], n[order], owner[order]
         starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         sums = np.add.reduceat(n, starts)
-        often = sums >= least
-        kept = np.repeat(often, np.diff(np.append(starts, len(a))))
-        rows = [(None, a[starts[often]], b[starts[often]], sums[often])]
-        a, b, owner = a[kept], b[kept], owner[kept]
-        order = np.argsort(owner, kind="stable")
-        a, b, owner = a[order], b[order], owner[order]
-        edges = np.searchsorted(owner, np.arange(len(blocks) + 1)).tolist()
-        rows += [(blocks[i], a[s:e], b[s:e], None) for i, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
-        block, *lists = zip(*rows)
-        return pa.table([pa.array([lang] * len(rows)), pa.array(block, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in lists)], names=["lang", "block", "a", "b", "n"])
+        often = np.flatnonzero(sums >= least)
+        often = often[np.lexsort((b[starts[often]], a[starts[often]], -sums[often]))]
+        ids = np.full(len(sums), -1)
+        ids[often] = np.arange(len(often)) * buckets + int(key[1].as_py())
+        each = np.repeat(ids, np.diff(np.append(starts, len(a))))
+        kept = each >= 0
+        answers = _answers(table, owner[kept], each[kept], [a[kept], b[kept]])
+        return _table(table, answers, ids[often], sums[often], a=a[starts[often]], b=b[starts[often]])
 
     return total
 
 
-def _renumber(pairs: bool):
-    """Blocks' codes from what the ranks say: local words to ids, or pairs of ids to ids of the place where the pair begins."""
+def _renumber(keys: int):
+    """Blocks' codes from the buckets' answers: places to ids (one key), or pairs of ids to the ids of the places where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                codes, told = from_planes(batch.column(2)[row].as_py()), batch.column(3)[row].values
-                ids = told.field("id").to_numpy()
-                if pairs:
-                    a, b = told.field("a").to_numpy(), told.field("b").to_numpy()
-                    met = np.unique(np.concatenate((a, b)))
+                codes = from_planes(batch.column(2)[row].as_py())
+                told = np.concatenate([from_planes(raw).reshape(keys + 1, -1) for raw in batch.column(3)[row].as_py()], axis=1)
+                ids = told[-1]
+                if keys == 2:
+                    met = np.unique(told[:2])
                     known = np.isin(codes, met)
                     place = np.where(known, np.searchsorted(met, np.where(known, codes, met[0])), -1)
-                    key = np.searchsorted(met, a) * len(met) + np.searchsorted(met, b)
+                    key = np.searchsorted(met, told[0]) * len(met) + np.searchsorted(met, told[1])
                     order = np.argsort(key)
                     key, ids = key[order], ids[order]
                     x, y = place[:-1], place[1:]
@@ -232,7 +296,7 @@ def _renumber(pairs: bool):
                     codes = np.where(key[at] == wanted, ids[at], -1)
                 else:
                     by_place = np.full(int(codes.max(initial=-1)) + 2, -1)
-                    by_place[told.field("place").to_numpy()] = ids
+                    by_place[told[0]] = ids
                     codes = by_place[codes]  # -1 takes the last, which is -1
                 # One gap stands for many.
                 keep = np.ones(len(codes), bool)
@@ -247,29 +311,21 @@ def levels(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, bl
     """All words' number by language (lang, total), and one table a phrase length: (lang, id, n, word) for
     words, (lang, id, n, a, b) for longer phrases, where a and b are the ids of the phrase without its last and first word."""
     blocks = cut(encode(docs, block_words), "phrase-blocks")
-    listed = blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "of")).select(
-        "lang", "block", F.col("place").cast("long").alias("place"), F.col("of.words").alias("word"), F.col("of.counts").alias("here")
-    ).where("here > 0")
-    words = cut(listed.groupBy("lang", "word").agg(F.sum("here").alias("n")), "phrase-words")
-    totals = cut(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
+    totals = cut(blocks.groupBy("lang").agg(F.sum("size").alias("total")), "phrase-totals")
     all_words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(all_words / bucket_words))
 
-    found = [ranked(words.where(F.col("n") >= least), ["word"], "phrases-1")]
-    told = listed.join(found[0].select("lang", "word", "id"), ["lang", "word"]).select("lang", "block", F.struct("place", "id").alias("told"))
-    rest = ["place"]
-    for size in range(2, most_words + 1):
-        if found[-1].isEmpty():
+    found, dealt, total, names = [], _deal_words(blocks, buckets), _sum_words(least, buckets), ["word"]
+    for size in range(1, most_words + 1):
+        summed = cut(dealt.groupBy("lang", "bucket").applyInArrow(total, SUMMED), f"phrase-sums-{size}")
+        of = summed.where("block IS NULL").select("lang", F.explode(F.arrays_zip("id", "n", *names)).alias("of"))
+        found.append(cut(of.select("lang", "of.*"), f"phrases-{size}"))
+        if size == most_words or found[-1].isEmpty():
             break
-        each = told.groupBy("lang", "block").agg(F.collect_list("told").alias("told"))  # a block's own list, no longer than the block
-        numbered = blocks.select("lang", "block", "codes").join(each, ["lang", "block"]).select("lang", "block", "codes", "told")
-        blocks = cut(numbered.mapInArrow(_renumber(rest != ["place"]), "lang string, block long, codes binary"), f"phrase-codes-{size}")
-        summed = cut(_count(blocks, buckets).groupBy("lang", "bucket").applyInArrow(_sum(least), SUMMED), f"phrase-sums-{size}")
-        sums = summed.where("block IS NULL").select("lang", F.explode(F.arrays_zip("a", "b", "n")).alias("of")).select("lang", "of.*")
-        found.append(ranked(sums, ["a", "b"], f"phrases-{size}"))
-        heard = summed.where("block IS NOT NULL").select("lang", "block", F.explode(F.arrays_zip("a", "b")).alias("of")).select("lang", "block", "of.a", "of.b")
-        told = heard.join(found[-1].select("lang", "a", "b", "id"), ["lang", "a", "b"]).select("lang", "block", F.struct("a", "b", "id").alias("told"))
-        rest = ["a", "b"]
+        answers = summed.where("block IS NOT NULL").groupBy("lang", "block").agg(F.collect_list("told").alias("told"))  # no more than the block holds
+        numbered = blocks.select("lang", "block", "codes").join(answers, ["lang", "block"]).select("lang", "block", "codes", "told")
+        blocks = cut(numbered.mapInArrow(_renumber(len(names)), "lang string, block long, codes binary"), f"phrase-codes-{size}")
+        dealt, total, names = _deal_pairs(blocks, buckets), _sum_pairs(least, buckets), ["a", "b"]
     return totals, found
 
 

@@ -50,6 +50,22 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: What Python workers keep between their tasks, by operator: a worker runs the tasks of one operator after another.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(operator: str, clear: Callable[[], None]) -> None:
+    """Name the cache that ``operator`` keeps in a worker, and how it is dropped."""
+    _CACHES[operator] = clear
+
+
+def drop_caches(operator: str) -> None:
+    """Called as a task of ``operator`` starts: what other operators have kept in this worker goes."""
+    for name, clear in _CACHES.items():
+        if name != operator:
+            clear()
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, also where lambdas refer to it."""
     return F.transform(F.array(value), use)[0]

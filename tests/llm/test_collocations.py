@@ -65,15 +65,20 @@ def test_pairs_by_direct_address_and_sorted_coordinates():
     assert all(len(x) == 0 for x in count_pairs(np.array([-1, 5, -1, 7])))
 
 
-def test_ranks_are_places_in_the_order(spark):
-    rng = np.random.default_rng(5)
-    rows = [(lang, f"w{i:04d}", int(rng.integers(1, 9))) for lang, size in (("a", 3000), ("b", 40), ("c", 1)) for i in range(size)]
-    got = collocations.ranked(spark.createDataFrame(rows, "lang string, word string, n long"), ["word"], "test").collect()
-    expected = {}
-    for lang in "abc":
-        for place, (n, word) in enumerate(sorted((-n, w) for x, w, n in rows if x == lang)):
-            expected[lang, word] = place
-    assert {(r.lang, r.word): r.id for r in got} == expected
+@pytest.mark.parametrize("bucket", [6_000, 10**9])
+def test_ids_follow_frequency(spark, bucket):
+    """Ids are unique, and ranked by frequency in each bucket; over one bucket they are the ranks."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    totals, found = collocations.levels(docs, 5, 2, bucket_words=bucket)
+    for level in found:
+        rows = [(r.lang, r.id, r.n) for r in level.collect()]
+        assert len({x[:2] for x in rows}) == len(rows) > 100
+        for lang in {x[0] for x in rows}:
+            own = sorted((i, n) for x, i, n in rows if x == lang)
+            if bucket == 10**9:
+                assert [i for i, _ in own] == list(range(len(own))) and [n for _, n in own] == sorted((n for _, n in own), reverse=True)
+            else:  # the first tenth holds the most frequent
+                assert sum(n for _, n in own[: len(own) // 10 + 1]) >= 0.5 * sum(sorted((n for _, n in own), reverse=True)[: len(own) // 10 + 1])
 
 
 def test_hot_pair_and_defined_cases(spark):
