@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import cut, importable, text_or_empty, word_array
+from lakeaudit.llm.common import cut, drop_caches, importable, text_or_empty, word_array
 from lakeaudit.llm.url_filter import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
@@ -137,6 +137,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, the number of shingles, a 128-bit fingerprint of their set, and the MinHash signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches("ngram_join")
         for batch in batches:
             words, offsets = _lists(batch.column(3))
             for at, to in _slices(offsets, SLICE_WORDS):
@@ -249,6 +250,7 @@ def _components(docs: DataFrame, threshold: float, group_rows: int) -> tuple[Dat
     ).select("node", word_hashes(F.col("text")).alias("words"))
 
     def link(table: pa.Table) -> pa.Table:
+        drop_caches("ngram_join")
         roots, classes_, lows, highs = (table.column(c).to_pylist() for c in ("root", "size_class", "i", "j"))
         nodes = np.array(table.column("node").to_pylist(), object)
         own, block, copies = (table.column(c).to_numpy() for c in ("own", "block", "copies"))

@@ -6,11 +6,14 @@ round deals the open bins to groups of about ``GROUP_ROWS`` rows; a group packs
 as items, largest first, each into the open bin with the least room that still fits.
 Bins with at most ``SLACK`` tokens of room leave; the others are the next round's items
 in fewer groups, until one group is left or a round no longer shrinks what is left.
-The groups are dealt by a hash of the bin, so no length, source or copy can fill one.
+Every piece has a number of its own, fixed when the pieces are written, and the groups are dealt by a hash of the
+number, so no length, source, id or copy can fill one.
 
 Tokenizing: white space never takes part in a token of this tokenizer, so a text is the
-join of its words' ids. Each worker keeps the ids of words it has met (``CACHE_WORDS`` at
-most, then it starts anew), and new words go to the library in blocks.
+join of its words' ids. Each worker keeps the ids of words it has met lately (two generations of
+``CACHE_WORDS`` at most, and as many parts) and drops them when another operator's task starts in it; new words go to the library
+in blocks. A word is split into letters and marks only if its letters are Latin ones that
+stay letters when they are normalised; every other word goes to the library whole.
 
 Defined cases: null text is the empty text, whose only token is the end token; repeated
 rows are separate documents; null doc_ids stay null; empty tables give no rows; other
@@ -23,18 +26,20 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.common import cut, importable
+from lakeaudit.llm.common import cut, drop_caches, importable, keep_cache
 
 CAPACITY, END_ID = 4096, 1
 GROUP_ROWS, SLACK = 20_000, 16
-CACHE_WORDS = 1_000_000
-WORDS_PER_CALL = 500
+CACHE_WORDS = 600_000
+SLICE_BYTES = 16_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, bin long, offset long, done boolean"
@@ -44,80 +49,84 @@ class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for the whole text."""
 
     BREAKS = str.maketrans("\n\t\r", "   ")
-    #: A run of letters and then of marks that never join a letter's token.
-    PLAIN = re.compile(r"([^\W\d_]+)([,.!?*#&%$;:|]*)")
+    #: Latin letters, without I with a dot (whose lower case has a mark), and then marks that never join a letter's token.
+    PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)([,.!?*#&%$;:|]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        # How the tokenizer spells the bytes of a letter beyond ASCII before it looks for tokens.
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        beyond = [c for c in map(chr, range(0x80, 0x250)) if self.PLAIN.fullmatch(c)]
+        self.spelled = {ord(c): spell(c)[0][0] for c in {*beyond, *map(str.lower, beyond)}}
         self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, or marks only: each ends with its only word-end token, so one text serves for many."""
-        out: list[bytes] = []
-        for at in range(0, len(words), WORDS_PER_CALL):
-            block = words[at : at + WORDS_PER_CALL]
-            (encoded,) = self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(block) or stops[-1] != len(ids):
-                out += self._encode(block)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for stop in (stops * 4).tolist():
-                out.append(raw[begin:stop])
-                begin = stop
-        return out
+    def _encode_letters(self, word: str) -> bytes:
+        """A lower-case word of Latin letters, as the model sees it once the text is normalised and cut."""
+        tokens = self.model.tokenize(word if word.isascii() else normalize("NFC", word).translate(self.spelled))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def _learn(self, fresh: set[str]) -> None:
+        """The ids of words that no generation holds."""
+        plain, odd = [], []
+        match = self.PLAIN.fullmatch
+        for w in fresh:
+            if m := match(w):
+                head, tail = m.groups()
+                plain.append((w, head.lower(), tail))
+            else:
+                odd.append(w)
+        if len(self.letters) + len(self.marks) > CACHE_WORDS:
+            self.letters, self.marks = {}, {"": b""}
+        letters, marks = self.letters, self.marks
+        heads = {head for _, head, _ in plain}.difference(letters)
+        letters.update(zip(heads, map(self._encode_letters, heads)))
+        tails = list({tail for _, _, tail in plain}.difference(marks))
+        marks.update(zip(tails, self._encode(tails)))
+        self.chunks.update([(w, letters[head] + marks[tail]) for w, head, tail in plain])
+        self.chunks.update(zip(odd, self._encode(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.translate(self.BREAKS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ") for text in texts]
-        fresh = {w for words in split for w in words if w not in self.chunks}
+        split = pc.split_pattern(pa.array([text.translate(self.BREAKS) if "\t" in text or "\r" in text else text.replace("\n", " ") for text in texts], pa.string()), " ")
+        flat = split.flatten().dictionary_encode()
+        words, places = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        fresh = set(words).difference(self.chunks)
+        if len(self.chunks) + len(fresh) > CACHE_WORDS:  # a new generation; words still in use come over
+            self.older, self.chunks = self.chunks, {"": b""}
+            fresh = set(words).difference(self.chunks)
+        kept = fresh & self.older.keys()
+        older = self.older
+        self.chunks.update((w, older[w]) for w in kept)
+        fresh -= kept
         if fresh:
-            if len(self.chunks) + len(fresh) > CACHE_WORDS:
-                self.chunks, self.parts = {"": b""}, {}
-                fresh = {w for words in split for w in words if w}
-            plain, odd, need = [], [], set()
-            for w in fresh:
-                if w.isalpha():
-                    letters, marks = w, ""
-                elif m := self.PLAIN.fullmatch(w):
-                    letters, marks = m.groups()
-                    if not letters.isalpha():
-                        odd.append(w)
-                        continue
-                else:
-                    odd.append(w)
-                    continue
-                letters = letters.lower() if letters.isascii() else letters
-                plain.append((w, letters, marks))
-                need.add(letters)
-                if marks:
-                    need.add(marks)
-            need = [w for w in need if w not in self.parts]
-            if need:
-                self.parts.update(zip(need, self._encode_letters(need)))
-            parts = self.parts
-            for w, letters, marks in plain:
-                self.chunks[w] = parts[letters] + parts[marks] if marks else parts[letters]
-            if odd:
-                self.chunks.update(zip(odd, self._encode(odd)))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-@lru_cache(maxsize=2)
+            self._learn(fresh)
+        # Each word's ids once, and then a gather over all words in their order.
+        parts = list(map(self.chunks.__getitem__, words))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+
+
+@lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+keep_cache("packing", _tokenizer.cache_clear)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text); with ``with_ids`` also their ids (little-endian 32-bit)."""
     importable(docs.sparkSession)
@@ -125,10 +134,15 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches("packing")
         encoder = _tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            ends = np.cumsum(np.append(0, pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+                part = batch.slice(at, upto - at)
+                at = upto
                 doc_ids, rows = part.column(0).to_pylist(), []
                 for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
@@ -175,20 +189,14 @@ def _packer(level: int, last: bool, capacity: int, slack: int):
 
     def pack_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()
-        group = int(key[0].as_py())
-        if level:
-            _, own = np.unique(table.column("bin").to_numpy(), return_inverse=True)
-        else:  # the order of rows in a group may differ between attempts, so order them
-            order = np.lexsort(tuple(table.column(c).fill_null(-1).to_numpy() for c in ("start", "ids_crc32", "piece", "doc_id", "length")))
-            own = np.empty(len(length), np.int64)
-            own[order] = np.arange(len(length))
+        _, own = np.unique(table.column("bin").to_numpy(), return_inverse=True)
         size = np.bincount(own, length).astype(np.int64)
         order = np.argsort(-size, kind="stable")
         bins, places, rooms = best_fit(size[order].tolist(), capacity)
         new, place = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
         new[order], place[order] = bins, places
         ready = np.ones(len(rooms), bool) if last else np.array(rooms) <= slack
-        number = (level << 56) + (group << 24) + new[own]
+        number = (level + 1 << 56) + (int(key[0].as_py()) << 32) + new[own]
         return pa.table(
             [table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             + [pa.array(number), pa.array(table.column("offset").to_numpy() + place[own]), pa.array(ready[new[own]])],
@@ -201,26 +209,22 @@ def _packer(level: int, last: bool, capacity: int, slack: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, slack: int = SLACK) -> DataFrame:
     """Give every row of ``pieces`` a sequence_id and its offset there."""
     importable(pieces.sparkSession)
-    pieces = cut(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    left = pieces.count()
-    # Round 0: every piece is a bin; its number is made in its group.
-    todo = pieces.withColumns({"bin": F.lit(None).cast("long"), "offset": F.lit(0).cast("long")})
-    deal = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
+    # Round 0: every piece is a bin of its own number, which the written copy fixes.
+    numbered = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
+    todo = cut(numbered, "pieces")
+    left = todo.count()
     done, level, before = [], 0, None
     while True:
         groups = max(1, -(-left // group_rows))
         last = groups == 1 or (before is not None and left > 0.9 * before)
-        number = F.pmod(deal, F.lit(groups))
-
         group = _packer(level, last, capacity, slack)
-        out = todo.withColumn("number", number).groupBy("number").applyInArrow(group, PLACED)
+        out = todo.withColumn("number", F.pmod(F.xxhash64("bin"), F.lit(groups))).groupBy("number").applyInArrow(group, PLACED)
         out = cut(out, f"packed-{level}")
         done.append(out.where("done"))
         if last:
             break
         todo = out.where("NOT done").drop("done")
         before, left = left, todo.count()
-        deal = F.xxhash64("bin")
         level += 1
         if left == 0:
             break

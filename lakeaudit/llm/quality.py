@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeaudit.llm.common import cut, importable
+from lakeaudit.llm.common import cut, drop_caches, importable, keep_cache
 
 DIMENSIONS, FIT_ROWS, REJECT = 1 << 13, 4_096, 0.5
 EM_ROUNDS, FIT_STEPS, FIT_RATE, FIT_DECAY = 200, 300, 0.1, 1e-4
@@ -118,6 +118,7 @@ class Tokens:
 
 
 _tokens = Tokens()
+keep_cache("quality", lambda: _tokens.__init__())
 
 
 def votes(places: np.ndarray, facts: np.ndarray) -> list[int]:
@@ -146,6 +147,7 @@ def votes(places: np.ndarray, facts: np.ndarray) -> list[int]:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches("quality")
     for batch in batches:
         patterns = []
         for text in batch.column(0).to_pylist():
