@@ -6,6 +6,7 @@ empty. Here every row gets an array of reason codes in one pass:
 * ``parse_error`` — the reader put the raw line in ``_corrupt_record``
   (bad timestamp, decimal overflow, text in a number column);
 * ``null:<col>`` — a NOT NULL column of the contract is NULL;
+* ``absent:<col>`` — the input has no such column, though the contract says NOT NULL;
 * ``domain:<col>`` — a value outside the column's declared domain.
 
 A row is good iff the array is empty. Good + quarantined = read, always.
@@ -27,8 +28,7 @@ def reasons(contract: Contract, columns: list[str], corrupt: str | None = CORRUP
     if corrupt and corrupt in columns:
         checks.append(F.when(F.col(corrupt).isNotNull(), F.lit("parse_error")))
     for name in contract.not_null:
-        if name in columns:
-            checks.append(F.when(F.col(name).isNull(), F.lit(f"null:{name}")))
+        checks.append(F.when(F.col(name).isNull(), F.lit(f"null:{name}")) if name in columns else F.lit(f"absent:{name}"))
     for name, values in contract.domains.items():
         if name in columns:
             bad = F.col(name).isNotNull() & ~F.col(name).isin(list(values))

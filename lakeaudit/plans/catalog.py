@@ -78,7 +78,7 @@ def describe_table(
     spark: SparkSession, table: str, with_profile: bool = False, exact_distinct: bool = False
 ) -> dict:
     """M4: columns (name, type, nullable, comment), partition columns, format,
-    location, row count, files, bytes and optionally the column profile.
+    location, owner, creation time, properties, row count, files, bytes and optionally the column profile.
     An unknown table raises (the reference's stub invented one).
 
     The counts come from one pass over file metadata and row counts. The
@@ -102,6 +102,11 @@ def describe_table(
         "table_type": detail.get("Type"),
         "data_source_format": (detail.get("Provider") or "").upper() or None,
         "comment": detail.get("Comment"),
+        "owner": detail.get("Owner"),
+        "created_at": detail.get("Created Time"),
+        "properties": {
+            r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES IDENTIFIER(:t)", args={"t": table}).collect()
+        },
         "location": detail.get("Location"),
         "columns": columns,
         "partition_columns": [c.name for c in cols if c.isPartition],

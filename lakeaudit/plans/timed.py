@@ -1,15 +1,21 @@
-"""Bindings of the operators that work along time: as-of and interval joins, two joined
-streams, late events, and the file-level load ledger. Conventions as in ``bindings``."""
+"""Further bindings: operators that work along time (as-of and interval joins, two joined
+streams, late events), the file-level load ledger, gold refreshes, and checks bound so that each
+of their outcomes occurs. Conventions as in ``bindings``."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lakeaudit.functions.money import money
+from lakeaudit.operators import deadlines, gate, reconcile
 from lakeaudit.operators.asof import asof_join
 from lakeaudit.operators.intervals import overlap_join
-from lakeaudit.plans.bindings import _t, binding
+from lakeaudit.plans import loads
+from lakeaudit.plans.bindings import DETECTED_AT, G4_SQL, _c1_frame, _orders_contract, _scratch_schema, _t, binding
 from lakeaudit.plans.copy_into import copy_into, loaded
+from lakeaudit.plans.gold import refresh_daily_revenue
 from lakeaudit.session import staging_path
 from lakeaudit.sources.swap import remove_folder
 from lakeaudit.streaming import joins, late
@@ -209,3 +215,85 @@ def s9_copy_into(spark, sf_dir):
     return spark.createDataFrame(
         report, "step string, files_seen long, files_loaded long, rows_loaded long, table_rows long, table_total decimal(24,2)"
     )
+
+
+# ================================================== gold refresh (G4), S9, S3
+GOLD_SINCE = dt.date(1998, 7, 15)
+
+
+@binding("g4_gold_refresh", f"SELECT *, strftime(revenue_date, '%Y-%m') AS revenue_month FROM ({G4_SQL})")
+def g4_gold_refresh(spark, sf_dir):
+    """The gold table written without the orders of the last months' second halves, then refreshed twice from
+    ``GOLD_SINCE`` on: it holds the revenue of all orders."""
+    orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    table = f"{_scratch_schema(spark, 'gold')}.daily_revenue"
+    early = orders.where((F.col("o_orderdate") < F.lit(GOLD_SINCE.replace(day=1))) | (F.dayofmonth("o_orderdate") < 15))
+    refresh_daily_revenue(spark, early, lines, table)
+    for _ in range(2):
+        refresh_daily_revenue(spark, orders, lines, table, GOLD_SINCE)
+    return spark.table(table)
+
+
+@binding("s9_overwrite_partitions", "SELECT * FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 100000")
+def s9_overwrite_partitions(spark, sf_dir):
+    """All orders by status; then one status is replaced by its larger orders, and the other partitions stay."""
+    orders, table = _t(spark, sf_dir, "orders"), f"{_scratch_schema(spark, 'partitions')}.orders"
+    loads.reload_table(spark, orders, table, ["o_orderstatus"])
+    loads.overwrite_partitions(spark, orders.where("o_orderstatus = 'F' AND o_totalprice > 100000"), table)
+    return spark.table(table).select(*orders.columns)
+
+
+S3_ABSENT_SQL = """
+SELECT o_orderkey, 'absent:o_totalprice' AS reason FROM orders
+UNION ALL SELECT o_orderkey, 'domain:o_orderstatus' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+"""
+
+
+@binding("s3_gate_absent_column", S3_ABSENT_SQL)
+def s3_gate_absent_column(spark, sf_dir):
+    """Orders that come without their price: the contract says NOT NULL, so every row is rejected for it, beside its other reasons."""
+    orders = _t(spark, sf_dir, "orders")
+    tagged = gate.tag(orders.drop("o_totalprice"), _orders_contract(orders.schema))
+    return gate.reason_rows(tagged, ["o_orderkey"])
+
+
+# ============================ checks of which every outcome occurs
+WIDE_TOLERANCE = 50_000
+C1_WIDE_SQL = f"""
+WITH per_order AS (
+  SELECT l_orderkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))
+         * (1 + CAST(l_tax AS DECIMAL(12,2)))) AS DECIMAL(30,6)) AS charge FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT o_orderkey, abs(charge - CAST(o_totalprice AS DECIMAL(12,2))) > {WIDE_TOLERANCE} AS off FROM orders JOIN per_order ON o_orderkey = l_orderkey)
+SELECT CAST(o_orderkey AS VARCHAR) AS tx_id, off AS flagged FROM d
+"""
+
+
+@binding("c1_reconcile_tolerance", C1_WIDE_SQL)
+def c1_reconcile_tolerance(spark, sf_dir):
+    """Every order with lines, and whether its total is off by more than ``WIDE_TOLERANCE``: some are and some are not."""
+    frame = _c1_frame(spark, sf_dir)
+    rule = reconcile.Rule("TOTAL_MISMATCH", money("o_totalprice"), F.col("charge").cast("decimal(30,6)"), WIDE_TOLERANCE, "order total differs from the sum of its line charges")
+    flagged = reconcile.reconcile(frame, "order_key", [rule], DETECTED_AT).select("tx_id", F.lit(True).alias("flagged"))
+    seen = frame.select(F.col("order_key").cast("string").alias("tx_id"))
+    return seen.join(flagged, "tx_id", "left").select("tx_id", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+
+
+RECEIPT_DAYS = 90
+C4_ALL_SQL = f"""
+WITH f AS (SELECT l_orderkey, MIN(l_shipdate) AS receipt_sent_at, MAX(l_shipdate) - INTERVAL 60 DAY AS cancellation_deadline FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT o_orderkey AS tx_id, o_orderdate AS disclosed_at, receipt_sent_at, cancellation_deadline FROM orders LEFT JOIN f ON o_orderkey = l_orderkey)
+SELECT *, 'receipt_missing' AS check_name FROM b WHERE receipt_sent_at IS NULL
+UNION ALL SELECT *, 'receipt_late' FROM b WHERE receipt_sent_at > disclosed_at + INTERVAL {RECEIPT_DAYS} DAY
+UNION ALL SELECT *, 'deadline_invalid' FROM b WHERE cancellation_deadline < disclosed_at
+"""
+
+
+@binding("c4_receipt_checks_all", C4_ALL_SQL)
+def c4_receipt_checks_all(spark, sf_dir):
+    """As ``c4_receipt_checks``, with the cancellation deadline 60 days before the last ship date: all three checks fire."""
+    shipped = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_shipdate").alias("receipt_sent_at"), (F.max("l_shipdate") - F.make_dt_interval(days=F.lit(60))).alias("cancellation_deadline")
+    )
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), F.col("o_orderdate").alias("disclosed_at"))
+    joined = orders.join(shipped, F.col("tx_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return deadlines.receipt_checks(joined, receipt_limit_seconds=RECEIPT_DAYS * 86_400, keep=["tx_id"])

@@ -1,9 +1,12 @@
 """New versions of catalog tables: written beside the old one, then swapped in.
 
 A version is a staging table over a folder of its own below the schema's location
-(``<table>__v_<id>``). It is filled and checked while the old table stays readable;
-``swap_in`` then drops the old table and renames the staging table. Since the version has
-its own location, the rename moves no data and the partitions stay where they are.
+(``<table>__v_<id>``). It is filled and checked while the old table stays readable.
+``swap_in`` then points the old table at the version's folder, in one catalog call, so a reader
+finds the old rows or the new ones and never a missing table. That holds for tables without
+partitions whose columns stay; partitions have locations of their own and a table's columns belong to its
+entry, so in these cases the old table is dropped and the staging table renamed, two calls
+between which the table is missing. The rename moves no data, since the version has its own location.
 A version that fails is discarded with its folder and the old table is untouched.
 """
 
@@ -44,10 +47,21 @@ class Version:
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(self.name)}")
         remove_folder(self.spark, self.folder)
 
+    def _columns(self, table: str) -> list[tuple]:
+        return [(c.name, c.dataType, c.isPartition) for c in self.spark.catalog.listColumns(table)]
+
     def swap_in(self) -> None:
-        """The version becomes the table. An earlier version's folder goes with it; a folder
-        that a user named for the table is left as it is."""
+        """The version becomes the table. The old rows' folder goes if it was an earlier version's or the
+        catalog's own; a folder that a user named for the table is left as it is."""
         old = self._location(self.table) if self.spark.catalog.tableExists(self.table) else None
+        if old and (columns := self._columns(self.table)) == self._columns(self.name) and not any(c[2] for c in columns):
+            managed = self.spark.catalog.getTable(self.table).tableType == "MANAGED"
+            self.spark.sql(f"ALTER TABLE {quoted(self.table)} SET LOCATION '{self.folder}'")
+            self.spark.catalog.refreshTable(self.table)
+            self.spark.sql(f"DROP TABLE {quoted(self.name)}")  # external: its folder stays
+            if managed or self._folders.fullmatch(old.rstrip("/").rpartition("/")[2]):
+                remove_folder(self.spark, old)
+            return
         self.spark.sql(f"DROP TABLE IF EXISTS {quoted(self.table)}")
         self.spark.sql(f"ALTER TABLE {quoted(self.name)} RENAME TO {quoted(self.table)}")
         if old and self._folders.fullmatch(old.rstrip("/").rpartition("/")[2]):
