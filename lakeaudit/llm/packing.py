@@ -11,9 +11,10 @@ number, so no length, source, id or copy can fill one.
 
 Tokenizing: white space never takes part in a token of this tokenizer, so a text is the
 join of its words' ids. Each worker keeps the ids of words it has met lately (two generations of
-``CACHE_WORDS`` at most, and as many parts) and drops them when another operator's task starts in it; new words go to the library
-in blocks. A word is split into letters and marks only if its letters are Latin ones that
-stay letters when they are normalised; every other word goes to the library whole.
+``CACHE_WORDS`` at most) and drops them when another operator's task starts in it; new words go to the library
+in blocks. Marks at a word's end are a word of their own where they follow a Latin letter that stays a
+letter when it is normalised. Words of such letters only go to the library's model at once; every other
+word takes the library's whole way.
 
 Defined cases: null text is the empty text, whose only token is the end token; repeated
 rows are separate documents; null doc_ids stay null; empty tables give no rows; other
@@ -39,6 +40,7 @@ from lakeaudit.llm.common import cut, drop_caches, importable, keep_cache
 CAPACITY, END_ID = 4096, 1
 GROUP_ROWS, SLACK = 20_000, 16
 CACHE_WORDS = 600_000
+WORDS_PER_CALL = 500
 SLICE_BYTES = 16_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,54 +51,63 @@ class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for the whole text."""
 
     BREAKS = str.maketrans("\n\t\r", "   ")
-    #: Latin letters, without I with a dot (whose lower case has a mark), and then marks that never join a letter's token.
-    PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)([,.!?*#&%$;:|]*)")
+    #: Latin letters, without I with a dot (whose lower case has a mark). Such a letter and marks after it are never of one token.
+    LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+    PLAIN = re.compile(f"[{LETTER}]+")
+    MARKED = f"([{LETTER}])([,.!?*#&%$;:|]+)( |$)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # The same model without normalising and cutting, for words that need neither.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         # How the tokenizer spells the bytes of a letter beyond ASCII before it looks for tokens.
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         beyond = [c for c in map(chr, range(0x80, 0x250)) if self.PLAIN.fullmatch(c)]
         self.spelled = {ord(c): spell(c)[0][0] for c in {*beyond, *map(str.lower, beyond)}}
         self.chunks: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode_letters(self, word: str) -> bytes:
-        """A lower-case word of Latin letters, as the model sees it once the text is normalised and cut."""
-        tokens = self.model.tokenize(word if word.isascii() else normalize("NFC", word).translate(self.spelled))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Lower-case words of Latin letters; each ends with its only token that ends a word, so one call serves many."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_PER_CALL):
+            block = words[at : at + WORDS_PER_CALL]
+            spelled = " ".join([w if w.isascii() else normalize("NFC", w).translate(self.spelled) for w in block])
+            ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(block) or stops[-1] != len(ids):
+                out += self._encode(block)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for stop in (stops * 4).tolist():
+                out.append(raw[begin:stop])
+                begin = stop
+        return out
 
     def _learn(self, fresh: set[str]) -> None:
         """The ids of words that no generation holds."""
-        plain, odd = [], []
-        match = self.PLAIN.fullmatch
-        for w in fresh:
-            if m := match(w):
-                head, tail = m.groups()
-                plain.append((w, head.lower(), tail))
-            else:
-                odd.append(w)
-        if len(self.letters) + len(self.marks) > CACHE_WORDS:
-            self.letters, self.marks = {}, {"": b""}
-        letters, marks = self.letters, self.marks
-        heads = {head for _, head, _ in plain}.difference(letters)
-        letters.update(zip(heads, map(self._encode_letters, heads)))
-        tails = list({tail for _, _, tail in plain}.difference(marks))
-        marks.update(zip(tails, self._encode(tails)))
-        self.chunks.update([(w, letters[head] + marks[tail]) for w, head, tail in plain])
-        self.chunks.update(zip(odd, self._encode(odd)))
+        chunks, plain = self.chunks, self.PLAIN.fullmatch
+        letters = [w for w in fresh if plain(w)]
+        odd = list(fresh.difference(letters))
+        chunks.update(zip(odd, self._encode(odd)))
+        lower = list({w.lower() for w in letters}.difference(chunks))
+        chunks.update(zip(lower, self._encode_letters(lower)))
+        chunks.update([(w, chunks[w.lower()]) for w in letters])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = pc.split_pattern(pa.array([text.translate(self.BREAKS) if "\t" in text or "\r" in text else text.replace("\n", " ") for text in texts], pa.string()), " ")
+        lines = [text.translate(self.BREAKS) if "\t" in text or "\r" in text else text.replace("\n", " ") for text in texts]
+        cut_ = pc.replace_substring_regex(pa.array(lines, pa.string()), self.MARKED, r"\1 \2\3")
+        split = pc.split_pattern(cut_, " ")
         flat = split.flatten().dictionary_encode()
         words, places = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         fresh = set(words).difference(self.chunks)
@@ -105,7 +116,7 @@ class WordTokenizer:
             fresh = set(words).difference(self.chunks)
         kept = fresh & self.older.keys()
         older = self.older
-        self.chunks.update((w, older[w]) for w in kept)
+        self.chunks.update([(w, older[w]) for w in kept])
         fresh -= kept
         if fresh:
             self._learn(fresh)
