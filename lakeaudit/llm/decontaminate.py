@@ -18,9 +18,9 @@ beyond that the shingles meet them in a shuffled join. Shingles that a third of
 documents share meet one sketch row each and are counted per document.
 
 Defined cases: null and empty texts, and items under ``n`` words, have no shingles and are
-never contained nor contaminated; the search reports ids, so rows with one doc_id (or
-item_id) are searched as one text's shingles together, null being an id of its own; the
-filter judges each row by its own text, whatever its id; empty tables give no rows; other
+never contained nor contaminated; search and filter judge each row by its own text, whatever its
+id, and the search reports an id (null is one of its own) once per item, with the most shingles that one of
+its rows shares; rows with one item_id are one item; empty tables give no rows; other
 input columns are ignored by the search and returned by the filter.
 """
 
@@ -46,9 +46,14 @@ def _equal(left: list[str], right: list[str]) -> Column:
     return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)))
 
 
+def _row_keys() -> dict[str, Column]:
+    """128 bits of a row's id and text; equal rows have equal verdicts."""
+    return {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(7), "doc_id", "text")}
+
+
 def _search(own: DataFrame, keys: list[str], items: DataFrame, threshold: float, n: int, sketch: int, hit_share: float) -> DataFrame:
-    """``keys``, item_id, n_shared, n_item, containment of every item contained in the texts of one key.
-    ``own`` has the keys, the text, and ``pooled``: whether other rows may share the key, so a row's size is not the key's."""
+    """``keys``, item_id, n_shared, n_item, containment of every item contained in the text of one key.
+    ``own`` has the keys, which tell a row's text, and the text."""
     parts = items.select("item_id", F.explode(_shingles(F.col("text"), n)).alias("s")).distinct()
     sizes = parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.collect_list("s").alias("all"))
     sizes = cut(sizes, "items")
@@ -72,12 +77,13 @@ def _search(own: DataFrame, keys: list[str], items: DataFrame, threshold: float,
     )
     sketches = cut(sketches, "sketches")
     bounded = sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    shingles = own.select(*keys, "pooled", _shingles(F.col("text"), n).alias("list")).select(
-        *keys, "pooled", F.size("list").alias("doc_size"), F.explode("list").alias("s")
+    # explode_outer: explode would filter by the list first, which computes the shingles once more for each condition.
+    shingles = own.select(*keys, _shingles(F.col("text"), n).alias("list")).select(
+        *keys, F.size("list").alias("doc_size"), F.explode_outer("list").alias("s")
     )
     met = shingles.join(F.broadcast(sketches) if bounded else sketches, "s")
     hits = (
-        met.where(F.col("pooled") | (F.col("doc_size") >= F.col("least_size")))
+        met.where(F.col("doc_size") >= F.col("least_size"))
         .groupBy(*keys, "item_id", "needed", "s")
         .agg(F.lit(1).alias("one"))
         .groupBy(*keys, "item_id", "needed")
@@ -109,23 +115,17 @@ def find_contaminated(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, sketch: int = SKETCH, hit_share: float = HIT_SHARE
 ) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every contained item."""
-    own = docs.select("doc_id", "text")
-    shared = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("shared_id"), F.lit(True).alias("pooled"))
-    shared = cut(shared, "shared-ids")
-    count = shared.limit(BROADCAST_ROWS + 1).count()
-    if count:
-        other = F.broadcast(shared) if count <= BROADCAST_ROWS else shared
-        own = own.join(other, _equal(["doc_id"], ["shared_id"]), "left").select("doc_id", "text", F.coalesce("pooled", F.lit(False)).alias("pooled"))
-    else:
-        own = own.withColumn("pooled", F.lit(False))
-    return _search(own, ["doc_id"], items, threshold, n, sketch, hit_share)
+    keys = _row_keys()
+    own = docs.select("doc_id", *(key.alias(name) for name, key in keys.items()), "text")
+    found = _search(own, ["doc_id", *keys], items, threshold, n, sketch, hit_share)
+    best = found.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    return best.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with all their columns."""
-    # 128 bits of the row's id and text; equal rows have equal verdicts.
-    keys = {"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(7), "doc_id", "text")}
-    own = docs.select(*(key.alias(name) for name, key in keys.items()), "text", F.lit(False).alias("pooled"))
+    keys = _row_keys()
+    own = docs.select(*(key.alias(name) for name, key in keys.items()), "text")
     found = _search(own, list(keys), items, threshold, n, SKETCH, HIT_SHARE)
     bad = cut(found.select(F.col("__k1").alias("__bad1"), F.col("__k2").alias("__bad2")).distinct(), "contaminated")
     return docs.withColumns(keys).join(bad, _equal(list(keys), ["__bad1", "__bad2"]), "left_anti").select(*docs.columns)

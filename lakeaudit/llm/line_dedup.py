@@ -12,8 +12,8 @@ moved once, to meet the places of their dropped lines; a line that a third of al
 documents share is a key of partial counts and of one join that adaptive execution splits.
 
 Defined cases: null and empty texts are one empty line; lines whose key has under
-``min_chars`` code points always stay; rows with one doc_id are one document (null is a
-doc_id of its own) and each such row is cut and returned; a document may lose all its
+``min_chars`` code points always stay; every row is a document of its own, whatever its doc_id
+(null, or one that other rows have too); a document may lose all its
 lines and is returned with the empty text; empty tables give no rows; other columns are
 returned as they are, whatever their names, unless they are named like the added columns.
 """
@@ -65,8 +65,8 @@ class LineRuns:
         return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
     def add(self, lines: DataFrame) -> None:
-        """Count a batch of (doc_id, h1, h2); no document may be in two batches."""
-        counts = lines.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
+        """Count a batch of (row, h1, h2); no document may be in two batches."""
+        counts = lines.select("row", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
         runs = [p for level in self.levels for p in level]
         if runs:
             settled = self._read(runs).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
@@ -82,15 +82,16 @@ class LineRuns:
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``text`` cut, and n_lines, n_dropped."""
     spark = docs.sparkSession
-    rows = docs.select(
-        "doc_id",
+    # The number is given before the lines are made, and fixed when they are written.
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).select(
+        "row",
         F.xxhash64("doc_id", "text").alias("r1"),
         F.xxhash64(F.lit(7), "doc_id", "text").alias("r2"),
         F.posexplode(F.transform(F.split(text_or_empty("text"), "\n", -1), line_key)).alias("pos", "key"),
     ).where((F.char_length("key") >= min_chars) & (F.length("key") > 0))
     lines = rows.select(
-        "doc_id", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"),
-        F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(batches)).cast("int").alias("batch"),
+        "row", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"),
+        F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"),
     )
     lines = cut(lines, "lines")
     runs = LineRuns(spark, min_docs)

@@ -195,22 +195,24 @@ FROM a LEFT JOIN best ON best.host = a.host AND best.path = a.path LEFT JOIN sai
 # Words and five-word shingles as texts; the containment is exact.
 OP5_SQL = r"""
 WITH words AS (
-  SELECT 'd' AS side, doc_id AS id,
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r,
          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '') AS w
   FROM documents
   UNION ALL
-  SELECT 'i', item_id,
+  SELECT 'i', item_id, 0,
          list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')
   FROM benchmark),
 shingles AS (
-  SELECT DISTINCT side, id, s FROM (
-    SELECT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  SELECT DISTINCT side, id, r, s FROM (
+    SELECT side, id, r, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
     FROM words WHERE len(w) >= 5)),
-items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE side = 'i')
-SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, i.n_item,
-       CAST(count(*) AS DOUBLE) / i.n_item AS containment
-FROM shingles d JOIN items i USING (s) WHERE d.side = 'd'
-GROUP BY d.id, i.id, i.n_item HAVING count(*) >= 0.8 * i.n_item
+items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE side = 'i'),
+found AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, i.n_item
+  FROM shingles d JOIN items i USING (s) WHERE d.side = 'd'
+  GROUP BY d.id, d.r, i.id, i.n_item HAVING count(*) >= 0.8 * i.n_item)
+SELECT doc_id, item_id, max(n_shared) AS n_shared, n_item, CAST(max(n_shared) AS DOUBLE) / n_item AS containment
+FROM found GROUP BY doc_id, item_id, n_item
 """
 
 # Base32 of the hex digest: five hex digits are four letters.
@@ -232,7 +234,7 @@ OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, {_BLANKS}), {_FOLD}) AS key FROM l),
-often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
 m AS (SELECT k.r, k.doc_id, k.line, k.pos, often.key IS NOT NULL AS gone FROM k LEFT JOIN often ON k.key = often.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
