@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeaudit.functions.money import money
 from lakeaudit.operators import deadlines, gate, reconcile
 from lakeaudit.operators.asof import asof_join
+from lakeaudit.operators.conformance import conformance
 from lakeaudit.operators.intervals import overlap_join
 from lakeaudit.plans import loads
 from lakeaudit.plans.bindings import DETECTED_AT, G4_SQL, _c1_frame, _orders_contract, _scratch_schema, _t, binding
@@ -297,3 +298,36 @@ def c4_receipt_checks_all(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), F.col("o_orderdate").alias("disclosed_at"))
     joined = orders.join(shipped, F.col("tx_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
     return deadlines.receipt_checks(joined, receipt_limit_seconds=RECEIPT_DAYS * 86_400, keep=["tx_id"])
+
+
+# ======================================================= trail conformance
+#: A purchase follows a click, a click follows a view; errors may come at any time, sign-ups only between visits.
+SHOP_FLOW = {
+    ("idle", "view"): "viewing", ("idle", "signup"): "idle", ("idle", "error"): "idle",
+    ("viewing", "view"): "viewing", ("viewing", "click"): "clicked", ("viewing", "error"): "viewing",
+    ("clicked", "click"): "clicked", ("clicked", "view"): "viewing", ("clicked", "purchase"): "idle", ("clicked", "error"): "clicked",
+}
+_NEXT = " ".join(f"WHEN acc.s = '{s}' AND x.e = '{e}' THEN '{to}'" for (s, e), to in SHOP_FLOW.items())
+C6_FLOW_SQL = f"""
+WITH listed AS (
+  SELECT user_id, list({{'s': 'idle', 'e': event_type, 'n': CAST(0 AS BIGINT), 't': ts, 'i': event_id, 'ft': CAST(NULL AS TIMESTAMP), 'fi': CAST(NULL AS BIGINT)}} ORDER BY ts, event_id) AS events
+  FROM events GROUP BY user_id),
+ended AS (
+  SELECT user_id, len(events) AS n_events, list_reduce(
+    list_concat([{{'s': 'idle', 'e': '', 'n': CAST(0 AS BIGINT), 't': CAST(NULL AS TIMESTAMP), 'i': CAST(NULL AS BIGINT), 'ft': CAST(NULL AS TIMESTAMP), 'fi': CAST(NULL AS BIGINT)}}], events),
+    lambda acc, x: {{'s': CASE {_NEXT} ELSE acc.s END, 'e': x.e,
+      'n': acc.n + CASE WHEN (CASE {_NEXT} END) IS NULL THEN 1 ELSE 0 END, 't': x.t, 'i': x.i,
+      'ft': CASE WHEN acc.fi IS NULL AND (CASE {_NEXT} END) IS NULL THEN x.t ELSE acc.ft END,
+      'fi': CASE WHEN acc.fi IS NULL AND (CASE {_NEXT} END) IS NULL THEN x.i ELSE acc.fi END}}) AS r
+  FROM listed)
+SELECT user_id, CAST(n_events AS BIGINT) AS n_events, r.n AS n_violations, r.ft AS first_bad_ts, r.fi AS first_bad_event, r.s AS end_state FROM ended
+"""
+
+
+@binding("c6_conformance_events", C6_FLOW_SQL)
+def c6_conformance_events(spark, sf_dir):
+    """Each user's trail of events against ``SHOP_FLOW``: how many events come out of turn, the first of them, and the state at the end."""
+    judged = conformance(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", SHOP_FLOW, "idle")
+    return judged.select(
+        "user_id", "n_events", "n_violations", F.col("first_violation.ts").alias("first_bad_ts"), F.col("first_violation.event_id").alias("first_bad_event"), "end_state"
+    )
