@@ -8,7 +8,7 @@ from "some defect was seen". A pattern's posterior probability of poor text is t
 The scorer is logistic regression on hashed token shares: each token adds its lower-cased
 word and its shape (letter case, marks and digits, runs shortened), and a token equal to
 the one before adds a feature of its own. It is fitted on a bounded sample, the ``FIT_ROWS``
-documents with the least hash, and then scores every document; texts whose score is over
+different documents with the least hash, and then scores every document; texts whose score is over
 ``REJECT`` are rejected.
 
 Defined cases: a text without tokens (null, empty, white space) has score and posterior 1
@@ -255,8 +255,13 @@ def _scored(docs: DataFrame, fit_rows: int) -> DataFrame:
     """``docs`` with __posterior, __score (1 is poor) and __keep."""
     model = weak_labels(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    least = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("order")).where(F.col("text").rlike(r"\S"))
-    chosen = cut(least.orderBy("order", "text").limit(fit_rows).select("text"), "fit-texts")
+    # The least hashes are found without the texts; then the few texts are fetched, one for each hash.
+    hashes = F.struct(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h2"))
+    hashed = docs.select(text.alias("text"), hashes.alias("order")).where(F.col("text").rlike(r"\S"))
+    last = hashed.select("order").distinct().orderBy("order").limit(fit_rows).agg(F.max("order").alias("last")).first()["last"]
+    within = (F.col("order") <= F.struct(F.lit(last["h1"]), F.lit(last["h2"]))) if last else F.lit(False)
+    chosen = hashed.where(within).groupBy("order").agg(F.first("text").alias("text"))
+    chosen = cut(chosen.orderBy("order").select("text"), "fit-texts")
     sample = chosen.mapInArrow(_sample, "pattern int, ids array<long>, shares array<double>").toArrow()
     if sample.num_rows:
         weights, bias = fit_scorer(
