@@ -19,8 +19,9 @@ rows repeat makes neither a hot task nor a long list.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most common
 one, or hold null or non-finite components take no part, neither as query nor as
-candidate, nor do rows with a null id; equal scores go to the smaller vec_id; repeated
-rows are candidates each; fewer than k candidates are all returned; an empty table gives
+candidate, nor do rows with a null id; equal scores go to the smaller vec_id; every row is a
+row of its own: rows of one vec_id are each a candidate for the others, and ask each for themselves (the
+result then has a list for each of them under that query_id); fewer than k candidates are all returned; an empty table gives
 no rows; other input columns are ignored.
 """
 
@@ -36,7 +37,7 @@ from lakeaudit.llm.common import cut, importable
 K, BITS, RECALL = 20, 8, 0.99
 FIT_ROWS, FIT_QUERIES, FIT_ROUNDS = 8192, 256, 30
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -88,9 +89,9 @@ def learn_radius(codes: Codes, sample: np.ndarray, k: int, recall: float = RECAL
 class Index:
     """One shard: its rows, and per substring the rows sorted by value."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, radius: int):
-        order = np.argsort(ids, kind="stable")
-        self.codes, self.ids, self.vectors, self.radius = codes, ids[order], vectors[order], radius
+    def __init__(self, codes: Codes, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, radius: int):
+        order = np.lexsort((rows, ids))
+        self.codes, self.numbers, self.ids, self.vectors, self.radius = codes, rows[order], ids[order], vectors[order], radius
         self.code = codes.substrings(self.vectors)
         self.rows = [np.argsort(column, kind="stable") for column in self.code.T]
         self.starts = [np.searchsorted(column[rows], np.arange(2**BITS + 1)) for column, rows in zip(self.code.T, self.rows)]
@@ -110,11 +111,11 @@ class Index:
         found = np.flatnonzero(hit)
         return found[hamming(self.code[found], code) <= self.radius]
 
-    def search(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = self.retrieve(code)
-        found = found[self.ids[found] != query_id]
+        found = found[self.numbers[found] != own]
         if len(found) < k:
-            found = np.flatnonzero(self.ids != query_id)
+            found = np.flatnonzero(self.numbers != own)
         s = scores(self.vectors[found], query)
         best = np.lexsort((self.ids[found], -s))[:k]
         return self.ids[found][best], s[best]
@@ -139,7 +140,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row whose vec_id is divisible by ``every``."""
     importable(vectors.sparkSession)
-    rows = cut(usable(vectors), "vectors")
+    rows = cut(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers fixed when written
     fit = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
     if not fit.num_rows:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
@@ -153,33 +154,33 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard_rows: int = S
     queries = rows.where(F.col("vec_id") % every == 0)
 
     base = rows.select(
-        F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(False).alias("asks")
+        F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "row", "vec_id", "v", F.lit(False).alias("asks")
     )
     asked = queries.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", F.lit(True).alias("asks")
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(blocks)).cast("int").alias("block"), "row", "vec_id", "v", F.lit(True).alias("asks")
     )
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
-        index = Index(codes, ids[~asks], v[~asks], radius)
-        out: tuple[list, list, list] = ([], [], [])
+        numbers, ids, v = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
+        index = Index(codes, numbers[~asks], ids[~asks], v[~asks], radius)
+        out: tuple[list, list, list, list] = ([], [], [], [])
         asking, asking_codes = v[asks], codes.substrings(v[asks])
-        for query_id, query, code in zip(ids[asks].tolist(), asking, asking_codes):
-            found, s = index.search(query_id, query, code, k)
-            out[0].append(np.full(len(found), query_id, np.int64))
-            out[1].append(found)
-            out[2].append(s)
+        for own, query_id, query, code in zip(numbers[asks].tolist(), ids[asks].tolist(), asking, asking_codes):
+            found, s = index.search(own, query, code, k)
+            out[0].append(np.full(len(found), own, np.int64))
+            out[1].append(np.full(len(found), query_id, np.int64))
+            out[2].append(found)
+            out[3].append(s)
         empty = [np.zeros(0, np.int64)]
         return pa.table(
-            [pa.array(np.concatenate(out[0] or empty)), pa.array(np.concatenate(out[1] or empty)), pa.array(np.concatenate(out[2] or [np.zeros(0)]))],
-            names=["query_id", "vec_id", "score"],
+            [*(pa.array(np.concatenate(x or empty)) for x in out[:3]), pa.array(np.concatenate(out[3] or [np.zeros(0)]))],
+            names=["query", "query_id", "vec_id", "score"],
         )
 
     found = base.unionByName(asked).groupBy("shard", "block").applyInArrow(search, FOUND)
-    # Rows that repeat a query's id ask the same question; its answers are kept once.
-    order = F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id", "score")))
-    best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score")))
+    best = found.groupBy("query", "query_id").agg(F.slice(order, 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")
     )

@@ -295,6 +295,19 @@ def test_nearest_defined_cases(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_rows_that_share_an_id(spark):
+    """Two rows of id 20 with different vectors, and equal rows of id 40, ask each for themselves and find the others."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5]), (21, [0.9, 0.1]), (22, [0.1, 0.9]), (23, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.Counter(tuple(r) for r in ann.nearest(df, k=3).collect())
+    expected = collections.Counter()
+    for at, (own, v) in enumerate(rows):
+        if own % 20 == 0:
+            others = sorted((-float(np.dot(v, w)), i, float(np.dot(v, w))) for place, (i, w) in enumerate(rows) if place != at)
+            expected.update((own, rank, i, s) for rank, (_, i, s) in enumerate(others[:3], 1))
+    assert found == expected
+
+
 def brute_repeats(docs, length=400):
     seen = collections.Counter()
     data = [(d, (t or "").encode()) for d, t in docs]
