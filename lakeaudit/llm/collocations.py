@@ -43,6 +43,7 @@ from lakeaudit.llm.common import cut, drop_caches, importable, text_or_empty
 LEAST, MOST_WORDS, TOP = 100, 5, 2_000
 BLOCK_WORDS, BUCKET_WORDS = 500_000, 4_000_000
 TILE, DENSE = 256, 1 / 16
+RANK_PARTS = 64
 
 #: Fixed values of the contract: characters that end a piece; they and tabs are mapped before the text is split at spaces.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -377,6 +378,10 @@ def mine_phrases(
     scored = candidates.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(totals.withColumnRenamed("total", "n"), "lang")
     scored = scored.withColumn("score", score_of())
     lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("of")).select("lang", "phrase", "of.*")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = lowest.withColumn("rank", rank.cast("long"))
-    return (best.where(F.col("rank") <= top) if top is not None else best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:  # a language's candidates are cut in parts first, so its last window gets no more than the parts' first ones
+        part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+        lowest = lowest.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).withColumn("place", part).where(F.col("place") <= top)
+    best = lowest.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    best = best.where(F.col("place") <= top) if top is not None else best
+    return best.select("lang", F.col("place").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
