@@ -35,6 +35,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def no_views_left(spark):
+    """Temporary views go with the module that made them: SHOW TABLES lists them under every schema."""
+    yield
+    for table in spark.catalog.listTables():
+        if table.isTemporary:
+            spark.catalog.dropTempView(table.name)
+
+
 @pytest.fixture()
 def scratch(tmp_path):
     return str(tmp_path)
